@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,7 +95,8 @@ def span_hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: i
     if not len(starts):
         return np.zeros(0, U64)
     sums = np.zeros(n + 1, U64)
-    np.cumsum(mix64(units.astype(U64) + U64(0x1000193 + seed)) * powers(_BASE, n), out=sums[1:])
+    each = mix64(np.arange(256, dtype=U64) + U64(0x1000193 + seed))[units] if units.dtype == np.uint8 else mix64(units.astype(U64) + U64(0x1000193 + seed))
+    np.cumsum(each * powers(_BASE, n), out=sums[1:])
     h = (sums[ends] - sums[starts]) * powers(_INVERSE, n + 1)[starts]
     return mix64(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
