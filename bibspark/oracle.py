@@ -283,7 +283,7 @@ SELECT page_id, len(h)::INT AS n_links, len(list_filter(h, lambda x: suffix(lowe
     "eval_by_group": "SELECT lang AS subject, count(*) AS n, round(avg(quality::DOUBLE), 4) AS ndcg, round(avg(toxic::DOUBLE), 4) AS mrr, round(avg((quality + toxic) / 2.0::DOUBLE), 4) AS recall FROM documents JOIN labels USING (doc_id) WHERE doc_id % 13 <> 0 GROUP BY 1",
     "eval_summary": e(
         "SELECT (SELECT count(*) FROM ev) AS n_queries, count(*) AS n_valid, (SELECT count(*) FROM ev WHERE NOT ok) AS n_errors, round(avg((event_id % 2)::DOUBLE), 4) AS ndcg, round(avg(event_id % 3 / 2.0::DOUBLE), 4) AS mrr, round(avg(event_id % 5 / 4.0::DOUBLE), 4) AS recall, "
-        "round(avg(value), 1) AS latency_mean, round(list_sort(list(value))[least((count(*) * 0.5)::DOUBLE // 1, count(*) - 1)::BIGINT + 1], 1) AS latency_p50, round(list_sort(list(value))[least(floor(count(*) * 0.95::DOUBLE), count(*) - 1)::BIGINT + 1], 1) AS latency_p95 FROM ev WHERE ok"
+        "round(avg(value), 1) AS latency_mean, round(list_sort(list(value))[least(floor(count(*) * 0.5::DOUBLE), count(*) - 1)::BIGINT + 1], 1) AS latency_p50, round(list_sort(list(value))[least(floor(count(*) * 0.95::DOUBLE), count(*) - 1)::BIGINT + 1], 1) AS latency_p95 FROM ev WHERE ok"
     ),
     "latency_percentiles": "SELECT event_type, list_sort(list(value))[least(floor(count(*) * 0.5::DOUBLE), count(*) - 1)::BIGINT + 1] AS p50, list_sort(list(value))[least(floor(count(*) * 0.95::DOUBLE), count(*) - 1)::BIGINT + 1] AS p95 FROM events WHERE value IS NOT NULL GROUP BY 1",
     "tool_metrics": "SELECT event_type AS tool, count(*) AS n, count(*) FILTER (event_type = 'error') AS n_errors, round(sum(value), 4) AS total_latency, round(avg(value), 6) AS avg_latency FROM events GROUP BY 1",
