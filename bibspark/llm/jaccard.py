@@ -346,7 +346,8 @@ def jaccard_groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFr
     edges = met.filter("kind = 2").select(F.col("a").alias("x"), F.col("b").alias("y"))
     edges = edges.join(of.toDF("x", "rx"), "x").join(of.toDF("y", "ry"), "y").select(F.col("rx").alias("a"), F.col("ry").alias("b"))
     blocks = materialize(components(edges).toDF("doc_id", "block"))
-    moved = texts.join(blocks, "doc_id").select("block", F.col("doc_id").alias("rep"), "text")
+    # dealt by id at every size: the texts cross the network once, whatever share of them stands in blocks
+    moved = texts.join(blocks.hint("merge"), "doc_id").select("block", F.col("doc_id").alias("rep"), "text")
     grams = moved.mapInArrow(_sets(words), "block long, rep long, grams binary").repartition("block").sortWithinPartitions("block", "rep")
     solved = materialize(grams.mapInArrow(_solve(words, percent), "rep long, component long")).groupBy("rep").agg(F.min("component").alias("component"))
     out = nodes.join(solved, "rep", "left")
