@@ -16,7 +16,7 @@ U = "(?U)"
 def let(value: Column, body) -> Column:
     """A value bound once inside an expression: a column that a lambda uses is computed for each element if Catalyst
     puts its expression in its place."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))  # a body of two parameters would get the index
 
 
 def first(values: Column) -> Column:

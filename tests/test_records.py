@@ -63,7 +63,8 @@ def test_author_counts(spark, n):
     want = "" if n == 0 else short[0] + " " if n == 1 else " & ".join(short) + " " if n == 2 else ", ".join(short[:-1]) + f", & {short[-1]} " if n <= 20 else ", ".join(short[:19]) + f", ... {short[-1]} "
     assert apa.startswith(want + "(2012).")
     assert mla.startswith({0: "Machine", 1: "Name0, A B. ", 2: "Name0, A B, and Name1, A B. "}.get(n, "Name0, A B, et al. "))
-    assert chicago.startswith({0: "Machine", 1: "Name0, A B. "}.get(n, ", ".join(full[:-1]) + f", and {full[-1]}. " if n <= 3 else "Name0, A B, et al. "))
+    several = f"{', '.join(full[:-1])}, and {full[-1]}. " if n > 1 else ""
+    assert chicago.startswith({0: "Machine", 1: "Name0, A B. "}.get(n, several if n <= 3 else "Name0, A B, et al. "))
 
 
 def test_links(records):
