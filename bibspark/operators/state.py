@@ -17,21 +17,18 @@ def micros(ts: str = "ts") -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def window_counts(events: DataFrame, key: str, seconds: int = 3600, name: str = "in_window") -> DataFrame:
-    """Adds how many events of the key stand in the trailing window, this one included; one exactly `seconds` old is out."""
-    w = Window.partitionBy(key).orderBy("micros").rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    out = events if "micros" in events.columns else events.withColumn("micros", micros())
-    return out.withColumn(name, F.count("*").over(w))
+def window_counts(events: DataFrame, key: str | None = None, seconds: int = 3600, name: str = "in_window") -> DataFrame:
+    """event_id and how many events of its key (of all, without one) stand in the trailing window, itself included; one
+    exactly `seconds` old is out.
 
-
-def bucketed_counts(events: DataFrame, seconds: int = 3600) -> DataFrame:
-    """The same over all events without a key, without one task for all: each event meets the counts of its own and
-    the preceding bucket of `seconds`, and within them only events of its time range."""
+    Time is cut to buckets of `seconds`. An event counts in its own and the next bucket, and a bucket of a key is
+    counted by itself, so neither a hot key nor the whole table is ever in one task."""
     size = seconds * 1_000_000
+    by = [F.col(key)] if key else []
     e = events.withColumn("micros", micros()).withColumn("bucket", F.floor(F.col("micros") / size))
-    both = e.select("event_id", "micros", "bucket", F.lit(True).alias("own")).unionByName(e.select("event_id", "micros", (F.col("bucket") + 1).alias("bucket"), F.lit(False).alias("own")))
-    w = Window.partitionBy("bucket").orderBy("micros").rangeBetween(-(size - 1), 0)
-    return both.withColumn("in_window", F.count("*").over(w)).filter("own").select("event_id", "in_window")
+    both = e.select("event_id", *by, "micros", "bucket", F.lit(True).alias("own")).unionByName(e.select("event_id", *by, "micros", (F.col("bucket") + 1).alias("bucket"), F.lit(False).alias("own")))
+    w = Window.partitionBy(*by, "bucket").orderBy("micros").rangeBetween(-(size - 1), 0)
+    return both.withColumn(name, F.count("*").over(w)).filter("own").select("event_id", name)
 
 
 def budget_status(events: DataFrame, key: str, now_micros: int, limit: int, seconds: int = 3600) -> DataFrame:

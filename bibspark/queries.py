@@ -372,7 +372,7 @@ def budget_windows(spark, sf_dir):
 
 
 def budget_global(spark, sf_dir):
-    return state.bucketed_counts(_events(spark, sf_dir)).select("event_id", F.col("in_window").alias("n_in_hour"), (F.col("in_window") > 20).alias("over"))
+    return state.window_counts(_events(spark, sf_dir)).select("event_id", F.col("in_window").alias("n_in_hour"), (F.col("in_window") > 20).alias("over"))
 
 
 def budget_status(spark, sf_dir):

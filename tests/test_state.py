@@ -19,7 +19,7 @@ def events(spark, rows):
 def test_window_edge(spark):
     e = events(spark, [(0, "a", "x", True), (3600, "a", "x", True), (3600.5, "a", "x", True)])
     assert [r["in_window"] for r in state.window_counts(e, "key").orderBy("event_id").collect()] == [1, 1, 2]
-    assert [r["in_window"] for r in state.bucketed_counts(e).orderBy("event_id").collect()] == [1, 1, 2]
+    assert [r["in_window"] for r in state.window_counts(e).orderBy("event_id").collect()] == [1, 1, 2]
 
 
 def test_budget():
