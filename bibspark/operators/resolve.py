@@ -80,23 +80,26 @@ def same_isbn(metadata: DataFrame, items: DataFrame) -> DataFrame:
 def same_title(metadata: DataFrame, items: DataFrame, least: float = SIMILAR) -> DataFrame:
     """Titles more similar than a share, with the same first author's family name.
 
-    Rows are joined by name and one of the title's rarer words: titles as similar as that share all but a few of their
-    words, so one of the first (1 - share) * n + 1 words in a fixed order is common to both. Only those meet."""
+    Titles as similar as that share all but a few of their words, so in any fixed order of words one of the first
+    n - ceil(share * n) + 1 is common to both. Words are ordered by how many titles hold them, rare ones first, and rows
+    meet by name and one of these words: frequent words bring nobody together unless a title has no others."""
 
-    def sided(df: DataFrame, id_col: str, name: Column, out: str) -> DataFrame:
+    def titled(df: DataFrame, id_col: str, name: Column) -> DataFrame:
         t = normal_title(F.col("title"))
-        w = F.sort_array(F.array_distinct(F.split(t, " ")))
-        # order by hash, so that frequent words are no prefix of everything
-        mixed = F.transform(F.sort_array(F.transform(w, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("w")))), lambda x: x["w"])
-        n = (F.size(w) - F.ceil(F.size(w) * least) + 1).cast("int")
-        rows = df.select(F.col(id_col).alias(out), F.lower(name).alias("who"), F.col("title").alias(f"{out}_title"), F.slice(mixed, 1, F.greatest(n, F.lit(1))).alias("ws"), t.alias("t"))
-        return rows.filter((F.col("who") != "") & (F.col("t") != "")).withColumn("w", F.explode("ws")).drop("ws", "t")
-
-    a = sided(metadata, "record_id", family(F.get("authors", F.lit(0))), "record_id")
-    who = F.get("creators", F.lit(0))
-    b = sided(items, "key", text(F.coalesce(who["lastName"], F.lit(""))), "item_key")
-    pairs = a.join(b, ["who", "w"]).filter(title_similarity(F.col("record_id_title"), F.col("item_key_title")) > least)
-    return _first_match(pairs)
+        rows = df.select(F.col(id_col).alias("id"), F.lower(name).alias("who"), t.alias("t")).filter((F.col("who") != "") & (F.col("t") != ""))
+        return rows.withColumn("w", F.explode(F.array_distinct(F.split("t", " "))))
+
+    a = titled(metadata, "record_id", family(F.get("authors", F.lit(0))))
+    b = titled(items, "key", text(F.get("creators", F.lit(0))["lastName"]))
+    often = a.select("w").unionByName(b.select("w")).groupBy("w").agg(F.count("*").alias("often"))
+
+    def rare(rows: DataFrame, out: str) -> DataFrame:
+        ranked = rows.join(often, "w").groupBy("id", "who", "t").agg(F.sort_array(F.collect_list(F.struct("often", "w"))).alias("ws"))
+        n = (F.size("ws") - F.ceil(F.size("ws") * least) + 1).cast("int")
+        return ranked.select(F.col("id").alias(out), "who", F.col("t").alias(f"{out}_t"), F.explode(F.slice("ws", 1, n)["w"]).alias("w"))
+
+    pairs = rare(a, "record_id").join(rare(b, "item_key"), ["who", "w"])
+    return _first_match(pairs.filter(title_similarity(F.col("record_id_t"), F.col("item_key_t")) > least))
 
 
 def duplicates(metadata: DataFrame, items: DataFrame) -> DataFrame:
