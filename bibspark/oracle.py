@@ -174,6 +174,14 @@ fd AS (SELECT query_id, sum(1.0 / log2(rank + 2)) AS dcg, min(rank) AS best, cou
 
 
 
+def cut_query(x: str) -> str:
+    """The steps of the sanitiser; parts start at an operator each."""
+    plain = f"regexp_replace(regexp_replace(replace({x}, chr(0), ''), '<[^>]*>', '', 'g'), '\\$\\$[A-Za-z]', '', 'g')"
+    flat = f"trim(regexp_replace(substr({plain}, 1, 1000), '\\s+', ' ', 'g'))"
+    parts = f"string_split(regexp_replace({flat}, '\\b(AND|OR|NOT)\\b', chr(1) || '\\1', 'g'), chr(1))"
+    return f"rtrim(array_to_string(list_slice({parts}, 1, 31), ''))"
+
+
 SQL: dict[str, str] = {
     "search_rerank": q(
         f"SELECT record_id, round({TOTAL}, 6) AS score, t AS title FROM (SELECT *, {scores(['the', 'of'])} FROM n) ORDER BY {TOTAL} DESC, position LIMIT 10",
@@ -196,6 +204,14 @@ SQL: dict[str, str] = {
     "search_by_isbn": q("SELECT record_id, isbn FROM cat WHERE isbn = '9780000000015'"),
     "search_expanded": q(f"SELECT count(*) AS total FROM w WHERE ({has('the')} AND {has('that')}) OR {has('und')} OR {has('para')}"),
     "search_courses": q("SELECT k AS type, count(*) AS n FROM cat WHERE is_course AND lang = 'en' GROUP BY 1"),
+    "query_sanitize": f"""SELECT doc_id, md5({cut_query("'<b>' || substr(text, 1, 1200) || ' $$Qx</b> AND ' || repeat(lang || ' OR ', 40) || 'end'")}) AS query_md5, md5({cut_query("source || repeat(' AND ' || lang, 36)")}) AS short_md5 FROM documents""",
+    "detail_reports": q(
+        """SELECT record_id, md5(d) AS detail_md5, length(d)::INT AS n_chars FROM (SELECT record_id, repeat('=', 60) || chr(10) || 'ITEM DETAILS' || chr(10) || repeat('=', 60) || chr(10) || chr(10) || 'Title: ' || t || chr(10) || chr(10)
+  || 'Author(s): ' || array_to_string(creator, ', ') || chr(10) || CASE WHEN cdate <> '' THEN 'Publication Date: ' || cdate || chr(10) ELSE '' END || 'Type: ' || k || chr(10) || 'Publisher: ' || press || chr(10) || 'Source/Journal: ' || src || chr(10)
+  || chr(10) || '--- Identifiers ---' || chr(10) || CASE WHEN isbn <> '' THEN 'ISBN: ' || isbn || chr(10) ELSE '' END || CASE WHEN doi <> '' THEN 'DOI: ' || doi || chr(10) ELSE '' END || 'Record ID: ' || record_id || chr(10)
+  || chr(10) || '--- Subjects ---' || chr(10) || '- ' || array_to_string(subject, chr(10) || '- ') || chr(10) || chr(10) || '--- Access Links ---' || chr(10) || CASE WHEN link <> '' THEN 'Full Text Link: Available' || chr(10) ELSE '' END
+  || CASE WHEN doc_id % 5 < 4 THEN chr(10) || 'Availability: ' || avail || chr(10) ELSE '' END || chr(10) || '--- Holdings ---' || chr(10) || '  L' || doc_id % 3 || ' - S' || doc_id % 5 || ': QA' || doc_id % 99 || chr(10) AS d FROM cat)"""
+    ),
     "by_intent": q(
         "SELECT record_id, t AS title, cdate AS date FROM w WHERE list_contains(aw, 'the') AND k = 'article' AND try_cast(substr(cdate, 1, 4) AS INT) BETWEEN 2000 AND 2015 "
         "ORDER BY try_cast(substr(cdate, 1, 4) AS INT) DESC, record_id LIMIT 30"
