@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, word_count
+from .shared import WORD, materialize, word_count
 
 MIN_WORDS = 20
 #: Percent of words in repeated windows above which a document fails.
@@ -36,6 +36,13 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def windows(hashes: Column, width: int = WINDOW) -> Column:
+    """Hashes of the windows of a list of word hashes."""
+    n = F.size(hashes)
+    starts = F.when(n >= width, F.sequence(F.lit(1), F.greatest(n - (width - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, width)))
+
+
 def repeated_words(windows: Column, width: int = WINDOW) -> Column:
     """Words covered by windows that occur twice or more. Windows are sorted by hash; equal neighbours give the
     positions, and each position adds what the one after it doesn't cover."""
@@ -61,19 +68,16 @@ def repeated_words(windows: Column, width: int = WINDOW) -> Column:
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (long) to the rows."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keep = docs.columns
-    step = docs.select(*keep, F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("_words"))
-    step = step.select(*keep, F.size("_words").alias("_n"), F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"))
-    ends = F.when(F.col("_n") >= WINDOW, F.sequence(F.lit(1), F.col("_n") - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
-    step = step.select(*keep, "_n", F.transform(ends, lambda i: F.xxhash64(F.slice("_hashes", i, WINDOW))).alias("_windows"))
-    step = step.select(*keep, "_n", repeated_words(F.col("_windows")).alias("_repeat"), F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)).alias("_lines"))
-    return step.select(
-        *keep,
-        F.col("_n").cast("long").alias("n_words"),
+    # each value is bound once: a filter that Catalyst pushes below this projection copies the expressions, and a
+    # column used in a lambda would then be computed for each element
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
+    return docs.select(
+        *docs.columns,
+        word_count(text).alias("n_words"),
         F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.col("_repeat").cast("long").alias("n_repeat_words"),
+        _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        _let(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)), lambda h: _let(windows(h), repeated_words)).cast("long").alias("n_repeat_words"),
     )
 
 
@@ -110,7 +114,8 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, min_l
 
 def keep(docs: DataFrame, **limits) -> DataFrame:
     """The rows of documents that `judge` keeps, with all their columns."""
-    kept = judge(docs, **limits).filter("kept").select("_row").distinct()
+    # a narrow table, so that its size is known to the join and no filter is pushed into the measures
+    kept = materialize(judge(docs, **limits).select("_row", "kept")).filter("kept").select("_row").distinct()
     return docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(kept, "_row", "left_semi").drop("_row")
 
 
