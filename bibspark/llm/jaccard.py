@@ -6,7 +6,9 @@ computed in blocks of rows that may have links with each other, so that no pair
 1. Two sets whose Jaccard similarity reaches the threshold differ in at most D n-grams, D from the size of the
    smaller one. Cut the n-grams by hash into D + 1 + c slices: then 1 + c slices at least are equal. Every set
    sends a hash of each slice for its own class of sizes and for the next smaller one; sets with an equal slice
-   are joined to a block. Slices hold several n-grams, so a common passage alone makes no block.
+   are joined to a block. The most frequent n-grams are left out of the slices, or a passage that many documents
+   share would join them: what is left of two sets differs in D at most as well, so nothing is lost. Sets of which
+   little is left send slices of all their n-grams too.
 2. Sets are moved to their block once. There the product is accumulated: rows in order of size, rare columns
    first, and a pair is discarded when its size bound or what is left of its columns can't reach the threshold.
    Rows that links have joined already aren't multiplied again: a group of k near copies costs k rows, not k^2
@@ -30,6 +32,10 @@ from pyspark.sql import functions as F
 from .shared import U64, groups, joined, materialize, mix64, ragged, span_hashes, word_spans
 
 BYTES = 1_000_000
+#: Slice hashes that a task holds at once.
+HELD = 400_000
+#: N-grams that count as frequent, and how often one stands in what a task holds before it is counted.
+FREQUENT, OFTEN = 50_000, 4
 SLICE, SAME, COPY = 0, 2, 3
 EDGE = 1
 
@@ -68,8 +74,9 @@ def shingle_sets(texts: list[str | None], words: int = 3) -> list[np.ndarray]:
 class Slices:
     """Classes of set sizes and the hashes of slices."""
 
-    def __init__(self, percent: int):
+    def __init__(self, percent: int, frequent: np.ndarray | None = None):
         self.percent = percent
+        self.frequent = np.zeros(0, U64) if frequent is None else frequent
         self.lows = [1]
         self.bounds: dict[int, np.ndarray] = {}
 
@@ -79,76 +86,123 @@ class Slices:
         return int(np.searchsorted(self.lows, size, side="right")) - 1
 
     def slices(self, k: int) -> tuple[int, int]:
-        """The number of slices in class k, and how many of them are equal at least."""
-        most = self.lows[k + 1] - 1
+        """The number of slices in class k, and how many of them are equal at least: more than are empty by chance."""
+        low, most = self.lows[k], self.lows[k + 1] - 1
         differ = most * (100 - self.percent) // self.percent
-        spare = min(3, differ)
+        about = 1.1 * differ + 1
+        spare = min(3, differ) + int(np.ceil(2 * about * np.exp(-low / about))) if differ else 0
         return differ + 1 + spare, 1 + spare
 
-    def hashes(self, s: np.ndarray) -> np.ndarray:
-        """Slice hashes of one set for its own class and for the one below, in which it may be the larger partner."""
-        own = self.of(len(s))
+    def _cut(self, s: np.ndarray, m: int, tag: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the m slices of a sorted set, and which are filled. A slice's hash sums up its members'."""
+        if m not in self.bounds:
+            self.bounds[m] = np.array([(j << 64) // m for j in range(1, m)], U64)
         total = np.zeros(len(s) + 1, U64)
         np.cumsum(mix64(s + U64(0x51ED270B)), out=total[1:])
+        at = np.concatenate([[0], np.searchsorted(s, self.bounds[m]), [len(s)]])
+        key = mix64((total[at[1:]] - total[at[:-1]]) + mix64(np.arange(m).astype(U64) + U64(tag << 32)))
+        return key, at[1:] > at[:-1]
+
+    def hashes(self, s: np.ndarray) -> np.ndarray:
+        """Slice hashes of one set for its own class and for the one below, in which it may be the larger partner.
+
+        With few empty slices, one of the slices it shares with any partner is not empty. Otherwise that may hold for
+        neither of two partners; then both send the slices of their whole sets, and empty ones if these are many too."""
+        own = self.of(len(s))
+        at = np.minimum(np.searchsorted(self.frequent, s), max(len(self.frequent) - 1, 0))
+        light = s[self.frequent[at] != s] if len(self.frequent) else s
         out = []
         for k in (own, own - 1) if own else (own,):
             m, equal = self.slices(k)
-            if m not in self.bounds:
-                self.bounds[m] = np.array([(j << 64) // m for j in range(1, m)], U64)
-            at = np.concatenate([[0], np.searchsorted(s, self.bounds[m]), [len(s)]])
-            key = mix64((total[at[1:]] - total[at[:-1]]) + mix64(np.arange(m).astype(U64) + U64(k << 32)))
-            filled = at[1:] > at[:-1]
-            # with few empty slices, one of the equal slices of any partner is not empty
-            out.append(key if m - filled.sum() >= equal else key[filled])
+            key, filled = self._cut(light, m, 2 * k)
+            out.append(key[filled])
+            if m - filled.sum() >= equal:
+                key, filled = self._cut(s, m, 2 * k + 1)
+                out.append(key if m - filled.sum() >= equal else key[filled])
         return np.concatenate(out)
 
 
-def _signatures(words: int, percent: int):
+def frequent_grams(docs: DataFrame, words: int, most: int) -> np.ndarray:
+    """Hashes of the most frequent n-grams, sorted: at most `most`, a bound of what is sent to tasks. Which n-grams they
+    are changes how much is compared, never the links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def often(held: list[np.ndarray]) -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            some = n >= OFTEN
+            return pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(n[some])], ["h", "n"])
+
+        held, size = [], 0
+        for batch in batches:
+            for a, b in groups(batch.column(0), BYTES):
+                held += shingle_sets(batch.column(0).slice(a, b - a).to_pylist(), words)
+                size += sum(map(len, held[-(b - a) :]))
+                if size > 5 * HELD:
+                    yield often(held)
+                    held, size = [], 0
+        if held:
+            yield often(held)
+
+    counts = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "h").limit(most).select("h").toArrow()
+    return np.sort(top.column(0).to_numpy().astype(np.int64).view(U64))
+
+
+def _signatures(words: int, percent: int, frequent: np.ndarray):
     """Rows (key, a, b): a slice's key and a document; or, found within a batch, an edge between documents; or a
     document with its set's hash and size. The two low bits of the key tell the kind."""
 
+    def rows(ids: list[int], same: list[tuple[int, int]], slices: dict[tuple[int, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
+        holder: dict[tuple[int, int], int] = {}
+        for d, k in zip(ids, same, strict=True):
+            holder[k] = min(d, holder.get(k, d))
+        doc, size, h = np.array(ids), np.array([n for _, n in same]), np.array([x for x, _ in same], U64)
+        head = np.array([holder[k] if k[1] else d for d, k in zip(ids, same, strict=True)])
+        own = (mix64(h) & ~U64(3)) | U64(SAME)
+        other = (mix64(doc.astype(U64)) & ~U64(2**32 - 1)) | (size.astype(U64) << U64(2)) | U64(COPY)
+        yield from _rows(np.where(doc == head, own, other), doc, np.where(doc == head, size, head))
+        if not slices:
+            return
+        heads = np.array([holder[k] for k in slices])
+        count = np.array([len(v) for v in slices.values()])
+        key, at = np.concatenate(list(slices.values())) & ~U64(3), np.repeat(heads, count)
+        order = np.lexsort((at, key))
+        key, at = key[order], at[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        yield from _rows(key[new], at[new], None)
+        lead = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+        pairs = np.unique(np.stack([at, lead], 1)[at != lead], axis=0)
+        if len(pairs):
+            yield from _rows((mix64(pairs[:, 0].astype(U64)) & ~U64(3)) | U64(EDGE), pairs[:, 0], pairs[:, 1])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = Slices(percent)
+        cut = Slices(percent, frequent)
+        ids: list[int] = []
+        same: list[tuple[int, int]] = []
+        slices: dict[tuple[int, int], np.ndarray] = {}
+        held = 0
         for batch in batches:
-            ids, sizes, hashes = [], [], []
-            slices: dict[tuple[int, int], np.ndarray] = {}
-            holder: dict[tuple[int, int], int] = {}
             for a, b in groups(batch.column(1), BYTES):
                 part = batch.slice(a, b - a)
                 for doc, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), words), strict=True):
                     if doc is None:
                         continue
-                    same = (int(mix64(s).sum(dtype=U64)) if len(s) else doc & (2**64 - 1), len(s))
+                    key = (int(mix64(s).sum(dtype=U64)) if len(s) else doc & (2**64 - 1), len(s))
                     ids.append(doc)
-                    sizes.append(len(s))
-                    hashes.append(same[0])
-                    if len(s):
-                        if same not in slices:
-                            slices[same] = cut.hashes(s)
-                        holder[same] = min(doc, holder.get(same, doc))
-            if not ids:
-                continue
-            doc, size, same = np.array(ids), np.array(sizes), np.array(hashes, U64)
-            head = np.array([holder.get((h, n), d) for h, n, d in zip(hashes, sizes, ids, strict=True)])
-            rows = _rows(np.where(doc == head, (mix64(same) & ~U64(3)) | U64(SAME), (mix64(doc.astype(U64)) & ~U64(2**32 - 1)) | (size.astype(U64) << U64(2)) | U64(COPY)), doc, np.where(doc == head, size, head))
-            yield from rows
-            if slices:
-                heads = np.array([holder[k] for k in slices])
-                count = np.array([len(v) for v in slices.values()])
-                key, at = np.concatenate(list(slices.values())) & ~U64(3), np.repeat(heads, count)
-                order = np.lexsort((at, key))
-                key, at = key[order], at[order]
-                new = np.concatenate([[True], key[1:] != key[:-1]])
-                yield from _rows(key[new], at[new], None)
-                lead = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
-                pairs = np.unique(np.stack([at, lead], 1)[at != lead], axis=0)
-                if len(pairs):
-                    yield from _rows((mix64(pairs[:, 0].astype(U64)) & ~U64(3)) | U64(EDGE), pairs[:, 0], pairs[:, 1])
+                    same.append(key)
+                    if len(s) and key not in slices:
+                        slices[key] = cut.hashes(s)
+                        held += len(slices[key])
+                if held > HELD:  # what equal keys share is found within this much, and the rest after the shuffle
+                    yield from rows(ids, same, slices)
+                    ids, same, slices, held = [], [], {}, 0
+        if ids:
+            yield from rows(ids, same, slices)
 
     return run
 
 
-def _rows(key: np.ndarray, a: np.ndarray, b: np.ndarray | None, most: int = 200_000) -> Iterator[pa.RecordBatch]:
+def _rows(key: np.ndarray, a: np.ndarray, b: np.ndarray | None, most: int = 100_000) -> Iterator[pa.RecordBatch]:
     for lo in range(0, len(key), most):
         k, x = pa.array(key[lo : lo + most].view(np.int64)), pa.array(a[lo : lo + most].astype(np.int64))
         y = pa.nulls(len(k), pa.int64()) if b is None else pa.array(b[lo : lo + most].astype(np.int64))
@@ -264,15 +318,15 @@ def block_components(sets: list[np.ndarray], percent: int, room: int = 2_000_000
 def _product(rows, size, low, union, percent, room):
     """Pairs of rows in different groups, from the incidence of rows and rare columns."""
     k = len(rows)
-    columns, column, count = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-    edges = np.concatenate([[0], np.cumsum(size)])
+    cells = np.zeros(1 << 20, np.int32)  # how many rows have a column, by a hash of it
+    for r in rows:
+        np.add.at(cells, (r & U64(len(cells) - 1)).astype(np.int64), 1)
     # each row's rarest columns: a linked pair shares one of them
     reach = size - (-(-size * percent // 100)) + 1
-    picked = []
-    for i in range(k):
-        own = column[edges[i] : edges[i + 1]]
-        picked.append(own[np.lexsort((own, count[own]))[: reach[i]]])
-    row_of, col_of = np.repeat(np.arange(k), reach), np.concatenate(picked)
+    rare = [r[np.lexsort((r, cells[(r & U64(len(cells) - 1)).astype(np.int64)]))[:n]] for r, n in zip(rows, reach.tolist(), strict=True)]
+    columns, col_of = np.unique(np.concatenate(rare), return_inverse=True)
+    row_of = np.repeat(np.arange(k), reach)
+    picked = np.split(col_of, np.cumsum(reach)[:-1])
     by_col = np.argsort(col_of, kind="stable")
     post_row, post_col = row_of[by_col], col_of[by_col]
     at = np.searchsorted(post_col, np.arange(len(columns) + 1))
@@ -337,7 +391,8 @@ def _sets(words: int):
 def jaccard_groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles (size of its set) and component_id (smallest doc_id reachable by links), one row per row with an id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = texts.mapInArrow(_signatures(words, percent), "key long, a long, b long")
+    frequent = frequent_grams(texts, words, FREQUENT)
+    signed = texts.mapInArrow(_signatures(words, percent, frequent), "key long, a long, b long")
     met = materialize(signed.repartition("key").sortWithinPartitions("key", "a").mapInArrow(_meet, "kind int, a long, b long, n long"))
     heads = met.filter("kind = 0").groupBy("a").agg(F.min("b").alias("b"), F.max("n").alias("n"))
     copies = met.filter("kind = 1").select("a", F.col("b").alias("head"), "n")
