@@ -15,8 +15,7 @@ computed in blocks of rows that may have links with each other, so that no pair
    pairs, and no link between different groups is lost.
 
 Equal sets are found by hash first and enter as one row. Defined results: null and empty texts have the empty
-set, 0 n-grams and no links; rows with equal ids count as one document; rows without an id have no links and no
-component. A text's length has no limit. Hashes have 64 bits (a slice or set hash 62).
+set, 0 n-grams and no links; repeated rows give a row each; rows without an id have no links and give none. A text's length has no limit. Hashes have 64 bits (a slice or set hash 62).
 """
 
 from __future__ import annotations
@@ -182,6 +181,7 @@ def _signatures(words: int, percent: int, frequent: np.ndarray):
         slices: dict[tuple[int, int], np.ndarray] = {}
         held = 0
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             for a, b in groups(batch.column(1), BYTES):
                 part = batch.slice(a, b - a)
                 for doc, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), words), strict=True):
@@ -364,13 +364,14 @@ def _solve(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, docs, sets = None, [], []
         for batch in batches:
-            for b, d, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            grams = batch.column(2)
+            for k, (b, d) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 if b != block and docs:
                     yield solve(docs, sets)
                     docs, sets = [], []
                 block = b
                 docs.append(d)
-                sets.append(np.frombuffer(raw, U64))
+                sets.append(np.frombuffer(grams[k].as_buffer(), U64))
         if docs:
             yield solve(docs, sets)
 
@@ -394,10 +395,12 @@ def jaccard_groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFr
     frequent = frequent_grams(texts, words, FREQUENT)
     signed = texts.mapInArrow(_signatures(words, percent, frequent), "key long, a long, b long")
     met = materialize(signed.repartition("key").sortWithinPartitions("key", "a").mapInArrow(_meet, "kind int, a long, b long, n long"))
-    heads = met.filter("kind = 0").groupBy("a").agg(F.min("b").alias("b"), F.max("n").alias("n"))
+    heads = met.filter("kind = 0").select("a", "b", "n")
+    of = heads.groupBy("a", "n").agg(F.min("b").alias("b"))
     copies = met.filter("kind = 1").select("a", F.col("b").alias("head"), "n")
-    nodes = materialize(heads.select("a", F.col("b").alias("rep"), "n").union(copies.join(heads.select(F.col("a").alias("head"), "b"), "head").select("a", F.col("b").alias("rep"), "n")))
-    of = heads.select("a", "b")
+    through = copies.join(of.withColumnRenamed("a", "head"), ["head", "n"]).select("a", F.col("b").alias("rep"), "n")
+    nodes = materialize(heads.withColumnRenamed("b", "rep").unionByName(through))
+    of = of.select("a", "b").distinct()
     edges = met.filter("kind = 2").select(F.col("a").alias("x"), F.col("b").alias("y"))
     edges = edges.join(of.toDF("x", "rx"), "x").join(of.toDF("y", "ry"), "y").select(F.col("rx").alias("a"), F.col("ry").alias("b"))
     blocks = materialize(components(edges).toDF("doc_id", "block"))
@@ -412,7 +415,8 @@ def jaccard_groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFr
 def one_of_each(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """The rows of documents that are first in their group (smallest id; of rows with one id, one), and those without an id."""
     first = materialize(jaccard_groups(docs, words, percent).filter("doc_id = component_id").groupBy("doc_id").agg((F.count("*") > 1).alias("again")))
-    once = docs.join(first.filter("NOT again"), "doc_id", "left_semi")
+    # both joins read one exchange of the documents, dealt alike at every size
+    once = docs.join(first.filter("NOT again").hint("merge"), "doc_id", "left_semi")
     # rows with one id are rare: only they are gathered by id
-    again = docs.join(first.filter("again"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    again = docs.join(first.filter("again").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(again).unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, materialize, word_count
+from .shared import WORD, fresh, materialize, word_count
 
 MIN_WORDS = 20
 #: Percent of words in repeated windows above which a document fails.
@@ -33,7 +33,7 @@ def normal_line(line: Column) -> Column:
 
 def _let(value: Column, body) -> Column:
     """Binds a value once inside an expression, so that lambdas don't compute it for each element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))  # a body of two parameters would get the index
 
 
 def windows(hashes: Column, width: int = WINDOW) -> Column:
@@ -115,8 +115,9 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, min_l
 def keep(docs: DataFrame, **limits) -> DataFrame:
     """The rows of documents that `judge` keeps, with all their columns."""
     # a narrow table, so that its size is known to the join and no filter is pushed into the measures
-    kept = materialize(judge(docs, **limits).select("_row", "kept")).filter("kept").select("_row").distinct()
-    return docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(kept, "_row", "left_semi").drop("_row")
+    row = fresh(docs, "_row")
+    kept = materialize(judge(docs, **limits).select(F.col("_row").alias(row), "kept")).filter("kept").select(row).distinct().hint("merge")  # dealt alike at every size
+    return docs.withColumn(row, F.xxhash64("doc_id", "text")).join(kept, row, "left_semi").drop(row)
 
 
 ORACLE = r"""

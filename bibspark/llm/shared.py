@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -46,6 +45,14 @@ def delete_dir(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have, in any case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def word_count(text) -> F.Column:
     """The number of words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -133,7 +140,3 @@ def joined(texts: Iterable[str | bytes | None]) -> tuple[np.ndarray, np.ndarray]
     raw = [t.encode() if isinstance(t, str) else t or b"" for t in texts]
     edges = np.concatenate([[0], np.cumsum([len(t) + 1 for t in raw])]).astype(np.int64)
     return np.frombuffer(b"\n".join([*raw, b""]), np.uint8), edges
-
-
-def data_path(path: str) -> str:
-    return os.path.expanduser(path)
