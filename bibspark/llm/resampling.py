@@ -28,7 +28,7 @@ BUCKETS = 1 << 14
 #: Labelled target rows used at most, those with the smallest hash of their id.
 MAX_LABELLED = 20_000
 #: N-grams that a weight stands for.
-LENGTH = 64.0
+LENGTH = 256.0
 SMOOTH = 1.0
 BYTES = 1_000_000
 
