@@ -12,7 +12,7 @@ computed in blocks of rows that may have links with each other, so that no pair
 2. Sets are moved to their block once. There the product is accumulated: rows in order of size, rare columns
    first, and a pair is discarded when its size bound or what is left of its columns can't reach the threshold.
    Rows that links have joined already aren't multiplied again: a group of k near copies costs k rows, not k^2
-   pairs, and no link between different groups is lost.
+   pairs, and no link between different groups is lost. A large block is cut to parts (see large_blocks).
 
 Equal sets are found by hash first and enter as one row. Defined results: null and empty texts have the empty
 set, 0 n-grams and no links; repeated rows give a row each; rows without an id have no links and give none. A text's length has no limit. Hashes have 64 bits (a slice or set hash 62).
@@ -35,6 +35,10 @@ BYTES = 1_000_000
 HELD = 400_000
 #: N-grams that count as frequent, and how often one stands in what a task holds before it is counted.
 FREQUENT, OFTEN = 50_000, 4
+#: Rows and n-grams of a part of a block; blocks of more are cut to parts.
+PART_ROWS, PART_GRAMS = 500, 1_000_000
+#: Pivots of a large block, and classes its rows are dealt by to meet them.
+PIVOTS, SALTS = 12, 64
 SLICE, SAME, COPY = 0, 2, 3
 EDGE = 1
 
@@ -292,14 +296,19 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def block_components(sets: list[np.ndarray], percent: int, room: int = 2_000_000) -> np.ndarray:
-    """Group labels of the sets of one block. room: products held at once."""
+def block_components(sets: list[np.ndarray], percent: int, room: int = 2_000_000, joined_before: list | None = None) -> np.ndarray:
+    """Group labels of the sets of one block. room: products held at once; joined_before: a label per set, equal ones are
+    known to be in one group."""
     order = np.argsort([len(s) for s in sets], kind="stable")
     rows = [sets[i] for i in order]
     size = np.array([len(s) for s in rows])
     k, union = len(rows), Union(len(rows))
     least = -(-size * percent // 100)  # of a smaller partner
     low = np.searchsorted(size, least)
+    if joined_before is not None:
+        first: dict[object, int] = {}
+        for row, i in enumerate(order.tolist()):
+            union.join(row, first.setdefault(joined_before[i], row))
     for i in range(1, k):  # the row before, or a group's last row, mostly links at once
         tried = set()
         for j in range(i - 1, max(low[i], i - 9) - 1, -1):
@@ -351,33 +360,91 @@ def _product(rows, size, low, union, percent, room):
         lo = hi
 
 
-def _solve(words: int, percent: int):
-    """Blocks stand in order within a partition; each is solved when its last row has come."""
+def _solve(percent: int):
+    """Blocks stand in order within a partition; each is solved when its last row has come. Rows: block, rep, grams, label
+    (null, or equal where rows are known to be in one group). Gives each rep and the smallest of its group."""
 
-    def solve(docs, sets):
-        label = block_components(sets, percent)
+    def solve(docs, sets, labels):
+        known = None if all(x is None for x in labels) else [d if x is None else ("l", x) for d, x in zip(docs, labels, strict=True)]
+        label = block_components(sets, percent, joined_before=known)
         least: dict[int, int] = {}
         for d, g in zip(docs, label.tolist(), strict=True):
             least[g] = min(d, least.get(g, d))
         return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([least[g] for g in label.tolist()], pa.int64())], ["rep", "component"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, docs, sets = None, [], []
+        block, docs, sets, labels = None, [], [], []
         for batch in batches:
             grams = batch.column(2)
-            for k, (b, d) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            for k, (b, d, x) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True)):
                 if b != block and docs:
-                    yield solve(docs, sets)
-                    docs, sets = [], []
+                    yield solve(docs, sets, labels)
+                    docs, sets, labels = [], [], []
                 block = b
                 docs.append(d)
                 sets.append(np.frombuffer(grams[k].as_buffer(), U64))
+                labels.append(x)
         if docs:
-            yield solve(docs, sets)
+            yield solve(docs, sets, labels)
 
     return run
 
 
+def _blockwise(rows: DataFrame, percent: int) -> DataFrame:
+    """Groups within blocks: rep, component."""
+    ordered = rows.select("block", "rep", "grams", "label").repartition("block").sortWithinPartitions("block", "rep")
+    return ordered.mapInArrow(_solve(percent), "rep long, component long")
+
+
+def _pivot_links(percent: int):
+    """Edges (a, b) from each row to the pivots of its block that it links with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for k in range(batch.num_rows):
+                own = np.frombuffer(batch.column(1)[k].as_buffer(), U64)
+                for p in batch.column(2)[k]:
+                    other = np.frombuffer(p["grams"].as_buffer(), U64)
+                    if linked(own, other, percent):
+                        a.append(batch.column(0)[k].as_py())
+                        b.append(p["rep"].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def large_blocks(rows: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Groups within blocks that are too large for one task: rep, component. rows: block, rep, grams; parts: block, k, the
+    number of parts that it is cut to.
+
+    A few pivots per block, one for each hash class, meet all its rows: most rows of a group of near copies link with one
+    and are joined through it. Rows outside the largest group so found are then multiplied with all rows of the
+    block, part by part: no task holds more than two parts, and no pair of rows in different groups is left out."""
+    salt = F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")
+    pivots = rows.groupBy("block", F.pmod(F.xxhash64("rep"), F.lit(PIVOTS)).alias("c")).agg(F.min("rep").alias("rep")).select("block", "rep")
+    lists = pivots.join(rows, ["block", "rep"]).groupBy("block").agg(F.collect_list(F.struct("rep", "grams")).alias("pivots"))
+    lists = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = rows.withColumn("salt", salt).join(lists, ["block", "salt"]).select("rep", "grams", "pivots")
+    stars = materialize(met.mapInArrow(_pivot_links(percent), "a long, b long"))
+    found = components(stars)
+    labelled = rows.select("block", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("block", "rep", F.coalesce("component", "rep").alias("label"))
+    labelled = materialize(labelled)
+    sums = labelled.groupBy("block", "label").agg(F.count("*").alias("n"))
+    biggest = sums.groupBy("block").agg(F.max_by("label", F.struct("n", "label")).alias("big"), F.sum("n").alias("rows"), F.max("n").alias("most"))
+    plan = parts.join(biggest, "block").withColumn("outer_parts", F.ceil((F.col("rows") - F.col("most")) * F.col("k") / F.col("rows")).cast("int"))
+    every = rows.join(labelled, ["block", "rep"]).join(plan.select("block", "k", "big", "outer_parts"), "block").filter("outer_parts > 0")
+    h = F.xxhash64("rep", F.lit(1))
+    inner = every.withColumn("i", F.pmod(h, F.col("k")).cast("int")).withColumn("j", F.explode(F.expr("sequence(0, outer_parts - 1)")))
+    outer = every.filter("label <> big").withColumn("j", F.pmod(h, F.col("outer_parts")).cast("int")).withColumn("i", F.explode(F.expr("sequence(0, k - 1)")))
+    both = inner.select("block", "i", "j", "rep", "grams", "label").unionByName(outer.select("block", "i", "j", "rep", "grams", "label"))
+    tasks = both.select(F.xxhash64("block", "i", "j").alias("block"), "rep", "grams", "label")
+    more = _blockwise(tasks, percent).select(F.col("rep").alias("a"), F.col("component").alias("b"))
+    edges = more.unionByName(labelled.select(F.col("rep").alias("a"), F.col("label").alias("b")))
+    joined_up = components(edges)
+    return rows.select("rep").join(joined_up.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
+
+
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -389,7 +456,7 @@ def _sets(words: int):
     return run
 
 
-def jaccard_groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
+def jaccard_groups(docs: DataFrame, words: int = 3, percent: int = 90, part_rows: int = PART_ROWS, part_grams: int = PART_GRAMS) -> DataFrame:
     """doc_id, n_shingles (size of its set) and component_id (smallest doc_id reachable by links), one row per row with an id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     frequent = frequent_grams(texts, words, FREQUENT)
@@ -400,14 +467,23 @@ def jaccard_groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFr
     copies = met.filter("kind = 1").select("a", F.col("b").alias("head"), "n")
     through = copies.join(of.withColumnRenamed("a", "head"), ["head", "n"]).select("a", F.col("b").alias("rep"), "n")
     nodes = materialize(heads.withColumnRenamed("b", "rep").unionByName(through))
+    of_size = of.groupBy(F.col("a").alias("doc_id")).agg(F.max("n").alias("n"))
     of = of.select("a", "b").distinct()
     edges = met.filter("kind = 2").select(F.col("a").alias("x"), F.col("b").alias("y"))
     edges = edges.join(of.toDF("x", "rx"), "x").join(of.toDF("y", "ry"), "y").select(F.col("rx").alias("a"), F.col("ry").alias("b"))
     blocks = materialize(components(edges).toDF("doc_id", "block"))
     # dealt by id at every size: the texts cross the network once, whatever share of them stands in blocks
     moved = texts.join(blocks.hint("merge"), "doc_id").select("block", F.col("doc_id").alias("rep"), "text")
-    grams = moved.mapInArrow(_sets(words), "block long, rep long, grams binary").repartition("block").sortWithinPartitions("block", "rep")
-    solved = materialize(grams.mapInArrow(_solve(words, percent), "rep long, component long")).groupBy("rep").agg(F.min("component").alias("component"))
+    grams = materialize(moved.mapInArrow(_sets(words), "block long, rep long, grams binary"))
+    sizes = blocks.join(of_size, "doc_id").groupBy("block").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    k = F.ceil(F.greatest(F.col("rows") / part_rows, F.col("n") / part_grams)).cast("int")
+    parts = materialize(sizes.select("block", k.alias("k")).filter("k > 1"))
+    small = grams.join(parts, "block", "left_anti").withColumn("label", F.lit(None).cast("long"))
+    solved = materialize(_blockwise(small, percent))
+    if not parts.isEmpty():
+        large = grams.join(parts.select("block"), "block", "left_semi")
+        solved = solved.unionByName(materialize(large_blocks(large, parts, percent)))
+    solved = solved.groupBy("rep").agg(F.min("component").alias("component"))
     out = nodes.join(solved, "rep", "left")
     return out.select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
