@@ -21,15 +21,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir).
-
-    Only where the session names no such folder (tests in one process) is a temporary one made and set."""
+def _root(spark: SparkSession) -> str:
+    """This application's folder below spark.checkpoint.dir. Only where the session names no such folder (tests in one
+    process) is a temporary one made and set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="bibspark-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/bibspark-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/bibspark-{spark.sparkContext.applicationId}"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share."""
+    return f"{_root(spark)}/{uuid.uuid4().hex}"
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Removes all tables that this application's operators wrote on the way. Results that are not yet written read them."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_root(spark))
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -40,11 +50,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def delete_dir(spark: SparkSession, path: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the table doesn't have, in any case."""
     have = {c.lower() for c in df.columns}

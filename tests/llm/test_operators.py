@@ -541,6 +541,18 @@ def test_resampling(spark):
     assert none.filter("kept").count() == 200
 
 
+def test_shared_tables(spark):
+    import os
+
+    from bibspark.llm import shared
+
+    df = shared.materialize(spark.range(10).toDF("x"))
+    assert df.count() == 10 and os.path.isdir(shared._root(spark).removeprefix("file://"))
+    shared.cleanup(spark)
+    assert not os.path.exists(shared._root(spark).removeprefix("file://"))
+    assert shared.fresh(spark.createDataFrame([(1, 2)], "_Row int, x int"), "_row") == "_row_"
+
+
 def test_ranks(spark):
     from bibspark.llm.ranking import rank_within
 
