@@ -140,7 +140,7 @@ def item_summary(rows: DataFrame) -> DataFrame:
     return rows.select("key", F.concat_ws("\n", *parts).alias("summary"))
 
 
-def crossref(works: DataFrame) -> DataFrame:
+def registry_works(works: DataFrame) -> DataFrame:
     """Metadata of works of a DOI registry: columns DOI, title, author (family, given), issued print and online years,
     container, publisher, volume, issue, page, ISSN, ISBN, type."""
     name = F.transform("author", lambda a: F.concat_ws(", ", filled(text(a["family"])), filled(text(a["given"]))))
