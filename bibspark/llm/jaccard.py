@@ -425,7 +425,8 @@ def large_blocks(rows: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     pivots = rows.groupBy("block", F.pmod(F.xxhash64("rep"), F.lit(PIVOTS)).alias("c")).agg(F.min("rep").alias("rep")).select("block", "rep")
     lists = pivots.join(rows, ["block", "rep"]).groupBy("block").agg(F.collect_list(F.struct("rep", "grams")).alias("pivots"))
     lists = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = rows.withColumn("salt", salt).join(lists, ["block", "salt"]).select("rep", "grams", "pivots")
+    # a merge join: compressed, the repeated pivots look small enough to be broadcast, and aren't
+    met = rows.withColumn("salt", salt).join(lists.hint("merge"), ["block", "salt"]).select("rep", "grams", "pivots")
     stars = materialize(met.mapInArrow(_pivot_links(percent), "a long, b long"))
     found = components(stars)
     labelled = rows.select("block", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("block", "rep", F.coalesce("component", "rep").alias("label"))
