@@ -3,11 +3,12 @@
 Rules of one document: few words, or many words inside 8-word windows that occur twice or more. Rule across
 documents: lines are normalised (white space runs to one space, trimmed, lower case) and hashed; a line that
 stands in more distinct documents of a host than the limit is removed from all of them but the one with the
-smallest id; a document of which too little is left is rejected.
+smallest id; a document of which too little is left is rejected. `judge` counts the words of removed lines, `keep`
+returns the texts without these lines.
 
 Defined results: null and empty texts have no words and fail. Copies of a text count as one document of their
 host, and null is a host like any other. Repeated rows (same id and text) get the same result each. Texts are
-read whole. Other columns pass `judge` by and are kept by `keep`.
+read whole. Other columns pass `judge` by and are kept by `keep`, which brings n_chars up to date where lines are gone.
 """
 
 from __future__ import annotations
@@ -93,14 +94,16 @@ def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHA
     return lines.select("_row", "_line", "doc_id", "n"), above.select("_line", "first_id")
 
 
-def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, min_left: int = MIN_LEFT) -> DataFrame:
-    """doc_id, the measures, base_failed, n_removed (words in removed lines) and kept, one row per row.
+def _judged(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, min_left: int = MIN_LEFT) -> DataFrame:
+    """The columns of `judge`, and _lines: the keys of a row's removed lines, null where it has none.
 
     The hot line is on the side of the join that Spark splits when a partition is skewed; texts are not shuffled."""
     lines, above = frequent_lines(docs, min_docs, share)
     gone = F.col("_removed_line") & ~F.col("doc_id").eqNullSafe(F.col("_first"))
     marked = lines.join(above.select("_line", F.col("first_id").alias("_first"), F.lit(True).alias("_removed_line")), "_line", "left")
-    per_row = marked.groupBy("_row").agg(F.sum("n").alias("_all"), F.sum(F.when(gone, F.col("n")).otherwise(0)).alias("_gone")).filter("_gone > 0")
+    # sorted, so that repeated rows have equal lists; where _lines is not read, Catalyst leaves it out
+    keys = F.sort_array(F.collect_set(F.when(gone, F.col("_line"))))
+    per_row = marked.groupBy("_row").agg(F.sum("n").alias("_all"), F.sum(F.when(gone, F.col("n")).otherwise(0)).alias("_gone"), keys.alias("_lines")).filter("_gone > 0")
     base = measures(docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_row"))).drop("text")
     out = base.join(per_row, "_row", "left")
     # a row that stands in the table twice has its lines counted twice; the share is the same
@@ -109,15 +112,27 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, min_l
     left = F.col("n_words") - F.col("n_removed")
     out = out.withColumn("n_removed", removed).withColumn("base_failed", failed)
     kept = ~F.col("base_failed") & (left >= MIN_WORDS) & (100 * left >= min_left * F.col("n_words"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed", kept.alias("kept"), "_row")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed", kept.alias("kept"), "_row", "_lines")
+
+
+def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, min_left: int = MIN_LEFT) -> DataFrame:
+    """doc_id, the measures, base_failed, n_removed (words in removed lines) and kept, one row per row."""
+    return _judged(docs, min_docs, share, min_left).drop("_lines")
 
 
 def keep(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of documents that `judge` keeps, with all their columns."""
+    """The rows of documents that `judge` keeps, with all their columns; removed lines are taken out of text, and
+    n_chars, where it is, is that of the text that is left."""
     # a narrow table, so that its size is known to the join and no filter is pushed into the measures
     row = fresh(docs, "_row")
-    kept = materialize(judge(docs, **limits).select(F.col("_row").alias(row), "kept")).filter("kept").select(row).distinct().hint("merge")  # dealt alike at every size
-    return docs.withColumn(row, F.xxhash64("doc_id", "text")).join(kept, row, "left_semi").drop(row)
+    gone = fresh(docs, "_lines")
+    kept = materialize(_judged(docs, **limits).select(F.col("_row").alias(row), F.col("_lines").alias(gone), "kept")).filter("kept").select(row, gone).distinct().hint("merge")  # dealt alike at every size
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col(gone), F.xxhash64("source", normal_line(x)))), "\n")
+    out = docs.withColumn(row, F.xxhash64("doc_id", "text")).join(kept, row).withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(left))
+    if "n_chars" in docs.columns:
+        n = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(n))
+    return out.select(docs.columns)
 
 
 ORACLE = r"""

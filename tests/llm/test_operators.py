@@ -105,6 +105,39 @@ def test_quality(spark):
     assert got == want and sum(v[6] > 0 for v in want.values()) > 10
 
 
+def test_frequent_lines_leave_the_texts(spark):
+    """At the limits of the query, on a host where lines are above them: verdicts, and texts without the lines."""
+    r = random.Random(6)
+    shared = [f"All rights of {k} reserved by the host of these many pages" for k in range(3)]
+    often = (400, 90, 120)  # documents of 500 that have each line: the second is below the limit
+    own = ["\n".join(" ".join(r.choice("abcdefghijklm") + str(r.randrange(99)) for _ in range(14)) for _ in range(4)) for _ in range(500)]
+    held = [set(r.sample(range(500), n)) for n in often]
+    docs = []
+    for i, t in enumerate(own):
+        ls = t.split("\n")
+        for k, h in enumerate(held):
+            if i in h:
+                ls.insert(k + 1, shared[k].upper() + " " if i % 3 == 0 else shared[k])
+        docs.append((i, "\n".join(ls) + "\n" * (i % 2), "h" if i else None))
+    docs += [(1000 + i, shared[0] + "\n" + own[i], None) for i in range(50)] + [docs[7]]
+    df = spark.createDataFrame([(*d, len(d[1])) for d in docs], "doc_id long, text string, source string, n_chars int").repartition(3)
+    want = brute_quality(docs, 100, 0.1)
+    assert {x[0]: tuple(x)[1:] for x in quality.judge(df).drop("_row").collect()} == want and sum(v[6] > 0 for v in want.values()) > 400
+    gone = {}
+    for k in (0, 2):
+        first = min(i for i in held[k] if i)
+        gone[shared[k].lower()] = first
+    left = []
+    for d, t, s in docs:
+        if want[d][-1]:
+            t = "\n".join(x for x in t.split("\n") if not (s == "h" and gone.get(x.strip(" ").lower(), d) != d))
+            left.append((d, t, s, len(t)))
+    got = quality.keep(df)
+    assert got.dtypes == df.dtypes and rows(got) == sorted(left, key=repr)
+    assert sum(shared[0].lower() in t.lower() for _, t, s, _ in left if s) == 1
+    assert not re.search("Python|Arrow|Pandas|Cartesian", got._jdf.queryExecution().toString())
+
+
 def test_quality_plan_is_native(spark):
     df = queries.op10_quality_rules(spark, SF)
     assert not re.search("Python|Arrow|Pandas|Cartesian", df._jdf.queryExecution().toString())
