@@ -4,7 +4,8 @@ The patterns give the base spans, which always stay. The tagger, a bidirectional
 transitions, is trained in numpy on labelled spans (made by `labelled`, from a fixed seed: the same weights in every
 run); it also knows spellings that the patterns don't, such as "name (at) host" or numbers without a plus. Texts are
 cut to overlapping windows, each window is decoded by Viterbi, and the spans of all windows are reconciled over the
-text: a span that a window's edge cuts gives way to the one that a neighbour sees whole, the surer of two
+text: a span that a window's edge cuts gives way to the one that a neighbour sees whole; where none does, its pieces
+are joined and decoded again in windows of twice the width around them, until one has both ends. The surer of two
 overlapping spans stays, and none may touch a base span. An added span must hold a digit, "@" or a bracketed "at"
 and pass its kind's check; so windows with none of these can't add any and are not decoded.
 
@@ -96,6 +97,8 @@ def plausible(kind: str, span: str) -> bool:
 
 TAGS = 1 + 2 * len(KINDS)  # outside, and begin and inside of each kind
 WIDTH, STEP = 96, 56
+#: Characters between a span and a window's edge for the span to count as whole.
+EDGE = 8
 HIDDEN = 14
 CHARS = 130
 #: Least mean probability of an added span's tags.
@@ -129,7 +132,7 @@ class Tagger:
             self.p["r" + d] = (r.normal(size=(h, 4 * h)) * 0.2).astype(np.float32)
             self.p["c" + d] = np.concatenate([np.zeros(h), np.ones(h), np.zeros(2 * h)]).astype(np.float32)
 
-    def _run(self, x: np.ndarray, d: str):
+    def _run(self, x: np.ndarray, d: str, keep: bool):
         """States of one direction over windows x (width, n), in reading order, and what the way back needs."""
         e, r, c = self.p["e" + d], self.p["r" + d], self.p["c" + d]
         width, n = x.shape
@@ -142,13 +145,14 @@ class Tagger:
             g = np.tanh(z[:, 3 * HIDDEN :])
             s_new = f * s + i * g
             th = np.tanh(s_new)
-            kept.append((t, h, s, i, f, o, g, th))
+            if keep:
+                kept.append((t, h, s, i, f, o, g, th))
             h, s = o * th, s_new
             states[t] = h
         return states, kept
 
     def emissions(self, x: np.ndarray, keep: bool = False):
-        (hf, kf), (hb, kb) = self._run(x, "f"), self._run(x, "b")
+        (hf, kf), (hb, kb) = self._run(x, "f", keep), self._run(x, "b", keep)
         both = np.concatenate([hf, hb], axis=2)
         out = both @ self.p["out"] + self.p["bias"]
         return (out, both, kf, kb) if keep else out
@@ -311,42 +315,92 @@ def windows_of(text: str) -> list[int]:
     return starts
 
 
+def joined_pieces(pieces: list[Span]) -> list[Span]:
+    """Pieces of one kind that touch or overlap, as one."""
+    out: list[Span] = []
+    for kind, s, e in sorted(pieces, key=lambda p: (KINDS.index(p[0]), p[1])):
+        if out and out[-1][0] == kind and s <= out[-1][2]:
+            out[-1] = (kind, out[-1][1], max(e, out[-1][2]))
+        else:
+            out.append((kind, s, e))
+    return out
+
+
 def added_spans(model: Tagger, texts: list[str], base: list[list[Span]], most: int = 512) -> list[list[Span]]:
     """Spans that the tagger adds to each text's base spans."""
-    places = [(i, a) for i, t in enumerate(texts) for a in windows_of(t)]
     found: list[list[tuple[float, Span]]] = [[] for _ in texts]
+    places, width = [(i, a) for i, t in enumerate(texts) for a in windows_of(t)], WIDTH
+    waiting: list[list[Span]] = [[] for _ in texts]
+    while places or any(waiting):
+        _decode(model, texts, places, width, max(1, most * WIDTH // width), found, waiting)
+        width *= 2
+        places = []
+        for i, pieces in enumerate(waiting):
+            if not pieces:
+                continue
+            whole = base[i] + [s for _, s in found[i]]
+            waiting[i] = []
+            for kind, s, e in joined_pieces(pieces):
+                # any span around it would touch a base span, or is seen whole
+                if any(s2 < e and s < e2 for _, s2, e2 in base[i]) or any(k2 == kind and s2 <= s and e <= e2 for k2, s2, e2 in whole):
+                    continue
+                if 2 * (e - s) > width and width < 2 * len(texts[i]):
+                    waiting[i].append((kind, s, e))
+                else:
+                    places.append((i, max(0, (s + e) // 2 - width // 2)))
+        places = list(dict.fromkeys(places))
+    return _chosen(texts, base, found)
+
+
+def _decode(model: Tagger, texts: list[str], places: list[tuple[int, int]], width: int, most: int, found: list, cut: list) -> None:
+    """Decodes windows (text, start): spans seen whole are added to `found`, pieces that an edge cuts to `cut`."""
     for lo in range(0, len(places), most):
         some = places[lo : lo + most]
-        x = np.full((len(some), WIDTH), 10, np.int64)
+        x = np.full((len(some), width), 10, np.int64)
         for k, (i, a) in enumerate(some):
-            part = ids_of(texts[i][a : a + WIDTH])
+            part = ids_of(texts[i][a : a + width])
             x[k, : len(part)] = part
         em = model.emissions(x.T)
         tags = model.viterbi(em).T
-        z, f, b = model.marginals(em)
+        z, f, b = model.marginals(em if width == WIDTH else em.astype(np.float64))  # sums over long windows are large
         sure = np.exp(np.take_along_axis(f + b, tags.T[:, :, None], 2)[:, :, 0] - z[None]).T
         for k in np.flatnonzero((tags > 0).any(1)):
             i, a = some[k]
-            for kind, s, e in tag_spans(tags[k]):
-                inner = (s > 0 or a == 0) and (e < WIDTH or a + WIDTH >= len(texts[i]))
-                if inner and a + e <= len(texts[i]):
+            n = len(texts[i])
+            for kind, s, e in tag_spans(tags[k], a > 0):
+                # this near an edge a span may look whole and go on behind it; a part of a word gets a window around it, too
+                seen = (s > EDGE or a == 0) and (e < width - EDGE or a + width >= n)
+                if not seen or width == WIDTH and _part(texts[i], a + s, a + e):
+                    cut[i].append((kind, a + s, min(a + e, n)))
+                elif a + e <= n:
                     found[i].append((float(sure[k, s:e].mean()), (kind, a + s, a + e)))
+
+
+def _part(text: str, s: int, e: int) -> bool:
+    """A part of a longer number or name is none of its own."""
+    return s > 0 and text[s - 1].isalnum() or e < len(text) and text[e].isalnum()
+
+
+def _chosen(texts: list[str], base: list[list[Span]], found: list[list[tuple[float, Span]]]) -> list[list[Span]]:
+    """Of overlapping spans the surer one, if it is plausible and touches no base span."""
     out = []
     for text, own, new in zip(texts, base, found, strict=True):
         taken, chosen = [(s, e) for _, s, e in own], []
         for p, (kind, s, e) in sorted(set(new), key=lambda x: (-x[0], _order(x[1]))):
             if p >= SURE and plausible(kind, text[s:e]) and not any(s < e2 and s2 < e for s2, e2 in taken):
-                # a part of a longer number or name is none of its own
-                if (s == 0 or not text[s - 1].isalnum()) and (e == len(text) or not text[e].isalnum()):
+                if not _part(text, s, e):
                     chosen.append((kind, s, e))
                     taken.append((s, e))
         out.append(chosen)
     return out
 
 
-def tag_spans(tags: np.ndarray) -> list[Span]:
+def tag_spans(tags: np.ndarray, midway: bool = False) -> list[Span]:
+    """Spans of tags; midway, a span may begin before the first tag."""
     out: list[Span] = []
     start = kind = None
+    if midway and tags[0] and tags[0] % 2 == 0:
+        start, kind = 0, (tags[0] - 1) // 2
     for k, t in enumerate([*tags.tolist(), 0]):
         if start is not None and (t == 0 or t % 2 == 1 or (t - 1) // 2 != kind):
             out.append((KINDS[kind], start, k))

@@ -531,6 +531,31 @@ def test_windows_are_reconciled():
         assert [text[s:e] for _, s, e in every] == ["(564) 555-4526"]
 
 
+LONG_SPANS = (
+    "thering.lastname (at) mailweb.example [dot] com",
+    "mail.web (at) thering.mail.onmail.example [dot] com",
+    "thering.mailweb.dean.anon (at) thering.mailweb.example [dot] com",
+    "thering.mailweb.deanon.ledermail.webmailing (at) mail.thering.onmail.webleder.inde.example [dot] com",
+    "thering.mailweb.dean.anon.leder.mail.webmail (at) thering.mailweb.onleder.inwebmail.thering.mail.example.mailthering [dot] com",
+)
+
+
+@pytest.mark.parametrize("span", LONG_SPANS, ids=len)
+def test_long_spans_are_reconciled(span):
+    """A span longer than the windows' overlap, or than a window, is found at every offset from their edges."""
+    model = pii.tagger()
+    for shift in range(pii.STEP):
+        text = "the and of " * 30 + "x" * shift + " call " + span + " now " + "in the of " * 20
+        _, every = pii.find(model, [text])[0]
+        assert [text[s:e] for _, s, e in every] == [span], shift
+        assert pii.masked(text, every).count("<EMAIL>") == 1
+
+
+def test_pieces():
+    assert pii.joined_pieces([("phone", 5, 9), ("email", 8, 20), ("email", 0, 8), ("email", 22, 30)]) == [("email", 0, 20), ("email", 22, 30), ("phone", 5, 9)]
+    assert pii.tag_spans(np.array([2, 2, 0, 1, 2])) == [("email", 3, 5)] and pii.tag_spans(np.array([2, 2, 0, 1, 2]), True) == [("email", 0, 2), ("email", 3, 5)]
+
+
 def test_pii_query_and_redaction(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     for r in queries.op9_pii_tagger(spark, "/root/testdata/sf0.01").collect():
