@@ -1,10 +1,12 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one for each block element. Containers that can't hold the article (menus, headers,
-footers, sidebars, notices, adverts, forms, comments, scripts) leave empty lines. Text lengths are summed over a
-sliding window of lines; a surge point is where the sum rises above the level that the page's own lines set, and a dive
-point where the lines end in an empty stretch. Text between them is kept. Where the page marks its article
-(article or main), only lines inside count.
+footers, sidebars, notices, adverts, forms, comments, scripts) leave empty lines. Lengths of text outside links are
+summed over a sliding window of lines. A dive point is where a window holds no such text: a menu without a mark, or a
+hole; a surge point is where the sums rise again, to the level that the page's own lines set. All between the first
+surge and the last dive is kept, and text beside it that only a hole smaller than a window parts from it. Where the page
+marks its article (article or main), the search is bound to the lines inside; dive points are found there in the same
+way, but any text surges.
 
 Defined results: null and empty pages have an empty text. Unclosed elements end with their parent, unclosed pages
 with the input; a page is read whole, whatever its length. White space within a block becomes one space; blocks are
@@ -62,27 +64,34 @@ def _apart(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def lines(page: str) -> tuple[list[str], list[bool]]:
-    """Lines of a page in order, empty where a container was cut out, and whether each stands inside an article."""
+def lines(page: str) -> tuple[list[str], list[bool], list[bool]]:
+    """Lines of a page in order, empty where a container was cut out, whether each stands inside an article, and whether
+    it has text outside links."""
     out: list[str] = []
+    plain_of: list[bool] = []
     inside_of: list[bool] = []
     part: list[str] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether they are cut out
     cut = articles = 0
     at = 0
+    link = plain = False
 
     def end_line() -> None:
+        nonlocal plain
         if part:
             text = " ".join(entities.unescape("".join(part)).split())
             part.clear()
             if text:
                 out.append(text)
                 inside_of.append(articles > 0)
+                plain_of.append(plain)
+        plain = False
 
     def gap() -> None:
         end_line()
         out.append("")
         inside_of.append(articles > 0)
+        plain_of.append(False)
 
     n = len(page)
     while at < n:
@@ -90,12 +99,15 @@ def lines(page: str) -> tuple[list[str], list[bool]]:
         stop = m.start() if m else n
         if stop > at and not cut:
             part.append(page[at:stop])
+            plain = plain or not link and not page[at:stop].isspace()
         if not m:
             break
         at = m.end()
         tag = m[2].lower() if m[2] else ""
         if not tag:
             continue
+        if tag == "a":
+            link = not m[1] and "href" in m[3].lower()
         if m[1]:  # an end tag
             if tag in VOID and tag != "br":
                 continue
@@ -115,6 +127,7 @@ def lines(page: str) -> tuple[list[str], list[bool]]:
                 continue
             if not cut:
                 end_line()
+            link = False  # a link that is not closed ends with its parent
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     for name, c in stack[k:]:
@@ -145,6 +158,7 @@ def lines(page: str) -> tuple[list[str], list[bool]]:
         apart = _apart(tag, m[3], articles > 0)
         if tag == "p" and stack and stack[-1][0] == "p":  # a paragraph ends the one before
             cut -= stack.pop()[1]
+            link = False
         if apart:
             if not cut:
                 gap()
@@ -155,41 +169,66 @@ def lines(page: str) -> tuple[list[str], list[bool]]:
             articles += tag in ARTICLE
     if not cut:
         end_line()
-    return out, inside_of
+    return out, inside_of, plain_of
 
 
-def regions(lengths: list[int], width: int = WIDTH, surge: int = SURGE, share: float = SHARE) -> list[tuple[int, int]]:
-    """Surge and dive points: a region goes from the first line of a stretch of text to where it dives to an empty line,
-    if the window sums within surge to the level: `surge`, or `share` of the page's highest sum if that is more. A page
-    whose windows all stay below the level has one region, its largest stretch. Inside a marked article any text is
-    above the level, so a short last paragraph after an advert stays."""
-    stretches, start = [], None
+def stretches(lengths: list[int]) -> list[tuple[int, int]]:
+    """Ranges of lines without an empty one."""
+    out, start = [], None
     for i, n in enumerate([*lengths, 0]):
         if n and start is None:
             start = i
         elif not n and start is not None:
-            stretches.append((start, i))
+            out.append((start, i))
             start = None
-    if not stretches:
-        return []
+    return out
+
+
+def regions(lengths: list[int], plain: list[bool] | None = None, width: int = WIDTH, surge: int = SURGE, share: float = SHARE, marked: bool = False) -> list[tuple[int, int]]:
+    """Ranges of lines from a surge point to a dive point. `width` lines of a stretch without text outside links (plain)
+    are a dive; what is left of a stretch is a run. Runs with a window sum of the level (`surge`, or `share` of the page's
+    highest sum if that is more) are text, and so are all lines between two of them, and a run with a sum of `surge`
+    beside text that fewer than `width` empty lines part from it. A page whose sums all stay below the level has one
+    region, its largest stretch. In a marked article any run is text."""
+    whole = stretches(lengths)
+    sums = [n if plain is None or plain[i] else 0 for i, n in enumerate(lengths)]
+    runs: list[tuple[int, int]] = []
+    for a, b in whole:
+        keep = [1] * (b - a)
+        for i in range(a, b - width + 1):
+            if not any(sums[i : i + width]):
+                keep[i - a : i - a + width] = [0] * width
+        runs += [(a + c, a + d) for c, d in stretches(keep)]
+    if not runs:
+        return whole if marked or not whole else [max(whole, key=lambda s: sum(lengths[s[0] : s[1]]))]
+    peaks = [max(sum(sums[i : min(i + width, b)]) for i in range(a, b)) for a, b in runs]
+    level = max(surge, max(peaks) * share)
+    text = [k for k, n in enumerate(peaks) if marked or n >= level]
+    if not text:
+        return [max(runs, key=lambda s: (sum(sums[s[0] : s[1]]), sum(lengths[s[0] : s[1]])))]
 
-    def peak(a: int, b: int) -> int:
-        return max(sum(lengths[i : min(i + width, b)]) for i in range(a, b))
+    def beside(k: int) -> bool:
+        """Whether only a small hole parts run k from run k + 1."""
+        a, b = runs[k][1], runs[k + 1][0]
+        return b - a < width and not any(lengths[a:b])
 
-    peaks = [peak(a, b) for a, b in stretches]
-    level = max(surge, max(peaks) * share)
-    kept = [s for s, p in zip(stretches, peaks, strict=True) if p >= level]
-    return kept or [max(stretches, key=lambda s: sum(lengths[s[0] : s[1]]))]
+    first, last = text[0], text[-1]
+    while first and peaks[first - 1] >= surge and beside(first - 1):
+        first -= 1
+    while last + 1 < len(runs) and peaks[last + 1] >= surge and beside(last):
+        last += 1
+    start, stop = runs[first][0], runs[last][1]
+    return [(start + a, start + b) for a, b in stretches(lengths[start:stop])]
 
 
 def extract(page: str | None) -> str:
     """The main text of a page."""
     if not page:
         return ""
-    text, inside = lines(page)
+    text, inside, plain = lines(page)
     marked = any(t and i for t, i in zip(text, inside, strict=True))
     lengths = [len(t) if i or not marked else 0 for t, i in zip(text, inside, strict=True)]
-    return "\n".join(t for a, b in regions(lengths, surge=1 if marked else SURGE, share=0 if marked else SHARE) for t in text[a:b])
+    return "\n".join(t for a, b in regions(lengths, plain, marked=marked) for t in text[a:b])
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id") -> DataFrame:

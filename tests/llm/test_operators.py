@@ -416,6 +416,32 @@ def test_line_blocks():
     assert htmltext.regions([3, 0, 5]) == [(2, 3)] and htmltext.regions([0, 0]) == []
 
 
+def test_surge_and_dive_without_marks():
+    """Article text on pages without article or main: menus next to it go, short stretches next to it or within stay."""
+    r = random.Random(8)
+
+    def para(n):
+        return "".join(r.choice("abcdefg ") for _ in range(n)).replace("  ", " x").strip() + "."
+
+    ad, menu = '<div class="ad">Buy now, this is a long advert of more than forty characters</div>', "<ul>" + "".join(f'<li><a href="/{k}">Item number {k} of the menu</a></li>' for k in range(6)) + "</ul>"
+    first, last = [para(1200) for _ in range(3)], para(200)
+    short = [para(12), para(60), "- one", "- two", "- three"]
+    body = "".join(f"<p>{x}</p>" for x in first)
+    want = "\n".join(" ".join(x.split()) for x in first)
+    for tag in ("div", "article", "main"):
+        page = f"<body><{tag}>{{}}</{tag}></body>"
+        assert htmltext.extract(page.format(menu + "<h1>A head</h1>" + body + menu)) == "A head\n" + want, tag
+        assert htmltext.extract(page.format(body + ad + f"<p>{last}</p>")) == want + "\n" + " ".join(last.split()), tag
+        between = "".join(f"<p>{x}</p>" for x in short)
+        got = htmltext.extract(page.format(body + ad + between + ad + body + "<p>End.</p>"))
+        assert got == want + "\n" + "\n".join(" ".join(x.split()) for x in short) + "\n" + want + "\nEnd.", tag
+    links = '<ul><li><a href="/1">One</a><li><a href="/2">Two</a><li><a href="/3">Three</a></ul>'
+    assert htmltext.extract(f"<article>{links}</article>") == "One\nTwo\nThree"
+    assert htmltext.extract("<body><p><a href='/x'>open" + f"{body}</body>") == "open\n" + want
+    # a list of plain lines is no menu
+    assert htmltext.extract(f"<body>{body}<ul><li>Salt<li>Oil<li>Milk<li>Eggs</ul></body>") == want + "\nSalt\nOil\nMilk\nEggs"
+
+
 def test_html_query(spark):
     import html
 
