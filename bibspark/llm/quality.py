@@ -2,12 +2,17 @@
 
 Rules of one document: few words, or many words inside 8-word windows that occur twice or more. Rule across
 documents: lines are normalised (white space runs to one space, trimmed, lower case) and hashed; a line that
-stands in more distinct documents of a host than the limit is removed from all of them but the one with the
-smallest id; a document of which too little is left is rejected. `judge` counts the words of removed lines, `keep`
-returns the texts without these lines.
+stands in more distinct documents of a host than the limit is removed from all of them; a document of which too
+little is left is rejected. The limit is a share of the host's distinct documents and holds for hosts of any size;
+below it no line goes that stands in MIN_DOCS documents or fewer, for a share of a small host is a chance repeat.
+`judge` counts the words of removed lines, `keep` returns the texts without these lines. With keep_first, the
+document with the smallest id keeps a line: then content that a host holds in many copies stays once.
+
+Texts are read once: a narrow row for each document (measures, hashes and sizes of its lines) is written to the shared
+folder, and all counts and joins read that. Both functions run this job when they are called.
 
 Defined results: null and empty texts have no words and fail. Copies of a text count as one document of their
-host, and null is a host like any other. Repeated rows (same id and text) get the same result each. Texts are
+host, and null is a host like any other. Repeated rows (same id, source and text) get the same result each. Texts are
 read whole. Other columns pass `judge` by and are kept by `keep`, which brings n_chars up to date where lines are gone.
 """
 
@@ -22,8 +27,8 @@ MIN_WORDS = 20
 #: Percent of words in repeated windows above which a document fails.
 MAX_REPEATED = 30
 WINDOW = 8
-#: A line is removed when more documents of its host have it than MIN_DOCS and than SHARE of the host's documents.
-MIN_DOCS, SHARE = 100, 0.1
+#: A line is removed when more documents of its host have it than MIN_DOCS and than this percentage of the host's.
+MIN_DOCS, PERCENT = 5, 1
 #: Percent of words that has to be left.
 MIN_LEFT = 30
 
@@ -37,11 +42,21 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))  # a body of two parameters would get the index
 
 
-def windows(hashes: Column, width: int = WINDOW) -> Column:
-    """Hashes of the windows of a list of word hashes."""
-    n = F.size(hashes)
-    starts = F.when(n >= width, F.sequence(F.lit(1), F.greatest(n - (width - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, width)))
+def _joined(hashes: Column, by: int) -> Column:
+    """Hashes of each element and the one `by` places later."""
+    n = F.greatest(F.size(hashes) - by, F.lit(0))
+    return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, by + 1, n), lambda a, b: F.xxhash64(a, b))
+
+
+def covered_words(hashes: Column) -> Column:
+    """Words inside 8-word windows that occur twice or more, from a list of word hashes. Windows are joined up by
+    doubling; a text without a repeated 4-word window has none of 8."""
+
+    def eight(four: Column) -> Column:
+        some = F.size(F.array_distinct(four)) < F.size(four)
+        return F.when(some, _let(_joined(four, 4), repeated_words)).otherwise(0)
+
+    return _let(_joined(hashes, 1), lambda two: _let(_joined(two, 2), eight))
 
 
 def repeated_words(windows: Column, width: int = WINDOW) -> Column:
@@ -66,72 +81,91 @@ def repeated_words(windows: Column, width: int = WINDOW) -> Column:
     return F.when(some, _let(pairs, lambda s: _let(positions(s), covered))).otherwise(0)
 
 
-def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (long) to the rows."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    # each value is bound once: a filter that Catalyst pushes below this projection copies the expressions, and a
-    # column used in a lambda would then be computed for each element
+def _measured(text: Column) -> list[Column]:
+    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (long) of a text that isn't null, as one struct and
+    the rest. Each value is bound once, so that lambdas don't compute it for each element."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    return docs.select(
-        *docs.columns,
-        word_count(text).alias("n_words"),
-        F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
+
+    def of_words(w: Column) -> Column:
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            _let(F.transform(w, lambda x: F.xxhash64(x)), covered_words).cast("long").alias("n_repeat_words"),
+        )
+
+    return [
+        _let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), of_words).alias("_words"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        _let(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)), lambda h: _let(windows(h), repeated_words)).cast("long").alias("n_repeat_words"),
+    ]
+
+
+def line_keys(source: Column, text: Column) -> Column:
+    """A key of host and normalised line, and the number of words, of each line of a text that has a word."""
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.struct(F.xxhash64(source, normal_line(x)).alias("h"), word_count(x).alias("n"))), lambda x: x["n"] > 0)
+
+
+def facts(docs: DataFrame) -> DataFrame:
+    """doc_id, source, the measures, the hash of the text, _row (a number of its own for each row, once it is written) and
+    _lines (keys and numbers of words of its lines)."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(
+        "doc_id", "source", F.xxhash64("source", "text").alias("_hash"), F.xxhash64(text).alias("_text"), *_measured(text), line_keys(F.col("source"), text).alias("_lines"), F.monotonically_increasing_id().alias("_row")
     )
+    return rows.select("doc_id", "source", "_hash", "_text", "_row", "_words.*", "n_symbols", "n_dup_lines", "_lines")
 
 
-def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
-    """Lines of all documents (_row, _line, doc_id, n), and the keys (_line, first_id) of those above the limit.
+def frequent_lines(known: DataFrame, min_docs: int = MIN_DOCS, percent: int = PERCENT) -> DataFrame:
+    """The keys (_line, first_id) of lines above the limit.
 
-    Counts are made before anything is joined: a line that half of all documents hold sends one row per task."""
-    ids = docs.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("_row"), F.xxhash64("text").alias("_text"), F.explode(F.split("text", "\n")).alias("line"))
-    lines = ids.select("doc_id", "source", "_row", "_text", F.xxhash64("source", normal_line(F.col("line"))).alias("_line"), word_count(F.col("line")).alias("n")).filter("n > 0")
+    Counts are made before anything is joined: a line that half of all documents hold sends one row per document and
+    task to be told apart, dealt by line and document, and one per task to be counted."""
+    lines = known.select("doc_id", "source", "_text", F.explode("_lines.h").alias("_line"))
     found = lines.groupBy("_line").agg(F.count_distinct("_text").alias("docs"), F.min("doc_id").alias("first_id"), F.min("source").alias("host")).filter(F.col("docs") > min_docs)
-    hosts = docs.groupBy("source").agg(F.count_distinct(F.xxhash64("text")).alias("host_docs"))
-    above = found.join(hosts, found["host"].eqNullSafe(hosts["source"])).filter(F.col("docs") > F.col("host_docs") * share)
-    return lines.select("_row", "_line", "doc_id", "n"), above.select("_line", "first_id")
-
-
-def _judged(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, min_left: int = MIN_LEFT) -> DataFrame:
-    """The columns of `judge`, and _lines: the keys of a row's removed lines, null where it has none.
-
-    The hot line is on the side of the join that Spark splits when a partition is skewed; texts are not shuffled."""
-    lines, above = frequent_lines(docs, min_docs, share)
-    gone = F.col("_removed_line") & ~F.col("doc_id").eqNullSafe(F.col("_first"))
-    marked = lines.join(above.select("_line", F.col("first_id").alias("_first"), F.lit(True).alias("_removed_line")), "_line", "left")
-    # sorted, so that repeated rows have equal lists; where _lines is not read, Catalyst leaves it out
-    keys = F.sort_array(F.collect_set(F.when(gone, F.col("_line"))))
-    per_row = marked.groupBy("_row").agg(F.sum("n").alias("_all"), F.sum(F.when(gone, F.col("n")).otherwise(0)).alias("_gone"), keys.alias("_lines")).filter("_gone > 0")
-    base = measures(docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_row"))).drop("text")
-    out = base.join(per_row, "_row", "left")
-    # a row that stands in the table twice has its lines counted twice; the share is the same
-    removed = F.coalesce((F.col("n_words") * F.col("_gone") / F.col("_all")).cast("long"), F.lit(0))
+    hosts = known.groupBy("source").agg(F.count_distinct("_text").alias("host_docs"))
+    above = found.join(hosts, found["host"].eqNullSafe(hosts["source"])).filter(100 * F.col("docs") > percent * F.col("host_docs"))
+    return above.select("_line", "first_id")
+
+
+def _judged(docs: DataFrame, min_docs: int = MIN_DOCS, percent: int = PERCENT, min_left: int = MIN_LEFT, keep_first: bool = False) -> DataFrame:
+    """The columns of `judge`, _hash, and _gone: the keys of a row's removed lines, null where it has none.
+
+    A frequent line's rows are on the side of the join that Spark splits when a partition is skewed; texts are not
+    shuffled, and of the lines only those that are removed go on."""
+    known = materialize(facts(docs))
+    lines = known.select("_row", "doc_id", F.explode("_lines").alias("l")).select("_row", "doc_id", F.col("l.h").alias("_line"), F.col("l.n").alias("n"))
+    gone = lines.join(frequent_lines(known, min_docs, percent), "_line")
+    if keep_first:
+        gone = gone.filter(~F.col("doc_id").eqNullSafe(F.col("first_id")))
+    # sorted, so that repeated rows have equal lists; where _gone is not read, Catalyst leaves it out
+    per_row = gone.groupBy("_row").agg(F.sum("n").alias("n_removed"), F.sort_array(F.collect_set("_line")).alias("_gone"))
+    out = known.join(per_row, "_row", "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0).cast("long")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     left = F.col("n_words") - F.col("n_removed")
-    out = out.withColumn("n_removed", removed).withColumn("base_failed", failed)
     kept = ~F.col("base_failed") & (left >= MIN_WORDS) & (100 * left >= min_left * F.col("n_words"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed", kept.alias("kept"), "_row", "_lines")
+    out = out.withColumn("base_failed", failed)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed", kept.alias("kept"), "_hash", "_gone")
 
 
-def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, min_left: int = MIN_LEFT) -> DataFrame:
+def judge(docs: DataFrame, **limits) -> DataFrame:
     """doc_id, the measures, base_failed, n_removed (words in removed lines) and kept, one row per row."""
-    return _judged(docs, min_docs, share, min_left).drop("_lines")
+    return _judged(docs, **limits).drop("_hash", "_gone")
 
 
 def keep(docs: DataFrame, **limits) -> DataFrame:
     """The rows of documents that `judge` keeps, with all their columns; removed lines are taken out of text, and
     n_chars, where it is, is that of the text that is left."""
-    # a narrow table, so that its size is known to the join and no filter is pushed into the measures
-    row = fresh(docs, "_row")
-    gone = fresh(docs, "_lines")
-    kept = materialize(_judged(docs, **limits).select(F.col("_row").alias(row), F.col("_lines").alias(gone), "kept")).filter("kept").select(row, gone).distinct().hint("merge")  # dealt alike at every size
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col(gone), F.xxhash64("source", normal_line(x)))), "\n")
-    out = docs.withColumn(row, F.xxhash64("doc_id", "text")).join(kept, row).withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(left))
+    names = {x: fresh(docs, x) for x in ("_id", "_hash", "_gone")}
+    # a narrow table, so that its size is known to the join; a row is told by its id and the hash of what it holds
+    kept = _judged(docs, **limits).filter("kept").select(F.col("doc_id").alias(names["_id"]), F.col("_hash").alias(names["_hash"]), F.col("_gone").alias(names["_gone"]))
+    kept = materialize(kept.distinct()).hint("merge")  # dealt alike at every size
+    gone, text = F.col(names["_gone"]), F.col("text")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(gone, F.xxhash64("source", normal_line(x)))), "\n")
+    same = docs["doc_id"].eqNullSafe(kept[names["_id"]]) & (F.xxhash64(docs["source"], docs["text"]) == kept[names["_hash"]])
+    out = docs.join(kept, same).withColumn("text", F.when(gone.isNull(), text).otherwise(left))
     if "n_chars" in docs.columns:
         n = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(n))
+        out = out.withColumn("n_chars", F.when(gone.isNull(), F.col("n_chars")).otherwise(n))
     return out.select(docs.columns)
 
 
@@ -147,8 +181,8 @@ l0 AS (SELECT doc_id, source, t, unnest(string_split(x, chr(10))) AS line FROM d
 l AS (SELECT doc_id, source, t, line, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l0 WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, t, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY ALL),
 hosts AS (SELECT source, count(DISTINCT t) AS host_docs FROM d GROUP BY source),
-f AS (SELECT l.source, norm, min(doc_id) AS first_id FROM l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, norm, host_docs HAVING count(DISTINCT t) > 100 AND count(DISTINCT t) > host_docs * 0.1),
-gone AS (SELECT l.doc_id, l.t, sum(l.n)::BIGINT AS n_removed FROM l JOIN f ON l.source IS NOT DISTINCT FROM f.source AND l.norm = f.norm WHERE l.doc_id <> f.first_id GROUP BY ALL),
+f AS (SELECT l.source, norm, host_docs FROM l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, norm, host_docs HAVING count(DISTINCT t) > 5 AND 100 * count(DISTINCT t) > host_docs),
+gone AS (SELECT l.doc_id, l.t, sum(l.n)::BIGINT AS n_removed FROM l JOIN f ON l.source IS NOT DISTINCT FROM f.source AND l.norm = f.norm GROUP BY ALL),
 m AS (
   SELECT g.doc_id, n::BIGINT AS n_words, length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
     len(regexp_extract_all(x, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,

@@ -51,7 +51,7 @@ def op9_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents")).drop("_row")
+    return quality.judge(table(spark, sf_dir, "documents"))
 
 
 def queries():

@@ -30,7 +30,7 @@ WHOLE = {
     "count_tokens": lambda d: tokencount.count_tokens(d, queries.tokenizer("byte_bpe_50k.json")),
     "round_trip": lambda d: sentencepiece.round_trip(d, queries.tokenizer("piece_bpe_32k.model")),
     "encode": lambda d: sentencepiece.encode(d, queries.tokenizer("piece_bpe_32k.model")),
-    "judge": lambda d: quality.judge(d, 2, 0.0).drop("_row"),
+    "judge": lambda d: quality.judge(d, min_docs=2, percent=0),
     "copies": mixing.copies,
     "detect": pii.detect,
     "digests": avi.digests,
@@ -68,13 +68,30 @@ def test_odd_stages(odd, clashing, empty, stage):
 # --- quality rules
 
 
-def brute_quality(docs, min_docs, share, min_left=30):
-    out, lines, hosts = {}, defaultdict(lambda: defaultdict(set)), defaultdict(set)
+def brute_gone(docs, min_docs=5, percent=1, keep_first=False):
+    """Whether a line of a document goes, by id, source and line."""
+    lines, hosts = defaultdict(lambda: defaultdict(set)), defaultdict(set)
+
+    def key(s, line):
+        return s, re.sub(r"[\x20\x09-\x0D]+", " ", line).strip(" ").lower()
+
     for d, t, s in docs:
         hosts[s].add(t)
         for line in (t or "").split("\n"):
             if WORDS.search(line):
-                lines[s, re.sub(r"[\x20\x09-\x0D]+", " ", line).strip(" ").lower()][t].add(d)
+                lines[key(s, line)][t].add(d)
+
+    def gone(d, s, line):
+        k = lines[key(s, line)] if WORDS.search(line) else ()
+        if not len(k) > min_docs or not 100 * len(k) > percent * len(hosts[s]):
+            return False
+        return not (keep_first and d == min((i for ds in k.values() for i in ds if i is not None), default=None))
+
+    return gone
+
+
+def brute_quality(docs, min_left=30, **limits):
+    out, gone = {}, brute_gone(docs, **limits)
     for d, t, s in docs:
         w = WORDS.findall(t or "")
         win = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
@@ -83,15 +100,10 @@ def brute_quality(docs, min_docs, share, min_left=30):
             if win[tuple(w[i : i + 8])] > 1:
                 hit |= set(range(i, i + 8))
         ls = [x for x in (t or "").split("\n") if WORDS.search(x)]
-        gone = 0
-        for x in ls:
-            k = lines[s, re.sub(r"[\x20\x09-\x0D]+", " ", x).strip(" ").lower()]
-            owners = [i for ds in k.values() for i in ds if i is not None]
-            if len(k) > min_docs and len(k) > share * len(hosts[s]) and d != min(owners, default=None):
-                gone += len(WORDS.findall(x))
+        n = sum(len(WORDS.findall(x)) for x in ls if gone(d, s, x))
         failed = len(w) < 20 or 100 * len(hit) > 30 * len(w)
-        left = len(w) - gone
-        out[d] = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(ls) - len(set(ls)), len(hit), failed, gone, not failed and left >= 20 and 100 * left >= min_left * len(w))
+        left = len(w) - n
+        out[d] = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(ls) - len(set(ls)), len(hit), failed, n, not failed and left >= 20 and 100 * left >= min_left * len(w))
     return out
 
 
@@ -100,18 +112,21 @@ def test_quality(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, "h").alias("source"))
     extra = [(10_000 + i, "Shared line of text that is long enough to count for something here today\n" * 3 + " ".join(r.choice("abcdefgh") for _ in range(r.randint(5, 60))), "h") for i in range(20)]
     docs = docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string, source string"))
-    want = brute_quality([tuple(x) for x in docs.collect()], 2, 0.05)
-    got = {x[0]: tuple(x)[1:] for x in quality.judge(docs, 2, 0.05).drop("_row").collect()}
-    assert got == want and sum(v[6] > 0 for v in want.values()) > 10
+    every = [tuple(x) for x in docs.collect()]
+    for first in (False, True):
+        want = brute_quality(every, min_docs=2, percent=5, keep_first=first)
+        got = {x[0]: tuple(x)[1:] for x in quality.judge(docs, min_docs=2, percent=5, keep_first=first).collect()}
+        assert got == want and sum(v[6] > 0 for v in want.values()) > 10
 
 
-def test_frequent_lines_leave_the_texts(spark):
-    """At the limits of the query, on a host where lines are above them: verdicts, and texts without the lines."""
+@pytest.mark.parametrize("first", [False, True])
+def test_frequent_lines_leave_the_texts(spark, first):
+    """At the limits of the query, on a large host and a small one: verdicts, and texts without the lines."""
     r = random.Random(6)
     shared = [f"All rights of {k} reserved by the host of these many pages" for k in range(3)]
-    often = (400, 90, 120)  # documents of 500 that have each line: the second is below the limit
-    own = ["\n".join(" ".join(r.choice("abcdefghijklm") + str(r.randrange(99)) for _ in range(14)) for _ in range(4)) for _ in range(500)]
-    held = [set(r.sample(range(500), n)) for n in often]
+    often = (400, 6, 12)  # documents of 800 that have each line: the second is below the limit
+    own = ["\n".join(" ".join(r.choice("abcdefghijklm") + str(r.randrange(99)) for _ in range(14)) for _ in range(4)) for _ in range(800)]
+    held = [set(r.sample(range(1, 800), n)) for n in often]
     docs = []
     for i, t in enumerate(own):
         ls = t.split("\n")
@@ -119,28 +134,35 @@ def test_frequent_lines_leave_the_texts(spark):
             if i in h:
                 ls.insert(k + 1, shared[k].upper() + " " if i % 3 == 0 else shared[k])
         docs.append((i, "\n".join(ls) + "\n" * (i % 2), "h" if i else None))
-    docs += [(1000 + i, shared[0] + "\n" + own[i], None) for i in range(50)] + [docs[7]]
+    # a host of 12: a line of 6 documents goes, one of 5 stays
+    docs += [(1000 + i, "\n".join([shared[0]] * (i < 6) + [shared[1]] * (i < 5) + [own[i]]), "small") for i in range(12)] + [docs[7]]
     df = spark.createDataFrame([(*d, len(d[1])) for d in docs], "doc_id long, text string, source string, n_chars int").repartition(3)
-    want = brute_quality(docs, 100, 0.1)
-    assert {x[0]: tuple(x)[1:] for x in quality.judge(df).drop("_row").collect()} == want and sum(v[6] > 0 for v in want.values()) > 400
-    gone = {}
-    for k in (0, 2):
-        first = min(i for i in held[k] if i)
-        gone[shared[k].lower()] = first
+    want = brute_quality(docs, keep_first=first)
+    assert {x[0]: tuple(x)[1:] for x in quality.judge(df, keep_first=first).collect()} == want and sum(v[6] > 0 for v in want.values()) > 400
+    gone = {("h", shared[0].lower()): min(held[0]), ("h", shared[2].lower()): min(held[2]), ("small", shared[0].lower()): 1000}
     left = []
     for d, t, s in docs:
         if want[d][-1]:
-            t = "\n".join(x for x in t.split("\n") if not (s == "h" and gone.get(x.strip(" ").lower(), d) != d))
+            t = "\n".join(x for x in t.split("\n") if (key := (s, x.strip(" ").lower())) not in gone or first and gone[key] == d)
             left.append((d, t, s, len(t)))
-    got = quality.keep(df)
+    got = quality.keep(df, keep_first=first)
     assert got.dtypes == df.dtypes and rows(got) == sorted(left, key=repr)
-    assert sum(shared[0].lower() in t.lower() for _, t, s, _ in left if s) == 1
+    for host in ("h", "small"):
+        assert sum(shared[0].lower() in t.lower() for _, t, s, _ in left if s == host) == first
+    assert sum(shared[1].lower() in t.lower() for _, t, s, _ in left if s == "small") == 5
     assert not re.search("Python|Arrow|Pandas|Cartesian", got._jdf.queryExecution().toString())
 
 
+def test_lines_are_removed_at_sf001(spark):
+    """The line rule decides on the given tables."""
+    got = queries.op10_quality_rules(spark, SF.replace("0.001", "0.01")).collect()
+    assert sum(x["n_removed"] > 0 for x in got) > 50 and any(x["kept"] == x["base_failed"] for x in got)
+
+
 def test_quality_plan_is_native(spark):
-    df = queries.op10_quality_rules(spark, SF)
-    assert not re.search("Python|Arrow|Pandas|Cartesian", df._jdf.queryExecution().toString())
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for df in (queries.op10_quality_rules(spark, SF), quality.facts(docs)):
+        assert not re.search("Python|Arrow|Pandas|Cartesian", df._jdf.queryExecution().toString())
 
 
 # --- tokenizers

@@ -3,7 +3,7 @@
 import math
 
 import duckdb
-from test_operators import SF, brute_groups, brute_quality
+from test_operators import SF, brute_gone, brute_groups, brute_quality
 
 import corpus_pipeline
 from bibspark.llm import pii, queries
@@ -13,8 +13,10 @@ def test_pipeline(spark):
     import sentencepiece
 
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source").collect()]
-    kept = {d for d, v in brute_quality(rows, 100, 0.1).items() if v[-1]}
-    groups = brute_groups({d: t for d, t, _ in rows if d in kept}, 5, 80)
+    gone = brute_gone(rows, keep_first=True)
+    kept = {d for d, v in brute_quality(rows, keep_first=True).items() if v[-1]}
+    rows = [(d, "\n".join(x for x in t.split("\n") if not gone(d, s, x)), s) for d, t, s in rows if d in kept]
+    groups = brute_groups({d: t for d, t, _ in rows}, 5, 80)
     rows = [x for x in rows if x[0] in {c for _, c in groups.values()}]
     model = pii.tagger()
     clean = [(d, pii.masked(t, every), s) for (d, t, s), (_, every) in zip(rows, pii.find(model, [t for _, t, _ in rows]), strict=True)]
