@@ -16,8 +16,9 @@ from bibspark.llm.shared import materialize, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
-    return quality.keep(docs)
+    """Documents that the rules keep, without the frequent lines of their hosts; one document keeps such a line, so that
+    what a host holds in many copies is left to the next stage."""
+    return quality.keep(docs, keep_first=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
