@@ -464,6 +464,53 @@ def test_surge_and_dive_without_marks():
     assert htmltext.extract(f"<body>{body}<ul><li>Salt<li>Oil<li>Milk<li>Eggs</ul></body>") == want + "\nSalt\nOil\nMilk\nEggs"
 
 
+BODY = "<h1>Title here</h1>" + "".join(f"<p>Paragraph {i} of the body, with enough words to count as text in any window of lines.</p>" for i in range(5))
+WRAPPERS = ['div class="content with-sidebar"', 'div id="page" class="has-header"', 'div class="widget-content"', 'section role="search-results"', 'form id="aspnetForm"', 'div class="header"', 'div class="page sidebar"']
+
+
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<main>{}</main>", "{}"])
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_wrappers_keep_the_article(wrapper, inner):
+    want = "Title here\n" + "\n".join(re.findall("<p>(.*?)</p>", BODY))
+    page = f"<body><nav><a href=/>Home</a></nav><{wrapper}>{inner.format(BODY)}</{wrapper.split()[0]}><footer>Foot of the page</footer></body>"
+    assert htmltext.extract(page) == want
+
+
+def test_marks_are_hints():
+    """Marks of parts of the text, teasers, leads, comments, and names of several words."""
+    want = htmltext.extract(f"<body><article>{BODY}</article></body>")
+    named = '<p class="share-price">Three dollars</p><p class="notice">A notice</p><div class="alert">An alert</div>'
+    assert htmltext.extract(f"<article>{BODY}{named}</article>") == want + "\nThree dollars\nA notice\nAn alert"
+    assert htmltext.extract(f"<body><article>Short teaser</article><div>{BODY}</div></body>").endswith(want)
+    assert htmltext.extract(f'<body><div><p>A short lead.</p><nav><a href="/">Home</a></nav>{BODY}</div></body>') == "A short lead.\n" + want
+    long = "<article>A comment of many words, longer than all that it is about. " * 30 + "</article>"
+    assert htmltext.extract(f'<body><article>{BODY}</article><section id="comments">{long}</section></body>') == want
+    assert htmltext.extract(f'<body><div>{BODY}</div><div class="comment-list"><article class="comment">First!</article></div></body>') == want
+    assert htmltext.extract(f"<body><div>{BODY}</div><aside><article>Teaser one</article></aside></body>") == want
+    around = '<div class="ad-slot">Buy now and more</div><div id="cookie-notice">We use cookies</div>{}<div class="newsletter-signup"><form>Give your mail</form></div>'
+    assert htmltext.extract(around.format(f"<article>{BODY}</article>")) == htmltext.extract(around.format(BODY)) == want
+    assert htmltext.extract('<body><div class="ad">An advert of more text than the page has</div><p>Short.</p></body>') == "Short."
+    assert htmltext.extract('<article><p>A <span class="ad">word</span> and <button>press</button>more <i hidden>no</i>end</p></article>') == "A word and more end"
+
+
+def test_line_blocks_decide():
+    """On pages without article or main, lines of bare containers at both ends go by their windows."""
+    want = htmltext.extract(f"<article>{BODY}</article>")
+    menu, foot = "".join(f"<div>{x}</div>" for x in ("Home", "About", "Contact")), "<div>Terms</div><div>2024</div>"
+    assert htmltext.extract(f"<body>{menu}{BODY}{foot}</body>") == want
+    assert htmltext.regions([4, 5, 7, 80, 90, 5], solid=[False] * 6) == [(3, 5)]
+
+
+def test_odd_pages(spark):
+    rows_ = [(1, "u", BODY), (1, "u", BODY), (None, None, BODY), (2, None, None), (3, "v", ""), (4, "w", "<p>" + "long " * 100_000), (5, "x", "<<<>>&&#;</p></"), (6, "y", "plain text")]
+    pages = spark.createDataFrame(rows_, "page_id long, url string, html string")
+    got = sorted((tuple(r) for r in htmltext.main_text(pages).collect()), key=repr)
+    assert got == sorted(((p, u, htmltext.extract(h), len(htmltext.extract(h))) for p, u, h in rows_), key=repr)
+    wide = pages.select("*", *(F.lit("own").alias(c) for c in ("text", "n_chars", "level", "plain")))
+    assert sorted((tuple(r) for r in htmltext.main_text(wide).collect()), key=repr) == got
+    assert htmltext.main_text(pages.limit(0)).collect() == []
+
+
 def test_html_query(spark):
     import html
 
