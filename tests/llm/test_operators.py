@@ -408,12 +408,91 @@ def test_salvage(packed, seed):
     found = [x["head"]["warc-record-id"] for k, x in out if k == "record"]
     assert found == [f"<{warc.URI}{i}>" for i in range(12) if i != hit]
     gaps = [x for k, x in out if k == "gap"]
-    assert [(a, b) for a, b, _ in gaps] == [(ends[hit - 1], ends[hit])] and gaps[0][2]
+    assert [x[:2] for x in gaps] == [(ends[hit - 1], ends[hit])] and gaps[0][2]
     cut = bytes(b"".join(parts)[: ends[5] + 40])
     out = list(warc.salvage(cut))
     assert sum(k == "record" for k, _ in out) == 6 and out[-1][0] == "gap" and out[-1][1][:2] == (ends[5], len(cut))
 
 
+def ids_and_gaps(data):
+    out = list(warc.salvage(data))
+    return [int(x["head"]["warc-record-id"].strip("<>").removeprefix(warc.URI)) for k, x in out if k == "record"], [x for k, x in out if k == "gap"]
+
+
+def test_salvage_inside_members():
+    """Records before and after a bad one of the same member, and those of members with a broken end."""
+    r = random.Random(9)
+    recs = [warc.record(i, f"http://x/{i}", bytes(r.randrange(97, 120) for _ in range(900))) for i in range(6)]
+    bad = bytearray(recs[1])
+    bad[-40] ^= 1
+    edges = np.cumsum([0, *map(len, recs)]).tolist()
+    after = warc.member(warc.record(9, None, b"after"))
+    # a sound member with a bad second record
+    one = warc.member(b"".join([recs[0], bytes(bad), *recs[2:]]))
+    ids, gaps = ids_and_gaps(one + after)
+    assert ids == [0, 2, 3, 4, 5, 9] and [g[3:] for g in gaps] == [(edges[1], edges[2])] and gaps[0][:3] == (0, len(one), "block digest")
+    # junk between records, and a length that leads beyond the next record
+    wrong = re.sub(rb"Content-Length: (\d+)\r\n\r\nHTTP", rb"Content-Length: 99\1\r\n\r\nHTTP", recs[3])
+    assert ids_and_gaps(warc.member(b"".join([recs[0], b"junk", recs[1], wrong, recs[4]])))[0] == [0, 1, 4]
+    # a trailer that is cut, or wrong
+    whole = warc.member(b"".join(recs))
+    for broken in (whole[:-5], whole[:-8] + b"\0" * 8, whole[:-1]):
+        ids, gaps = ids_and_gaps(broken + after)
+        assert ids == [0, 1, 2, 3, 4, 5, 9] and len(gaps) == 1 and gaps[0][3] == edges[-1]
+        assert ids_and_gaps(broken)[0] == [0, 1, 2, 3, 4, 5]
+    # a stream that is cut, at the file's end and before another member, or has a wrong byte
+    for k in (len(whole) // 2, len(whole) - 40):
+        for tail in (b"", after):
+            ids, gaps = ids_and_gaps(whole[:k] + tail)
+            assert ids[: len(ids) - bool(tail)] == list(range(len(ids) - bool(tail))) and len(ids) > 1 and (not tail or ids[-1] == 9)
+            assert gaps[0][0] == 0 and gaps[-1][1] == k
+    damaged = bytearray(whole)
+    damaged[len(whole) // 2] ^= 0xFF
+    ids, gaps = ids_and_gaps(bytes(damaged) + after)
+    assert ids[0] == 0 and ids[-1] == 9 and gaps
+    # without a digest nothing of a damaged member is proved
+    bare = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:x-page:7>\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    assert ids_and_gaps(warc.member(bare))[0] == [7] and ids_and_gaps(warc.member(bare)[:-3] + after)[0] == [9]
+    # a header with a name, and an extra field
+    plain = warc.member(recs[0])
+    assert ids_and_gaps(plain[:3] + b"\x0c" + plain[4:10] + b"\x02\0ab" + b"name\0" + plain[10:])[0] == [0]
+
+
+def test_salvage_is_linear():
+    import time
+
+    r = random.Random(10)
+    parts = [bytearray(warc.member(warc.record(i, None, bytes(r.randrange(256) for _ in range(300))))) for i in range(20_000)]
+    for x in parts:
+        x[-2] ^= 0xFF  # every trailer
+    began = time.perf_counter()
+    out = list(warc.salvage(b"".join(map(bytes, parts))))
+    assert sum(k == "record" for k, _ in out) == 20_000 and time.perf_counter() - began < 30
+    for x in parts:
+        x[30] ^= 0xFF  # every stream
+    began = time.perf_counter()
+    assert sum(k == "gap" for k, _ in warc.salvage(b"".join(map(bytes, parts)))) >= 1 and time.perf_counter() - began < 30
+
+
+def test_odd_archives(spark):
+    """Repeated rows, null ids, ties on the largest id, very long pages, clashing names; archives bounded by bytes."""
+    long = "z" * 3000
+    rows_ = [(1, "u", long), (1, "u", long), (None, "v", long), (7, "w", long), (7, "w", long), (None, None, None), (8, "x", "é" * 400_000), (None, "y", "q" * 2000)]
+    pages = spark.createDataFrame(rows_, "page_id long, url string, html string")
+    got = sorted(((x["page_id"], x["record_type"], x["refers_to"], x["payload_bytes"]) for x in warc.round_trip(pages).collect()), key=repr)
+    want = [(1, "revisit", 7, 3000)] * 2 + [(None, "revisit", 7, 3000)] + [(7, "response", None, 3000)] * 2 + [(None, "response", None, 0), (8, "response", None, 800_000), (None, "response", None, 2000)]
+    assert got == sorted(want, key=repr)
+    wide = pages.select("*", *(F.lit("own").alias(c) for c in ("_digest", "_first", "members", "refers_to")))
+    assert sorted(((x["page_id"], x["record_type"], x["refers_to"], x["payload_bytes"]) for x in warc.round_trip(wide).collect()), key=repr) == got
+    r = random.Random(11)
+    noise = [(i, None, "".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(3000))) for i in range(60)]
+    folder = spark.conf.get("spark.checkpoint.dir") + "/bounded"
+    warc.write(spark.createDataFrame(noise, pages.schema).coalesce(1), folder, unit=10_000, units=4)
+    files = spark.read.format("binaryFile").load(folder).select("length").collect()
+    assert len(files) > 5 and max(x[0] for x in files) < 5 * 10_000 + 10_000
+    assert warc.read(spark, folder).filter("error IS NULL").count() == 60
+
+
 # --- HTML
 
 
