@@ -9,13 +9,18 @@ computed in blocks of rows that may have links with each other, so that no pair
    are joined to a block. The most frequent n-grams are left out of the slices, or a passage that many documents
    share would join them: what is left of two sets differs in D at most as well, so nothing is lost. Sets of which
    little is left send slices of all their n-grams too.
-2. Sets are moved to their block once. There the product is accumulated: rows in order of size, rare columns
-   first, and a pair is discarded when its size bound or what is left of its columns can't reach the threshold.
-   Rows that links have joined already aren't multiplied again: a group of k near copies costs k rows, not k^2
-   pairs, and no link between different groups is lost. A large block is cut to parts (see large_blocks).
+2. Sets are moved to their block once. There the product is accumulated over tiles of columns, rarest first: a
+   matrix of overlap counts, one cell for each two rows, grows by the pairs of rows that share a column of few
+   rows, and by a product of incidence matrices for columns of many. After each tile a pair is discarded when its
+   sizes, or what is left of both rows' columns, can't reach the threshold; rows without a pair left go out. A group
+   of copies gives counts in a matrix of a bounded number of rows, never a list of its pairs. A large block is cut
+   to parts (see large_blocks).
 
 Equal sets are found by hash first and enter as one row. Defined results: null and empty texts have the empty
-set, 0 n-grams and no links; repeated rows give a row each; rows without an id have no links and give none. A text's length has no limit. Hashes have 64 bits (a slice or set hash 62).
+set, 0 n-grams and no links; repeated rows give a row each. Rows without an id are documents like others: they can
+link, and have no component_id if no document with an id is reachable (those with equal texts are repeated rows; where
+there are any, ids have to be below 2^62). A text's length has no limit. Hashes have 64 bits (a slice or set hash 62).
+`jaccard_groups` and `one_of_each` run jobs when they are called.
 """
 
 from __future__ import annotations
@@ -28,15 +33,19 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import U64, groups, joined, materialize, mix64, ragged, span_hashes, word_spans
+from .shared import U64, fresh, groups, joined, materialize, mix64, ragged, span_hashes, word_spans
 
 BYTES = 1_000_000
-#: Slice hashes that a task holds at once.
-HELD = 400_000
+#: Slice hashes, and documents, that a task holds at once.
+HELD, HELD_DOCS = 400_000, 50_000
 #: N-grams that count as frequent, and how often one stands in what a task holds before it is counted.
 FREQUENT, OFTEN = 50_000, 4
 #: Rows and n-grams of a part of a block; blocks of more are cut to parts.
 PART_ROWS, PART_GRAMS = 500, 1_000_000
+#: Columns of a tile of the product, and pairs of rows that are counted at once.
+TILE, ROOM = 2048, 2_000_000
+#: Cells of a dense product that cost as much as one counted pair.
+DENSE = 200
 #: Pivots of a large block, and classes its rows are dealt by to meet them.
 PIVOTS, SALTS = 12, 64
 SLICE, SAME, COPY = 0, 2, 3
@@ -159,11 +168,17 @@ def _signatures(words: int, percent: int, frequent: np.ndarray):
         holder: dict[tuple[int, int], int] = {}
         for d, k in zip(ids, same, strict=True):
             holder[k] = min(d, holder.get(k, d))
+        # a document is first of its set once; the same row again is a copy of itself
+        left, first = set(holder), np.zeros(len(ids), bool)
+        for i, (d, k) in enumerate(zip(ids, same, strict=True)):
+            if k in left and holder[k] == d:
+                left.discard(k)
+                first[i] = True
         doc, size, h = np.array(ids), np.array([n for _, n in same]), np.array([x for x, _ in same], U64)
-        head = np.array([holder[k] if k[1] else d for d, k in zip(ids, same, strict=True)])
+        head = np.array([holder[k] for k in same])
         own = (mix64(h) & ~U64(3)) | U64(SAME)
         other = (mix64(doc.astype(U64)) & ~U64(2**32 - 1)) | (size.astype(U64) << U64(2)) | U64(COPY)
-        yield from _rows(np.where(doc == head, own, other), doc, np.where(doc == head, size, head))
+        yield from _rows(np.where(first, own, other), doc, np.where(first, size, head))
         if not slices:
             return
         heads = np.array([holder[k] for k in slices])
@@ -189,15 +204,13 @@ def _signatures(words: int, percent: int, frequent: np.ndarray):
             for a, b in groups(batch.column(1), BYTES):
                 part = batch.slice(a, b - a)
                 for doc, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), words), strict=True):
-                    if doc is None:
-                        continue
                     key = (int(mix64(s).sum(dtype=U64)) if len(s) else doc & (2**64 - 1), len(s))
                     ids.append(doc)
                     same.append(key)
                     if len(s) and key not in slices:
                         slices[key] = cut.hashes(s)
                         held += len(slices[key])
-                if held > HELD:  # what equal keys share is found within this much, and the rest after the shuffle
+                if held > HELD or len(ids) > HELD_DOCS:  # what equal keys share is found within this much, and the rest after the shuffle
                     yield from rows(ids, same, slices)
                     ids, same, slices, held = [], [], {}, 0
         if ids:
@@ -267,24 +280,6 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b").distinct())
 
 
-class Union:
-    """Labels of rows; joining relabels the smaller group."""
-
-    def __init__(self, n: int):
-        self.label = np.arange(n)
-        self.members: dict[int, list[int]] = {i: [i] for i in range(n)}
-
-    def join(self, i: int, j: int) -> None:
-        a, b = int(self.label[i]), int(self.label[j])
-        if a == b:
-            return
-        if len(self.members[a]) < len(self.members[b]):
-            a, b = b, a
-        moved = self.members.pop(b)
-        self.label[moved] = a
-        self.members[a] += moved
-
-
 def overlap(x: np.ndarray, y: np.ndarray) -> int:
     at = np.searchsorted(y, x)
     at[at == len(y)] = 0
@@ -296,67 +291,88 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def block_components(sets: list[np.ndarray], percent: int, room: int = 2_000_000, joined_before: list | None = None) -> np.ndarray:
-    """Group labels of the sets of one block. room: products held at once; joined_before: a label per set, equal ones are
-    known to be in one group."""
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    rows = [sets[i] for i in order]
-    size = np.array([len(s) for s in rows])
-    k, union = len(rows), Union(len(rows))
-    least = -(-size * percent // 100)  # of a smaller partner
-    low = np.searchsorted(size, least)
+def block_components(sets: list[np.ndarray], percent: int, room: int = ROOM, joined_before: list | None = None) -> np.ndarray:
+    """Group labels of the sets of one block. room: pairs of rows counted at once; joined_before: a label per set, equal ones
+    are known to be in one group."""
+    k = len(sets)
+    label = np.arange(k)
     if joined_before is not None:
         first: dict[object, int] = {}
-        for row, i in enumerate(order.tolist()):
-            union.join(row, first.setdefault(joined_before[i], row))
-    for i in range(1, k):  # the row before, or a group's last row, mostly links at once
-        tried = set()
-        for j in range(i - 1, max(low[i], i - 9) - 1, -1):
-            if (g := int(union.label[j])) in tried or g == union.label[i]:
-                continue
-            tried.add(g)
-            if linked(rows[i], rows[j], percent):
-                union.join(i, j)
-    if len(union.members) > 1:
-        _product(rows, size, low, union, percent, room)
-    out = np.empty(k, np.int64)
-    out[order] = union.label
-    return out
+        label = np.array([first.setdefault(g, i) for i, g in enumerate(joined_before)])
+    return _spread(links(sets, percent, room), label)
 
 
-def _product(rows, size, low, union, percent, room):
-    """Pairs of rows in different groups, from the incidence of rows and rare columns."""
-    k = len(rows)
-    cells = np.zeros(1 << 20, np.int32)  # how many rows have a column, by a hash of it
-    for r in rows:
-        np.add.at(cells, (r & U64(len(cells) - 1)).astype(np.int64), 1)
-    # each row's rarest columns: a linked pair shares one of them
-    reach = size - (-(-size * percent // 100)) + 1
-    rare = [r[np.lexsort((r, cells[(r & U64(len(cells) - 1)).astype(np.int64)]))[:n]] for r, n in zip(rows, reach.tolist(), strict=True)]
-    columns, col_of = np.unique(np.concatenate(rare), return_inverse=True)
-    row_of = np.repeat(np.arange(k), reach)
-    picked = np.split(col_of, np.cumsum(reach)[:-1])
-    by_col = np.argsort(col_of, kind="stable")
-    post_row, post_col = row_of[by_col], col_of[by_col]
-    at = np.searchsorted(post_col, np.arange(len(columns) + 1))
-    biggest = max(union.members, key=lambda g: len(union.members[g]))
-    outer = np.flatnonzero(union.label != biggest)
-    work = np.array([(at[picked[i] + 1] - at[picked[i]]).sum() for i in outer])
-    lo = 0
-    while lo < len(outer):
-        hi = max(lo + 1, int(np.searchsorted(np.cumsum(work[lo:]), room)) + lo)
-        some = outer[lo:hi]
-        own = np.concatenate([picked[i] for i in some])
-        left = np.repeat(some, reach[some])
-        n = at[own + 1] - at[own]
-        right = post_row[ragged(at[own], n)]
-        left = np.repeat(left, n)
-        big, small = np.maximum(left, right), np.minimum(left, right)
-        fine = (small >= low[big]) & (union.label[big] != union.label[small])
-        for pair in np.unique(big[fine] * k + small[fine]).tolist():
-            i, j = divmod(pair, k)
-            if union.label[i] != union.label[j] and linked(rows[i], rows[j], percent):
-                union.join(i, j)
+def _spread(linked_rows: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The smallest label that each row reaches by links and equal labels."""
+    k = len(label)
+    while True:
+        least = np.minimum(label, np.where(linked_rows, label[None, :], k).min(1, initial=k))
+        of_label = np.full(k, k)
+        np.minimum.at(of_label, label, least)
+        new = of_label[label]
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def links(sets: list[np.ndarray], percent: int, room: int = ROOM) -> np.ndarray:
+    """Which rows link with which, by the product of the block's incidence matrix with its transpose."""
+    k = len(sets)
+    size = np.array([len(s) for s in sets], np.int64)
+    need = -(-percent * (size[:, None] + size[None, :]) // (100 + percent))  # overlap of a link
+    counts = np.zeros((k, k), np.int32)
+    columns, col, deg = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(k), size)
+    # columns that one row has alone add nothing to any pair; the others are numbered by their rows, fewest first
+    shared = deg > 1
+    order = np.flatnonzero(shared)[np.argsort(deg[shared], kind="stable")]
+    number = np.full(len(columns), -1)
+    number[order] = np.arange(len(order))
+    col = number[col]
+    row, col = row[col >= 0], col[col >= 0]
+    by_col = np.argsort(col, kind="stable")
+    row, col = row[by_col], col[by_col]
+    edges = np.searchsorted(col, np.arange(0, len(order) + TILE, TILE))
+    left = np.bincount(row, minlength=k)  # columns of each row that are still to come
+    open_ = np.minimum(left[:, None], left[None, :]) >= need
+    np.fill_diagonal(open_, False)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        going = open_.any(1)
+        if not going.any():
+            break
+        some = going[row[a:b]]
+        r, c = row[a:b][some], col[a:b][some]
+        left -= np.bincount(row[a:b], minlength=k)
+        _accumulate(counts, r, c, k, room)
+        open_ &= counts + np.minimum(left[:, None], left[None, :]) >= need
+    return open_
+
+
+def _accumulate(counts: np.ndarray, r: np.ndarray, c: np.ndarray, k: int, room: int) -> None:
+    """Adds a tile (rows r and columns c, in order of column) to the overlap counts."""
+    if not len(r):
+        return
+    new = np.concatenate([[True], c[1:] != c[:-1]])
+    deg = np.diff(np.append(np.flatnonzero(new), len(c)))
+    rows, at = np.unique(r, return_inverse=True)
+    n = len(rows)
+    pairs = int((deg.astype(np.int64) ** 2).sum())
+    if pairs * DENSE > n * n * len(deg):  # many rows to a column: a product of dense tiles is cheaper than counting pairs
+        tile = np.zeros((n, len(deg)), np.float32)
+        tile[at, np.cumsum(new) - 1] = 1
+        counts[np.ix_(rows, rows)] += (tile @ tile.T).astype(np.int32)
+        return
+    starts = np.flatnonzero(new)
+    total = np.cumsum(np.repeat(deg, deg))
+    flat, lo = counts.reshape(-1), 0
+    reach = np.repeat(starts, deg), np.repeat(deg, deg)
+    while lo < len(r):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + room, side="right")))
+        other = r[ragged(reach[0][lo:hi], reach[1][lo:hi])]
+        cell, n_cell = np.unique(np.repeat(r[lo:hi], reach[1][lo:hi]) * k + other, return_counts=True)
+        flat[cell] += n_cell.astype(np.int32)
         lo = hi
 
 
@@ -457,26 +473,41 @@ def _sets(words: int):
     return run
 
 
-def jaccard_groups(docs: DataFrame, words: int = 3, percent: int = 90, part_rows: int = PART_ROWS, part_grams: int = PART_GRAMS) -> DataFrame:
-    """doc_id, n_shingles (size of its set) and component_id (smallest doc_id reachable by links), one row per row with an id."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _keyed(docs: DataFrame) -> tuple[DataFrame, int | None]:
+    """_key and text of every row: the id, or for rows without one a number above all ids, from the text; and the largest id
+    if there are such rows."""
+    key = F.col("doc_id").cast("long")
+    known = docs.agg(F.max(key), F.count(F.when(key.isNull(), 1))).first()
+    if not known[1]:
+        return docs.select(key.alias("_key"), "text"), None
+    most = max(known[0] if known[0] is not None else 0, 0)
+    if most >= 1 << 62:
+        raise ValueError("rows without an id need ids below 2^62")
+    return docs.select(_key(most).alias("_key"), "text"), most
+
+
+def _key(most: int | None):
+    key = F.col("doc_id").cast("long")
+    return key if most is None else F.coalesce(key, F.lit(most + 1) + F.pmod(F.xxhash64("text"), F.lit(1 << 62)))
+
+
+def _components(texts: DataFrame, words: int, percent: int, part_rows: int, part_grams: int) -> DataFrame:
+    """_key, n (size of the set) and component (the smallest key reachable) of every row of _key and text."""
     frequent = frequent_grams(texts, words, FREQUENT)
     signed = texts.mapInArrow(_signatures(words, percent, frequent), "key long, a long, b long")
     met = materialize(signed.repartition("key").sortWithinPartitions("key", "a").mapInArrow(_meet, "kind int, a long, b long, n long"))
+    # documents that were first of their set in what a task held: few of each set, however many copies it has
     heads = met.filter("kind = 0").select("a", "b", "n")
     of = heads.groupBy("a", "n").agg(F.min("b").alias("b"))
-    copies = met.filter("kind = 1").select("a", F.col("b").alias("head"), "n")
-    through = copies.join(of.withColumnRenamed("a", "head"), ["head", "n"]).select("a", F.col("b").alias("rep"), "n")
-    nodes = materialize(heads.withColumnRenamed("b", "rep").unionByName(through))
-    of_size = of.groupBy(F.col("a").alias("doc_id")).agg(F.max("n").alias("n"))
-    of = of.select("a", "b").distinct()
+    of_size = of.groupBy("a").agg(F.max("n").alias("n"))
+    once = of.select("a", "b").distinct()
     edges = met.filter("kind = 2").select(F.col("a").alias("x"), F.col("b").alias("y"))
-    edges = edges.join(of.toDF("x", "rx"), "x").join(of.toDF("y", "ry"), "y").select(F.col("rx").alias("a"), F.col("ry").alias("b"))
-    blocks = materialize(components(edges).toDF("doc_id", "block"))
-    # dealt by id at every size: the texts cross the network once, whatever share of them stands in blocks
-    moved = texts.join(blocks.hint("merge"), "doc_id").select("block", F.col("doc_id").alias("rep"), "text")
+    edges = edges.join(once.toDF("x", "rx"), "x").join(once.toDF("y", "ry"), "y").select(F.col("rx").alias("a"), F.col("ry").alias("b"))
+    blocks = materialize(components(edges).toDF("_key", "block"))
+    # dealt by key at every size: the texts cross the network once, whatever share of them stands in blocks
+    moved = texts.join(blocks.hint("merge"), "_key").select("block", F.col("_key").alias("rep"), "text")
     grams = materialize(moved.mapInArrow(_sets(words), "block long, rep long, grams binary"))
-    sizes = blocks.join(of_size, "doc_id").groupBy("block").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    sizes = blocks.join(of_size.withColumnRenamed("a", "_key"), "_key").groupBy("block").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
     k = F.ceil(F.greatest(F.col("rows") / part_rows, F.col("n") / part_grams)).cast("int")
     parts = materialize(sizes.select("block", k.alias("k")).filter("k > 1"))
     small = grams.join(parts, "block", "left_anti").withColumn("label", F.lit(None).cast("long"))
@@ -484,16 +515,37 @@ def jaccard_groups(docs: DataFrame, words: int = 3, percent: int = 90, part_rows
     if not parts.isEmpty():
         large = grams.join(parts.select("block"), "block", "left_semi")
         solved = solved.unionByName(materialize(large_blocks(large, parts, percent)))
-    solved = solved.groupBy("rep").agg(F.min("component").alias("component"))
-    out = nodes.join(solved, "rep", "left")
-    return out.select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    solved = solved.groupBy(F.col("rep").alias("b")).agg(F.min("component").alias("component"))
+    # components go to the heads, and from each head to the copies that its task held: no key has many rows
+    through = materialize(of.join(solved, "b", "left").select("a", "n", F.coalesce("component", "b").alias("component")))
+    again = heads.groupBy("a", "n").count().join(through, ["a", "n"])  # repeated rows are rows each
+    first = again.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))))
+    copies = met.filter("kind = 1").select("a", F.col("b").alias("head"), "n")
+    rest = copies.join(through.withColumnRenamed("a", "head"), ["head", "n"])
+    out = first.select("a", "n", "component").unionByName(rest.select("a", "n", "component"))
+    return out.withColumnRenamed("a", "_key")
+
+
+def jaccard_groups(docs: DataFrame, words: int = 3, percent: int = 90, part_rows: int = PART_ROWS, part_grams: int = PART_GRAMS) -> DataFrame:
+    """doc_id, n_shingles (size of its set) and component_id (smallest doc_id reachable by links), one row per row."""
+    texts, most = _keyed(docs)
+    found = _components(texts, words, percent, part_rows, part_grams)
+    if most is None:
+        return found.toDF("doc_id", "n_shingles", "component_id")
+    own, component = F.when(F.col("_key") <= most, F.col("_key")), F.when(F.col("component") <= most, F.col("component"))
+    return found.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
-    """The rows of documents that are first in their group (smallest id; of rows with one id, one), and those without an id."""
-    first = materialize(jaccard_groups(docs, words, percent).filter("doc_id = component_id").groupBy("doc_id").agg((F.count("*") > 1).alias("again")))
+    """One row of each group: that with the smallest id, or with none if no row of the group has an id. Of equal rows, one is
+    left; rows with one id but different texts aren't told apart by it, and all stay."""
+    texts, most = _keyed(docs)
+    found = _components(texts, words, percent, PART_ROWS, PART_GRAMS)
+    name = fresh(docs, "_key")
+    first = materialize(found.filter("_key = component").groupBy(F.col("_key").alias(name)).agg((F.count("*") > 1).alias("again")))
+    keyed = docs.withColumn(name, _key(most))
     # both joins read one exchange of the documents, dealt alike at every size
-    once = docs.join(first.filter("NOT again").hint("merge"), "doc_id", "left_semi")
+    once = keyed.join(first.filter("NOT again").hint("merge"), name, "left_semi")
     # rows with one id are rare: only they are gathered by id
-    again = docs.join(first.filter("again").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)
+    again = keyed.join(first.filter("again").hint("merge"), name, "left_semi").dropDuplicates([name, "text"])
+    return once.unionByName(again).select(docs.columns)

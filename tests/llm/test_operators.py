@@ -49,9 +49,10 @@ def test_odd_tables(odd, clashing, empty, name):
 
 def test_odd_jaccard(odd, clashing, empty):
     got = rows(jaccard.jaccard_groups(odd))
-    assert len(got) == odd.filter("doc_id is not null").count()
+    assert len(got) == odd.count()
     assert rows(jaccard.jaccard_groups(clashing)) == got and jaccard.jaccard_groups(empty).count() == 0
     of = {d: (n, c) for d, n, c in got}
+    assert of[None] == of[4]
     assert of[1] == (0, 1) and of[2] == (0, 2) and of[3] == (0, 3) and of[5][1] == of[6][1] == 4 and of[9][1] == 8 and of[7] == (1, 7)
 
 
@@ -299,14 +300,41 @@ def test_blocks_of_many_groups():
     r = np.random.default_rng(2)
     centres = [np.unique(r.integers(0, 2**63, 80).astype(np.uint64)) for _ in range(6)]
     sets = [np.unique(np.concatenate([c[r.random(len(c)) > 0.04], r.integers(0, 2**63, 2).astype(np.uint64)])) for c in centres for _ in range(25)]
-    label = jaccard.block_components(sets, 80, room=500)
-    brute = jaccard.Union(len(sets))
-    for i in range(len(sets)):
-        for j in range(i):
-            if jaccard.linked(sets[i], sets[j], 80):
-                brute.join(i, j)
-    same = {tuple(np.flatnonzero(label == g)) for g in set(label.tolist())}
-    assert same == {tuple(np.flatnonzero(brute.label == g)) for g in set(brute.label.tolist())}
+    link = np.array([[i != j and jaccard.linked(x, y, 80) for j, y in enumerate(sets)] for i, x in enumerate(sets)])
+    label = np.arange(len(sets))
+    while (new := np.minimum(label, np.where(link, label, len(sets)).min(1))).tolist() != label.tolist():
+        label = new
+    for room, dense in ((500, 200), (500, 0), (10**7, 10**9)):  # pairs counted, in one go or in many, and dense products
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(jaccard, "DENSE", dense)
+            patch.setattr(jaccard, "TILE", 64)
+            assert (jaccard.links(sets, 80, room) == link).all()
+            assert (jaccard.block_components(sets, 80, room=room) == label).all()
+    known = [i % 2 if i < 50 else i for i in range(len(sets))]
+    both = jaccard.block_components(sets, 80, joined_before=known)
+    assert len(set(both[:50].tolist())) <= 2 and len(set(both.tolist())) <= len(set(label.tolist()))
+
+
+def test_jaccard_without_ids(spark):
+    """Rows without an id link, join others, and have no component if they reach no id."""
+    base = [f"w{i}" for i in range(100)]
+
+    def text(k):  # neighbours link, and others don't
+        return " ".join(base[: 100 - 3 * k])
+
+    docs = [(3, text(0)), (None, text(1)), (9, text(2)), (None, "a b c d"), (None, "a b c d"), (None, None), (5, None), (-4, "x y z")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, jaccard.jaccard_groups(df).collect()), key=repr)
+    assert got == sorted([(3, 98, 3), (None, 95, 3), (9, 92, 3), (None, 2, None), (None, 2, None), (None, 0, None), (5, 0, 5), (-4, 1, -4)], key=repr)
+    kept = sorted(map(tuple, jaccard.one_of_each(df).collect()), key=repr)
+    assert kept == sorted([(3, text(0)), (None, "a b c d"), (None, None), (5, None), (-4, "x y z")], key=repr)
+
+
+def test_repeated_rows_are_rows(spark):
+    docs = [(1, "a b c d e")] * 40 + [(2, "a b c d e")] * 3 + [(2, "other words here")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = Counter(map(tuple, jaccard.jaccard_groups(df).collect()))
+    assert got == {(1, 3, 1): 40, (2, 3, 1): 3, (2, 1, 2): 1} or got == {(1, 3, 1): 40, (2, 3, 1): 3, (2, 1, 1): 1}
 
 
 def test_components(spark):
