@@ -76,9 +76,9 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(text(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def domain(url: Column) -> Column:
-    """The last two labels of the host; `unknown` without a host."""
-    h = host(url)
+def domain(url: Column, proxy: str | None = None) -> Column:
+    """The last two labels of the host; `unknown` without a host. proxy: a base whose rewritten hosts are undone first."""
+    h = host(url) if proxy is None else unproxied(host(url), proxy)
     labels = F.split(h, r"\.")
     return F.when(h == "", "unknown").when(F.size(labels) >= 2, F.array_join(F.slice(labels, -2, 2), ".")).otherwise(h)
 

@@ -53,14 +53,51 @@ def login_page(html: Column, hosts: tuple[str, ...] = ()) -> Column:
     return out
 
 
+#: Texts of links to PDFs, and classes of containers in which a text that names a PDF is enough.
+PDF_TEXTS = ("download pdf", "full text (pdf)", "view pdf")
+PDF_CONTAINERS = ("download", "fulltext", "access")
+
+
+def anchors(html: Column) -> Column:
+    """The links of a page in order: href, text (markup taken out, lower case), and whether the link or an element around it
+    has a class of PDF_CONTAINERS. A container goes up to the first end tag of its name; equal links count alike."""
+    page = text(html)
+    found = F.regexp_extract_all(page, F.lit(r"""(?is)(<a\s[^>]*?href\s*=\s*["'][^"']*["'][^>]*>.*?(?:</a\s*>|\z))"""), F.lit(1))
+    classed = rf"""(?is)<([a-z][a-z0-9]*)\s[^>]*?class\s*=\s*["'](?:[^"']*\s)?(?:{"|".join(PDF_CONTAINERS)})(?:\s[^"']*)?["'][^>]*>"""
+
+    def link(a: Column) -> Column:
+        return F.struct(
+            F.regexp_extract(a, r"""(?is)^<a\s[^>]*?href\s*=\s*["']([^"']*)["']""", 1).alias("href"),
+            F.lower(F.regexp_replace(F.regexp_replace(a, r"(?is)^<a\s[^>]*>|</a\s*>$", ""), r"<[^>]*>", "")).alias("text"),
+            a.rlike(classed.replace("<([a-z][a-z0-9]*)", "^<(a)")).alias("own"),
+        )
+
+    # pieces of the page from one opening of such a container to its end: up to the first end tag of its name
+    inside = F.when(page.rlike(classed), F.regexp_extract_all(page, F.lit(rf"(?is)({classed[5:]}.*?(?:</\2\s*>|\z))"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    held = F.flatten(F.transform(inside, lambda x: F.regexp_extract_all(x, F.lit(r"""(?is)(<a\s[^>]*?href\s*=\s*["'][^"']*["'][^>]*>.*?(?:</a\s*>|\z))"""), F.lit(1))))
+    return F.transform(found, lambda a: F.struct(link(a)["href"].alias("href"), link(a)["text"].alias("text"), (link(a)["own"] | F.array_contains(held, a)).alias("in_container")))
+
+
 def hrefs(html: Column) -> Column:
     return F.regexp_extract_all(text(html), F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""), F.lit(1))
 
 
-def pdf_link(href: Column) -> Column:
-    """Whether a link leads to a PDF."""
+def pdf_link(href: Column, link_text: Column | None = None, in_container: Column | None = None) -> Column:
+    """Whether a link leads to a PDF, by its address, its text, or a text that names a PDF in a container for downloads."""
     h = F.lower(text(href))
-    return h.endswith(".pdf") | h.contains("/pdf/") | h.contains("format=pdf") | h.contains("type=pdf")
+    out = h.endswith(".pdf") | h.contains("/pdf/") | h.contains("format=pdf") | h.contains("type=pdf")
+    if link_text is not None:
+        t = F.lower(text(link_text))
+        for s in PDF_TEXTS:
+            out = out | t.contains(s)
+        if in_container is not None:
+            out = out | (t.contains("pdf") & in_container)
+    return out
+
+
+def pdf_links(html: Column) -> Column:
+    """The addresses of a page's links to PDFs."""
+    return F.transform(F.filter(anchors(html), lambda a: pdf_link(a["href"], a["text"], a["in_container"])), lambda a: a["href"])
 
 
 def pdf_response(content_type: Column, url: Column, status: Column) -> Column:

@@ -54,6 +54,15 @@ def fuse(legs: list[DataFrame], limit: int | None = None) -> DataFrame:
     return out.limit(limit) if limit is not None else out
 
 
+def top_within(rows: DataFrame, group: list[str], order: list, spread: str, most: int, name: str = "rank") -> DataFrame:
+    """The first `most` rows of each group with their rank (from 0). Groups are cut to parts by a hash of `spread`, and each
+    part to its first rows, before the rows that are left are ranked together: a hot group is never sorted whole in one
+    task."""
+    part = F.pmod(F.xxhash64(spread), F.lit(64))
+    cut = rows.withColumn("_part", part).withColumn(name, F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order))).filter(F.col(name) <= most).drop("_part", name)
+    return cut.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1).filter(F.col(name) < most)
+
+
 def fusion_total(totals: list[int]) -> int:
     """The total of fused lists: the largest of theirs."""
     return max(totals, default=0)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.identifiers import bare, doi_bare, doi_key
+from ..functions.identifiers import bare, doi_bare
 from ..functions.people import family
 from ..functions.text import filled, first, normal_title, text, title_similarity
+from ..session import written
 
 SIMILAR = 0.85
 
@@ -51,7 +52,9 @@ def enrich(metadata: DataFrame, registry: DataFrame) -> DataFrame:
     incomplete = (text(F.col("doi")) != "") & ((F.coalesce(F.size("authors"), F.lit(0)) == 0) | (text(F.col("date")) == "") | (text(F.col("source")) == ""))
     fields = ("date", "source", "volume", "issue", "spage", "epage", "publisher")
     have = [c for c in fields if c in registry.columns]
-    theirs = registry.select(F.lower(doi_bare(F.col("doi"))).alias("_doi"), F.col("authors").alias("_authors"), *(F.col(c).alias(f"_{c}") for c in have)).dropDuplicates(["_doi"])
+    # of several rows of a DOI, the least by all columns: the same in every run
+    row = F.struct(F.col("authors").alias("_authors"), *(F.col(c).alias(f"_{c}") for c in have))
+    theirs = registry.groupBy(F.lower(doi_bare(F.col("doi"))).alias("_doi")).agg(F.min(row).alias("_row")).select("_doi", "_row.*")
     joined = metadata.filter(incomplete).join(theirs, F.lower(doi_bare(F.col("doi"))) == F.col("_doi"), "left")
     new: dict[str, Column] = {c: F.coalesce(filled(text(F.col(c))), F.col(f"_{c}"), F.lit("")) for c in have if c in metadata.columns}
     new["authors"] = F.when(F.coalesce(F.size("authors"), F.lit(0)) > 0, F.col("authors")).otherwise(F.coalesce("_authors", "authors"))
@@ -59,61 +62,85 @@ def enrich(metadata: DataFrame, registry: DataFrame) -> DataFrame:
     return filled_in.unionByName(metadata.filter(~incomplete).withColumn("enriched", F.lit(False)))
 
 
-def _first_match(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("record_id").agg(F.min("item_key").alias("item_key"))
+def _doi() -> Column:
+    return F.lower(F.trim(text(F.col("doi"))))
+
+
+def _isbn() -> Column:
+    return F.replace(text(F.col("isbn")), F.lit("-"), F.lit(""))
+
+
+def _same(records: DataFrame, items: DataFrame, key: str) -> DataFrame:
+    """record_id and the first item with an equal key. Items are summed up to one row per key before they meet records."""
+    firsts = items.filter(F.col(key) != "").groupBy(key).agg(F.min("item_key").alias("item_key"))
+    found = records.filter(F.col(key) != "").select("record_id", key).join(firsts, key)
+    return found.groupBy("record_id").agg(F.min("item_key").alias("item_key"))
 
 
 def same_doi(metadata: DataFrame, items: DataFrame) -> DataFrame:
-    key = F.lower(F.trim(text(F.col("doi"))))
-    a = metadata.select("record_id", key.alias("k")).filter("k <> ''")
-    b = items.select(F.col("key").alias("item_key"), key.alias("k")).filter("k <> ''")
-    return _first_match(a.join(b, "k"))
+    return _same(metadata.select("record_id", _doi().alias("k")), items.select(F.col("key").alias("item_key"), _doi().alias("k")), "k")
 
 
 def same_isbn(metadata: DataFrame, items: DataFrame) -> DataFrame:
-    key = F.replace(text(F.col("isbn")), F.lit("-"), F.lit(""))
-    a = metadata.select("record_id", key.alias("k")).filter("k <> ''")
-    b = items.select(F.col("key").alias("item_key"), key.alias("k")).filter("k <> ''")
-    return _first_match(a.join(b, "k"))
+    return _same(metadata.select("record_id", _isbn().alias("k")), items.select(F.col("key").alias("item_key"), _isbn().alias("k")), "k")
+
+
+def _titled(name: Column) -> list[Column]:
+    return [F.lower(name).alias("who"), normal_title(F.col("title")).alias("t")]
+
+
+def _of_records(metadata: DataFrame) -> DataFrame:
+    """What a record is compared by: record_id, doi, isbn, who and t (name and title)."""
+    return metadata.select("record_id", _doi().alias("doi"), _isbn().alias("isbn"), *_titled(family(F.get("authors", F.lit(0)))))
+
+
+def _of_items(items: DataFrame) -> DataFrame:
+    return items.select(F.col("key").alias("item_key"), _doi().alias("doi"), _isbn().alias("isbn"), *_titled(text(F.get("creators", F.lit(0))["lastName"])))
 
 
 def same_title(metadata: DataFrame, items: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """Titles more similar than a share, with the same first author's family name.
+    """Titles more similar than a share, with the same first author's family name."""
+    return _same_title(_of_records(metadata), _of_items(items), least)
 
-    Titles as similar as that share all but a few of their words, so in any fixed order of words one of the first
-    n - ceil(share * n) + 1 is common to both. Words are ordered by how many titles hold them, rare ones first, and rows
-    meet by name and one of these words: frequent words bring nobody together unless a title has no others."""
 
-    def titled(df: DataFrame, id_col: str, name: Column) -> DataFrame:
-        t = normal_title(F.col("title"))
-        rows = df.select(F.col(id_col).alias("id"), F.lower(name).alias("who"), t.alias("t")).filter((F.col("who") != "") & (F.col("t") != ""))
-        return rows.withColumn("w", F.explode(F.array_distinct(F.split("t", " "))))
+def _same_title(records: DataFrame, items: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """Titles as similar as that share all but a few of their words, so in any fixed order of words one of the first
+    n - ceil(share * n) + 1 is common to both. Words are ordered by how many titles hold them, rare ones first, and titles
+    meet by name and one of these words: frequent words bring nobody together unless a title has no others. Equal titles
+    of a name are one row on either side until their match is known."""
+    filled_in = (F.col("who") != "") & (F.col("t") != "")
+    mine = records.filter(filled_in).select("who", "t").distinct()
+    theirs = items.filter(filled_in).groupBy("who", "t").agg(F.min("item_key").alias("item_key"))
 
-    a = titled(metadata, "record_id", family(F.get("authors", F.lit(0))))
-    b = titled(items, "key", text(F.get("creators", F.lit(0))["lastName"]))
-    often = a.select("w").unionByName(b.select("w")).groupBy("w").agg(F.count("*").alias("often"))
+    def worded(df: DataFrame) -> DataFrame:
+        return df.withColumn("w", F.explode(F.array_distinct(F.split("t", " "))))
 
-    def rare(rows: DataFrame, out: str) -> DataFrame:
-        ranked = rows.join(often, "w").groupBy("id", "who", "t").agg(F.sort_array(F.collect_list(F.struct("often", "w"))).alias("ws"))
+    often = worded(mine.select("t").unionByName(theirs.select("t"))).groupBy("w").agg(F.count("*").alias("often"))
+
+    def rare(df: DataFrame, title: str, *more: str) -> DataFrame:
+        ranked = worded(df).join(often, "w").groupBy("who", "t", *more).agg(F.sort_array(F.collect_list(F.struct("often", "w"))).alias("ws"))
         n = (F.size("ws") - F.ceil(F.size("ws") * least) + 1).cast("int")
-        return ranked.select(F.col("id").alias(out), "who", F.col("t").alias(f"{out}_t"), F.explode(F.slice("ws", 1, n)["w"]).alias("w"))
+        return ranked.select("who", F.col("t").alias(title), *more, F.explode(F.slice("ws", 1, n)["w"]).alias("w"))
 
-    pairs = rare(a, "record_id").join(rare(b, "item_key"), ["who", "w"])
-    return _first_match(pairs.filter(title_similarity(F.col("record_id_t"), F.col("item_key_t")) > least))
+    pairs = rare(mine, "t").join(rare(theirs, "u", "item_key"), ["who", "w"]).filter(title_similarity(F.col("t"), F.col("u")) > least)
+    found = pairs.groupBy("who", "t").agg(F.min("item_key").alias("item_key"))
+    return records.select("record_id", "who", "t").join(found, ["who", "t"]).groupBy("record_id").agg(F.min("item_key").alias("item_key"))
 
 
 def duplicates(metadata: DataFrame, items: DataFrame) -> DataFrame:
-    """record_id, match_type (doi, isbn, title_author or none) and item_key; the first test that matches decides, and
-    only what is left goes on to the next."""
-    d = same_doi(metadata, items)
-    rest = metadata.join(d, "record_id", "left_anti")
-    i = same_isbn(rest, items)
-    rest = rest.join(i, "record_id", "left_anti")
-    t = same_title(rest, items)
-    rest = rest.join(t, "record_id", "left_anti")
-    out = [x.select("record_id", F.lit(name).alias("match_type"), "item_key") for x, name in ((d, "doi"), (i, "isbn"), (t, "title_author"))]
-    none = rest.select("record_id", F.lit("none").alias("match_type"), F.lit(None).cast("string").alias("item_key"))
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(none)
+    """record_id, match_type (doi, isbn, title_author or none) and item_key; the first test that matches decides.
+
+    What records and items are compared by is computed once and written to the shared folder, narrow; the tests read that.
+    Titles are compared only for records without another match. Runs these jobs when it is called."""
+    records, theirs = written(_of_records(metadata)), written(_of_items(items))
+    ids = records.select("record_id").distinct()
+    d = _same(records, theirs, "doi").withColumnRenamed("item_key", "by_doi")
+    i = _same(records, theirs, "isbn").withColumnRenamed("item_key", "by_isbn")
+    known = written(ids.join(d, "record_id", "left").join(i, "record_id", "left"))
+    rest = records.join(known.filter("by_doi IS NULL AND by_isbn IS NULL"), "record_id", "left_semi")
+    out = known.join(_same_title(rest, theirs).withColumnRenamed("item_key", "by_title"), "record_id", "left")
+    kind = F.when(F.col("by_doi").isNotNull(), "doi").when(F.col("by_isbn").isNotNull(), "isbn").when(F.col("by_title").isNotNull(), "title_author").otherwise("none")
+    return out.select("record_id", kind.alias("match_type"), F.coalesce("by_doi", "by_isbn", "by_title").alias("item_key"))
 
 
 def save_statuses(wanted: DataFrame, metadata: DataFrame, items: DataFrame) -> DataFrame:
@@ -165,10 +192,30 @@ def find_collection(collections: DataFrame, name: str, parent_key: str | None =
 
 
 def upsert_collection(collections: DataFrame, new: DataFrame) -> DataFrame:
-    """Collections with the new ones that they lack, by name in any case and parent."""
-    mine = collections.select(F.lower("name").alias("_n"), "parent_key")
-    lacking = new.join(mine, (F.lower(new["name"]) == F.col("_n")) & new["parent_key"].eqNullSafe(mine["parent_key"]), "left_anti")
-    return collections.unionByName(lacking)
+    """Collections with the new ones that they lack, by name in any case and parent; of new ones alike, the first by key."""
+    mine = collections.select(F.lower("name").alias("_n"), F.col("parent_key").alias("_p"))
+    others = [c for c in new.columns if c not in ("name", "parent_key")]
+    once = new.groupBy(F.lower("name").alias("_l"), "parent_key").agg(F.min_by(F.struct("name", *others), F.col("key")).alias("_r")).select("_l", "parent_key", "_r.*")
+    lacking = once.join(mine, (F.col("_l") == F.col("_n")) & F.col("parent_key").eqNullSafe(F.col("_p")), "left_anti")
+    return collections.unionByName(lacking.select(collections.columns))
+
+
+def new_collection(spark: SparkSession, name: str, parent_key: str | None) -> DataFrame:
+    """A row of a collection to be made; its key hangs on the name and the parent, so that making it twice is making it once."""
+    import hashlib
+
+    key = hashlib.sha256(f"{parent_key or ''}/{name.lower()}".encode()).hexdigest()[:8].upper()
+    return spark.createDataFrame([(key, name, parent_key, 0)], "key STRING, name STRING, parent_key STRING, num_items INT")
+
+
+def find_or_create(collections: DataFrame, name: str, parent_key: str | None = None) -> tuple[DataFrame, str]:
+    """The collections with one of a name, made if there is none, and its key: one row is fetched. Without a parent any
+    collection of the name will do."""
+    there = find_collection(collections, name, parent_key).select("key").first()
+    if there is not None:
+        return collections, there["key"]
+    new = new_collection(collections.sparkSession, name, parent_key)
+    return upsert_collection(collections, new), new.first()["key"]
 
 
 def members(items: DataFrame, collections: DataFrame) -> DataFrame:
@@ -180,7 +227,3 @@ def members(items: DataFrame, collections: DataFrame) -> DataFrame:
 def with_parents(collections: DataFrame) -> DataFrame:
     parent = collections.select(F.col("key").alias("_p"), F.col("name").alias("parent_name"))
     return collections.join(parent, F.col("parent_key") == F.col("_p"), "left").drop("_p")
-
-
-def lookup_by_doi(links: DataFrame, works: DataFrame) -> DataFrame:
-    return links.join(works, doi_key(links["doi"]) == doi_key(works["doi"]), "left")

@@ -1,11 +1,13 @@
 """Event analytics over keyed time: budgets, source classes, breakers, histories. Batch versions.
 
 Events are replayed in order of (ts, event_id). Where a result hangs on earlier results of the same key (admission,
-breaker), the key's events are folded in that order; a key's events stay together, others are dealt freely.
+breaker), the key's events are folded in that order: they come in one sorted stream, of which only the state is held. Such
+a machine can't be split, so a key's events are read by one task, in linear time; keys are dealt freely.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -19,7 +21,7 @@ def micros(ts: str = "ts") -> Column:
 
 def window_counts(events: DataFrame, key: str | None = None, seconds: int = 3600, name: str = "in_window") -> DataFrame:
     """event_id and how many events of its key (of all, without one) stand in the trailing window, itself included; one
-    exactly `seconds` old is out.
+    exactly `seconds` old is out, and so are later ones of the same time.
 
     Time is cut to buckets of `seconds`. An event counts in its own and the next bucket, and a bucket of a key is
     counted by itself, so neither a hot key nor the whole table is ever in one task."""
@@ -28,7 +30,8 @@ def window_counts(events: DataFrame, key: str | None = None, seconds: int = 3600
     e = events.withColumn("micros", micros()).withColumn("bucket", F.floor(F.col("micros") / size))
     both = e.select("event_id", *by, "micros", "bucket", F.lit(True).alias("own")).unionByName(e.select("event_id", *by, "micros", (F.col("bucket") + 1).alias("bucket"), F.lit(False).alias("own")))
     w = Window.partitionBy(*by, "bucket").orderBy("micros").rangeBetween(-(size - 1), 0)
-    return both.withColumn(name, F.count("*").over(w)).filter("own").select("event_id", name)
+    later = F.row_number().over(Window.partitionBy(*by, "bucket", "micros").orderBy(F.desc("event_id"))) - 1
+    return both.withColumn(name, F.count("*").over(w) - later).filter("own").select("event_id", name)
 
 
 def budget_status(events: DataFrame, key: str, now_micros: int, limit: int, seconds: int = 3600) -> DataFrame:
@@ -42,20 +45,28 @@ class Budget:
 
     def __init__(self, session: int = 15, hour: int = 20, key: int = 5, seconds: int = 3600):
         self.limits, self.span = (session, hour, key), seconds * 1_000_000
-        self.n, self.times, self.of = 0, [], {}
+        self.n = 0
+        self.of: dict[str, int] = {}
+        self.admitted: deque[tuple[int, str]] = deque()  # in order of time
 
     def ask(self, at: int, key: str) -> str:
         """`ok`, or the budget that denies."""
-        self.times = [t for t in self.times if t > at - self.span]
-        own = self.of[key] = [t for t in self.of.get(key, []) if t > at - self.span]
-        for name, used, limit in zip(("session", "hour", "key"), (self.n, len(self.times), len(own)), self.limits, strict=True):
+        while self.admitted and self.admitted[0][0] <= at - self.span:  # keys without a time in the window are dropped
+            old = self.admitted.popleft()[1]
+            self.of[old] -= 1
+            if not self.of[old]:
+                del self.of[old]
+        for name, used, limit in zip(("session", "hour", "key"), (self.n, len(self.admitted), self.of.get(key, 0)), self.limits, strict=True):
             if used >= limit:
                 return name
+        self.add(at, key)
         self.n += 1
-        self.times.append(at)
-        own.append(at)
         return "ok"
 
+    def add(self, at: int, key: str) -> None:
+        self.admitted.append((at, key))
+        self.of[key] = self.of.get(key, 0) + 1
+
 
 def admit(events: DataFrame, session: str, key: str, limits: tuple[int, int, int] = (15, 20, 5), seconds: int = 3600) -> DataFrame:
     """Exact admission of each session's events in order: event_id, session and decision. State is a session's; its
@@ -67,7 +78,7 @@ def admit(events: DataFrame, session: str, key: str, limits: tuple[int, int, int
         budget, current = None, object()
         for f in frames:
             out = []
-            for s, k, at in zip(f["session"], f["key"], f["micros"], strict=True):
+            for s, k, at in zip(f["session"].tolist(), f["key"].tolist(), f["micros"].tolist(), strict=True):
                 if budget is None or s != current:
                     budget, current = Budget(*limits, seconds), s
                 out.append(budget.ask(at, k))
@@ -120,26 +131,26 @@ def failure_runs(events: DataFrame, key: str, least: int) -> DataFrame:
 
 
 def breaker(events: DataFrame, key: str, threshold: int = 5, timeout: float = 60.0) -> DataFrame:
-    """The state in which each event finds its key's breaker, and the one it leaves: one ordered fold per key."""
-    rows = F.array_sort(F.collect_list(F.struct(micros().alias("at"), F.col("event_id").alias("id"), F.col("success").alias("ok"))))
-    start = F.struct(F.lit("CLOSED").alias("state"), F.lit(0).alias("failures"), F.lit(0).cast("long").alias("opened"), F.array().cast("array<struct<event_id: bigint, before: string, after: string>>").alias("log"))
+    """The state in which each event finds its key's breaker, and the one it leaves, in one sorted pass."""
+    rows = events.select(F.col(key).alias("key"), "event_id", micros().alias("micros"), "success")
+    kind = rows.schema["key"].dataType.simpleString()
 
-    def step(s: Column, e: Column) -> Column:
-        before = F.when((s["state"] == "OPEN") & (e["at"] - s["opened"] >= int(timeout * 1e6)), "HALF_OPEN").otherwise(s["state"])
-        # an open breaker turns the call away: nothing is learned from it
-        refused = before == "OPEN"
-        failures = F.when(refused, s["failures"]).when(e["ok"], 0).otherwise(s["failures"] + 1)
-        after = F.when(refused, "OPEN").when(e["ok"], "CLOSED").when(failures >= threshold, "OPEN").otherwise(before)
-        opened = F.when(~refused & (after == "OPEN"), e["at"]).otherwise(s["opened"])
-        entry = F.struct(e["id"].alias("event_id"), before.alias("before"), after.alias("after"))
-        return F.struct(after.alias("state"), failures.alias("failures"), opened.alias("opened"), F.concat(s["log"], F.array(entry)).alias("log"))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        b, current = None, object()
+        for f in frames:
+            out = []
+            for k, at, ok in zip(f["key"].tolist(), f["micros"].tolist(), f["success"].tolist(), strict=True):
+                if b is None or k != current:
+                    b, current = Breaker(threshold, timeout), k
+                out.append(b.see(at, bool(ok)))
+            yield pd.DataFrame({"key": f["key"], "event_id": f["event_id"], "before": [x for x, _ in out], "after": [x for _, x in out]})
 
-    folded = events.groupBy(key).agg(rows.alias("rows")).select(key, F.aggregate("rows", start, step)["log"].alias("log"))
-    return folded.select(key, F.inline("log"))
+    sorted_rows = rows.repartition("key").sortWithinPartitions("key", "micros", "event_id")
+    return sorted_rows.mapInPandas(run, f"key {kind}, event_id long, before string, after string").withColumnRenamed("key", key)
 
 
 class Breaker:
-    """The same machine for streams and tests."""
+    """The machine: a number of failures in a row opens it, a time later one call is let through."""
 
     def __init__(self, threshold: int = 5, timeout: float = 60.0):
         self.threshold, self.timeout = threshold, int(timeout * 1e6)

@@ -174,6 +174,45 @@ fd AS (SELECT query_id, sum(1.0 / log2(rank + 2)) AS dcg, min(rank) AS best, cou
 
 
 
+#: The catalogue with the fields that `cat` leaves empty.
+FULL = """
+f AS (
+  SELECT *, CASE WHEN doc_id % 17 = 0 THEN '' ELSE record_id END AS rid, is_cdi AND doc_id % 17 <> 0 AS f_cdi,
+    CASE WHEN doc_id % 5 = 0 THEN [] ELSE creator END AS f_creator,
+    CASE WHEN doc_id % 10 = 0 THEN ['Au' || doc_id % 7 || ', A.'] WHEN doc_id % 30 = 15 THEN ['Found' || doc_id % 7 || ', B.'] WHEN doc_id % 5 = 0 THEN ['Ed' || doc_id % 8 || ', Chris'] ELSE authors END AS f_authors,
+    CASE WHEN doc_id % 4 = 0 THEN 'Full journal ' || doc_id % 6 ELSE '' END AS f_jt, CASE WHEN doc_id % 8 = 3 THEN '' ELSE src END AS f_src,
+    CASE WHEN doc_id % 7 IN (0, 6) THEN lpad((doc_id % 9999)::VARCHAR, 4, '0') || '-0000' ELSE '' END AS f_issn, CASE WHEN doc_id % 6 = 1 THEN 'e' || doc_id % 100 ELSE '' END AS f_pages,
+    CASE WHEN doc_id % 4 = 2 THEN 'https://h.example.com/' || doc_id ELSE '' END AS f_html, CASE WHEN doc_id % 5 = 3 THEN 'https://p.example.com/' || doc_id || '.pdf' ELSE '' END AS f_pdf,
+    CASE WHEN doc_id % 2 = 0 THEN '' ELSE avail END AS f_avail
+  FROM cat)
+"""
+QUARTER = DUP.replace("FROM m SEMI JOIN labels USING (doc_id)", "FROM m SEMI JOIN labels USING (doc_id) WHERE doc_id % 4 = 0")
+#: Events in the order of each user, and what a stream has decided: all before the watermark, an hour behind the last.
+ORDERED = "o AS (SELECT user_id, event_id, event_type AS k, us, ok, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS i FROM ev)"
+ADMITTED = """
+r AS (
+  SELECT user_id, event_id, us, i, 'ok' AS decision, 1 AS n, [us] AS ts, [k] AS ks FROM o WHERE i = 1
+  UNION ALL
+  SELECT user_id, event_id, us, i, d, n + (d = 'ok')::INT, CASE WHEN d = 'ok' THEN list_append(ts, us) ELSE ts END, CASE WHEN d = 'ok' THEN list_append(ks, k) ELSE ks END FROM (
+    SELECT o.*, r.n, r.ts, r.ks, CASE WHEN r.n >= 15 THEN 'session' WHEN len(list_filter(r.ts, lambda x: x > o.us - 86400000000)) >= 3 THEN 'hour'
+      WHEN len(list_filter(range(1, len(r.ts) + 1), lambda j: r.ts[j] > o.us - 86400000000 AND r.ks[j] = o.k)) >= 2 THEN 'key' ELSE 'ok' END AS d
+    FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1))
+"""
+BROKEN = """
+r AS (
+  SELECT user_id, event_id, us, i, 'CLOSED' AS before, 'CLOSED' AS after, (NOT ok)::INT AS failures, 0::BIGINT AS opened FROM o WHERE i = 1
+  UNION ALL
+  SELECT user_id, event_id, us, i, b, CASE WHEN b = 'OPEN' THEN 'OPEN' WHEN ok THEN 'CLOSED' WHEN failures + 1 >= 2 THEN 'OPEN' ELSE b END,
+    CASE WHEN b = 'OPEN' THEN failures WHEN ok THEN 0 ELSE failures + 1 END, CASE WHEN b <> 'OPEN' AND NOT ok AND failures + 1 >= 2 THEN us ELSE opened END FROM (
+    SELECT o.*, r.failures, r.opened, CASE WHEN r.after = 'OPEN' AND o.us - r.opened >= 21600000000 THEN 'HALF_OPEN' ELSE r.after END AS b FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1))
+"""
+FINAL = " WHERE us < (SELECT max(us) // 1000 * 1000 - 3600000000 FROM ev)"
+
+
+def fold(select: str, steps: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join([EV, ORDERED, steps]) + "\n" + select
+
+
 def cut_query(x: str) -> str:
     """The steps of the sanitiser; parts start at an operator each."""
     plain = f"regexp_replace(regexp_replace(replace({x}, chr(0), ''), '<[^>]*>', '', 'g'), '\\$\\$[A-Za-z]', '', 'g')"
@@ -201,10 +240,10 @@ SQL: dict[str, str] = {
         "SELECT record_id, array_to_string(creator, '|') AS creator FROM cat WHERE list_contains(regexp_extract_all(lower(array_to_string(creator, ' ')), '[a-z0-9]+'), 'last7') "
         "AND list_contains(regexp_extract_all(lower(array_to_string(creator, ' ')), '[a-z0-9]+'), 'first3')"
     ),
-    "search_by_isbn": q("SELECT record_id, isbn FROM cat WHERE isbn = '9780000000015'"),
+    "search_by_isbn": q("SELECT record_id, isbn FROM cat WHERE isbn = '9780000000019'"),
     "search_expanded": q(f"SELECT count(*) AS total FROM w WHERE ({has('the')} AND {has('that')}) OR {has('und')} OR {has('para')}"),
     "search_courses": q("SELECT k AS type, count(*) AS n FROM cat WHERE is_course AND lang = 'en' GROUP BY 1"),
-    "query_sanitize": f"""SELECT doc_id, md5({cut_query("'<b>' || substr(text, 1, 1200) || ' $$Qx</b> AND ' || repeat(lang || ' OR ', 40) || 'end'")}) AS query_md5, md5({cut_query("source || repeat(' AND ' || lang, 36)")}) AS short_md5 FROM documents""",
+    "query_sanitize": f"""SELECT doc_id, md5({cut_query("'<b>' || text || ' $$Qx</b> AND ' || repeat(lang || ' OR ', 40) || 'end'")}) AS query_md5, md5({cut_query("source || repeat(' AND ' || lang, 36)")}) AS short_md5 FROM documents""",
     "detail_reports": q(
         """SELECT record_id, md5(d) AS detail_md5, length(d)::INT AS n_chars FROM (SELECT record_id, repeat('=', 60) || chr(10) || 'ITEM DETAILS' || chr(10) || repeat('=', 60) || chr(10) || chr(10) || 'Title: ' || t || chr(10) || chr(10)
   || 'Author(s): ' || array_to_string(creator, ', ') || chr(10) || CASE WHEN cdate <> '' THEN 'Publication Date: ' || cdate || chr(10) ELSE '' END || 'Type: ' || k || chr(10) || 'Publisher: ' || press || chr(10) || 'Source/Journal: ' || src || chr(10)
@@ -216,7 +255,8 @@ SQL: dict[str, str] = {
         "SELECT record_id, t AS title, cdate AS date FROM w WHERE list_contains(aw, 'the') AND k = 'article' AND try_cast(substr(cdate, 1, 4) AS INT) BETWEEN 2000 AND 2015 "
         "ORDER BY try_cast(substr(cdate, 1, 4) AS INT) DESC, record_id LIMIT 30"
     ),
-    "dictionary_expand": "SELECT doc_id, CASE lang WHEN 'en' THEN 'english' WHEN 'fr' THEN 'french' WHEN 'de' THEN '(german OR deutsch)' ELSE lang END || ' ' || source AS rewritten FROM documents",
+    "dictionary_expand": """SELECT doc_id, CASE lang WHEN 'en' THEN 'english' WHEN 'fr' THEN 'french' WHEN 'de' THEN '(german OR deutsch)' ELSE lang END || ' ' || source AS rewritten,
+  'es AND ' || CASE lang WHEN 'en' THEN 'Castilian' ELSE lang END || ' ' || CASE source WHEN 'src2' THEN 'Castilian' ELSE source END || ' OR ("course reserves" OR "short-term loans" OR readings) (NOT "interlibrary loan")' AS phrases FROM documents""",
     "rrf_fusion": q(
         "SELECT record_id AS fusion_key, round(rrf, 9) AS rrf, (pos // 1000)::INT AS first_list, (pos % 1000)::INT AS first_rank FROM fused ORDER BY fused.rrf DESC, pos LIMIT 50", LEGS.replace("@N", "50")
     ),
@@ -249,10 +289,12 @@ SQL: dict[str, str] = {
 WITH h AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host FROM pages)
 SELECT page_id, host, regexp_extract(host, '([^.]+\.[^.]+)$', 1) AS domain,
   regexp_extract(url, '^([a-z]+://)', 1) || replace(host, '.', '-') || '.proxy.example.org' || regexp_extract(url, '^[a-z]+://[^/?#]*(.*)$', 1) AS proxied,
-  replace(replace(host, '.', '-'), '-', '.') AS unproxied FROM h""",
+  replace(replace(host, '.', '-'), '-', '.') AS unproxied, regexp_extract(replace(replace(host, '.', '-'), '-', '.'), '([^.]+\.[^.]+)$', 1) AS router_domain FROM h""",
     "page_pdf_links": r"""
 WITH h AS (SELECT page_id, regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1) AS h FROM pages)
-SELECT page_id, len(h)::INT AS n_links, len(list_filter(h, lambda x: suffix(lower(x), '.pdf') OR contains(lower(x), '/pdf/') OR contains(lower(x), 'format=pdf') OR contains(lower(x), 'type=pdf')))::INT AS n_pdf FROM h""",
+SELECT page_id, (len(h) + (page_id % 2 = 0)::INT + (page_id % 3 = 0)::INT + 2 * (page_id % 5 = 0)::INT)::INT AS n_links,
+  concat_ws('|', CASE WHEN page_id % 2 = 0 THEN '/x/' || page_id END, CASE WHEN page_id % 3 = 0 THEN '/y/' || page_id END, CASE WHEN page_id % 5 = 0 THEN '/w.PDF' END,
+    nullif(array_to_string(list_filter(h, lambda x: suffix(lower(x), '.pdf') OR contains(lower(x), '/pdf/') OR contains(lower(x), 'format=pdf') OR contains(lower(x), 'type=pdf')), '|'), '')) AS pdf FROM h""",
     "login_page_scan": "SELECT page_id, contains(lower(html[:2048]), '<title>login</title>') OR contains(lower(html[:2048]), 'id=\"username\"') OR contains(lower(html[:2048]), '<title>authentication required</title>') AS is_login FROM pages",
     "content_keys": "SELECT doc_id, substr(sha256(text), 1, 16) AS content_key FROM documents",
     "cite_apa": q(APA),
@@ -312,9 +354,11 @@ SELECT page_id, len(h)::INT AS n_links, len(list_filter(h, lambda x: suffix(lowe
     ),
     "severe_lines": "SELECT conv_id * 1000 + turn AS line_no, substr('2024 ' || (['[ERROR]', 'INFO', 'WARNING'])[1 + conv_id % 3] || ' ' || role, 1, 200) AS line FROM conversations WHERE conv_id % 3 <> 1 ORDER BY line_no DESC LIMIT 10",
     "budget_windows": e(
-        "SELECT event_id, count(*) OVER x AS n_in_hour, count(*) OVER x > 5 AS over FROM ev WINDOW x AS (PARTITION BY event_type ORDER BY us RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW)"
-    ).replace("AS over", 'AS "over"'),
-    "budget_global": e("SELECT event_id, count(*) OVER x AS n_in_hour, count(*) OVER x > 20 AS over FROM ev WINDOW x AS (ORDER BY us RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW)").replace("AS over", 'AS "over"'),
+        'SELECT event_id, n AS n_in_hour, n > 5 AS "over" FROM (SELECT event_id, count(*) OVER x - (row_number() OVER (PARTITION BY event_type, us ORDER BY event_id DESC) - 1) AS n FROM ev WINDOW x AS (PARTITION BY event_type ORDER BY us RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW))'
+    ),
+    "budget_global": e(
+        'SELECT event_id, n AS n_in_hour, n > 20 AS "over" FROM (SELECT event_id, count(*) OVER x - (row_number() OVER (PARTITION BY us ORDER BY event_id DESC) - 1) AS n FROM ev WINDOW x AS (ORDER BY us RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW))'
+    ),
     "budget_status": e("SELECT event_type, count(*) AS used, greatest(50 - count(*), 0) AS remaining FROM ev WHERE us > 1705320000000000 - 4 * 3600000000 AND us <= 1705320000000000 GROUP BY 1"),
     "router_state": e("SELECT user_id, CASE WHEN bool_or(tier = 'direct' AND ok) THEN 'DIRECT_OK' WHEN bool_or(tier = 'direct' AND NOT ok) THEN 'BROWSER_ONLY' ELSE 'UNKNOWN' END AS source_class FROM ev GROUP BY 1"),
     "router_running": e(
@@ -334,10 +378,89 @@ SELECT page_id, len(h)::INT AS n_links, len(list_filter(h, lambda x: suffix(lowe
     "stream_dedup": "SELECT DISTINCT user_id FROM events",
     "star_pricing": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, count(*) AS n FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY ALL",
     "star_join": "SELECT r_name, n_name, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN orders ON c_custkey = o_custkey GROUP BY ALL",
-    "star_anti": "SELECT c_nationkey, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY ALL",
+    "star_anti": "SELECT c_nationkey, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= DATE '1998-05-01') GROUP BY ALL",
     "star_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n, grouping(l_returnflag, l_linestatus) AS level FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "star_window": "SELECT o_orderkey, (row_number() OVER x)::INT AS nth, lag(o_orderkey) OVER x AS before FROM orders WINDOW x AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)",
     "star_top_per_group": "SELECT o_custkey, o_orderkey, r FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)::INT AS r FROM orders) WHERE r <= 3",
     "star_set_ops": "SELECT k, 'both' AS op FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT DISTINCT k, 'more' FROM (SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier) UNION ALL SELECT k, 'any' FROM (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier)",
     "star_json": "SELECT json_extract_string(props, '$.k')::INT AS k, count(*) AS n FROM events GROUP BY 1",
+    "budget_admission": fold("SELECT event_id, user_id AS session, decision FROM r", ADMITTED),
+    "stream_budget": fold("SELECT event_id, user_id AS session, decision FROM r" + FINAL, ADMITTED),
+    "breaker_states": fold("SELECT user_id, event_id, before, after FROM r", BROKEN),
+    "stream_breaker": fold("SELECT user_id, event_id, before, after FROM r" + FINAL, BROKEN),
+    "search_sort_author": q(f"SELECT row_number() OVER (ORDER BY lower(creator[1]), record_id) - 1 AS position, record_id, creator[1] AS creator FROM w WHERE {has('de')} QUALIFY position < 25"),
+    "search_faithful": q(
+        f"SELECT record_id, round({TOTAL}, 6) AS score FROM (SELECT *, {scores(['the'])} FROM n) ORDER BY {TOTAL} DESC, position LIMIT 10",
+        f"n AS (SELECT *, row_number() OVER (ORDER BY cdate DESC, record_id) - 1 AS position FROM w WHERE {has('the', 'aw')} QUALIFY position < 30)",
+    ),
+    "search_by_subject": q("SELECT row_number() OVER (ORDER BY record_id) - 1 AS position, record_id FROM cat WHERE lang = 'fr' QUALIFY position < 15"),
+    "search_items": q(
+        "SELECT key, mdate AS date FROM (SELECT *, regexp_extract_all(lower(concat_ws(' | ', t, lang, CASE WHEN rtype = 'book' THEN '' ELSE journal END)), '[a-z0-9]+') AS ws FROM lib) WHERE list_contains(ws, 'the') AND NOT list_contains(ws, 'of') ORDER BY mdate DESC, key LIMIT 100"
+    ),
+    "read_article": q("SELECT record_id, CASE WHEN length(text) > 150 THEN substr(text, 1, 150) || chr(10) || chr(10) || '[Text truncated at 150 characters]' ELSE text END AS text FROM cat WHERE doc_id IN (1, 2, 4, 5)"),
+    "save_batch": q(
+        "SELECT pos, id, status, CASE WHEN status = 'saved' THEN upper(substr(sha256('COLen/new papers'), 1, 8)) ELSE '' END AS collections FROM (SELECT pos, id, CASE WHEN match_type IS NULL THEN 'failed' WHEN match_type <> 'none' OR again THEN 'skipped' ELSE 'saved' END AS status "
+        "FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) > 1 AS again FROM ids) LEFT JOIN cascade ON id = record_id)",
+        QUARTER,
+        "ids AS (SELECT doc_id::INT AS pos, record_id AS id FROM cat WHERE doc_id < 12 UNION ALL SELECT 12, 'none' UNION ALL SELECT 13, 'alma990000000001')",
+    ),
+    "save_tallies": q(
+        "SELECT CASE WHEN match_type IS NULL THEN 'failed' WHEN match_type <> 'none' OR again THEN 'skipped' ELSE 'saved' END AS status, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) > 1 AS again FROM ids) LEFT JOIN cascade ON id = record_id GROUP BY 1",
+        QUARTER,
+        "i1 AS (SELECT doc_id AS pos, CASE WHEN quality = 1 THEN record_id ELSE 'missing' || doc_id END AS id FROM labels JOIN cat USING (doc_id))",
+        "ids AS (SELECT * FROM i1 UNION ALL SELECT pos + 100000000, id FROM i1 WHERE pos % 10 = 0)",
+    ),
+    "list_collections": "SELECT 'COL' || lang AS key, 'Texts ' || lang AS name, 'All' AS parent_name, count(*)::INT AS num_items FROM documents GROUP BY lang UNION ALL SELECT 'ROOT', 'All', '', 0",
+    "collection_upsert": "SELECT DISTINCT 'COL' || lang AS key, 'Texts ' || lang AS name, 'ROOT' AS parent_key FROM documents UNION ALL VALUES ('N2', 'Texts en', ''), ('N3', 'other', 'ROOT')",
+    "collection_by_name": "SELECT DISTINCT 'COL' || lang AS key, 'Texts ' || lang AS name FROM documents WHERE lang = 'de'",
+    "diagnostics": """
+WITH l AS (SELECT conv_id * 1000 + turn AS line_no, '2024 ' || (['ERROR', 'INFO', 'WARNING'])[1 + conv_id % 3] || ' ' || role AS line FROM conversations WHERE conv_id % 3 <> 1 ORDER BY line_no DESC LIMIT 10)
+SELECT 'credentials' AS section, 0 AS line_no, 'items_key is empty' AS line UNION ALL SELECT 'credentials', 1, 'items_user is empty' UNION ALL SELECT 'errors', line_no, line FROM l
+UNION ALL SELECT 'metrics', row_number() OVER (ORDER BY event_type) - 1, event_type || ': ' || count(*) || ' calls, ' || count(*) FILTER (event_type = 'error') || ' errors, avg ' || printf('%.2f', avg(value)) || 's' FROM events GROUP BY event_type""",
+    "resolve_tiers": q(
+        "SELECT doc_id::INT AS pos, CASE WHEN doc_id % 2 = 0 THEN 0 WHEN doc_id % 3 = 0 THEN 1 WHEN doc_id % 5 = 0 THEN 2 ELSE -1 END AS source_no, "
+        "CASE WHEN doc_id % 2 = 0 THEN '2 ' || t WHEN doc_id % 3 = 0 THEN '3 ' || t WHEN doc_id % 5 = 0 THEN '5 ' || t ELSE '' END AS title, CASE WHEN doc_id % 2 = 0 OR doc_id % 3 = 0 OR doc_id % 5 = 0 THEN mdate ELSE '' END AS date FROM cat"
+    ),
+    "fusion_without_ids": q(
+        "SELECT key AS fusion_key, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, min({'l': l, 'r': rank}).l AS first_list, min({'l': l, 'r': rank}).r AS first_rank FROM x GROUP BY key",
+        FULL,
+        "k AS (SELECT doc_id, CASE WHEN rid = '' THEN '_fallback_' || substr(t, 1, 50) ELSE rid END AS key FROM f)",
+        "x AS (SELECT key, 0 AS l, doc_id::INT AS rank FROM k WHERE doc_id % 2 = 0 UNION ALL SELECT key, 1, (doc_id // 3)::INT FROM k WHERE doc_id % 3 = 0)",
+    ),
+    "seed_hits": q("SELECT doc_id % 20 AS query_id, CASE WHEN doi <> '' THEN doc_id < 200 END AS seed_found FROM cat WHERE doc_id < 400 AND doc_id % 21 = doc_id // 20"),
+    "citing_works": q(
+        "SELECT 1 AS query_id, '10.9/seed1' AS doc_key UNION ALL SELECT 2, '10.9/seed2' UNION ALL SELECT 4, '10.9/none' UNION ALL SELECT k, doi FROM (SELECT cat.doc_id % 3 AS k, doi, row_number() OVER (PARTITION BY cat.doc_id % 3 ORDER BY n_chars DESC, doi) AS r FROM cat JOIN documents USING (doc_id) WHERE doi <> '') WHERE k > 0 AND r <= 50"
+    ),
+    "record_dois": q("SELECT doc_id, CASE WHEN doi <> '' THEN doi WHEN doc_id % 8 = 0 THEN '10.5/abc' || doc_id ELSE '' END AS doi FROM cat"),
+    "registry_records": """SELECT '10.1/' || doc_id AS doi, lang AS title, 'Fam' || doc_id || CASE WHEN doc_id % 2 = 0 THEN ', Giv' ELSE '' END AS authors, CASE WHEN doc_id % 3 = 0 THEN '2001' ELSE '1999' END AS date, CASE WHEN doc_id % 5 > 0 THEN source ELSE '' END AS source,
+  '' AS publisher, doc_id::VARCHAR AS volume, CASE WHEN doc_id % 4 < 2 THEN '12' ELSE '' END AS spage, CASE WHEN doc_id % 4 = 1 THEN '34-5' ELSE '' END AS epage, CASE doc_id % 4 WHEN 0 THEN '12' WHEN 1 THEN '12-34-5' ELSE '' END AS pages,
+  '1234-5679' AS issn, '' AS isbn, CASE WHEN doc_id % 2 = 0 THEN 'article' ELSE 'other' END AS resource_type FROM documents""",
+    "item_traces": q("SELECT key, 'Record-ID: ' || record_id AS extra FROM lib WHERE starts_with(record_id, 'alma99000000001')"),
+    "item_keys": q("SELECT key, doc_id % 3 = 1 AS is_key, doc_id || ':' || CASE WHEN doc_id % 2 = 0 THEN key ELSE 'None' END AS cached_as FROM lib"),
+    "pdf_responses": "SELECT page_id, (page_id % 3 = 0 OR page_id % 4 = 1 OR suffix(lower(url), '.pdf')) AND page_id % 5 < 2 AS is_pdf FROM pages",
+    "token_states": "SELECT event_id, event_id::VARCHAR AS user, d > 60 AS valid, d < 120 AS refresh, (greatest(d, 0) // 3600) || 'h ' || (greatest(d, 0) % 3600 // 60) || 'm' AS left FROM (SELECT event_id, event_id % 300 * 7 - 100 AS d FROM events)".replace("AS user", 'AS "user"').replace("AS left", 'AS "left"'),
+    "cookie_groups": """
+WITH c AS (SELECT event_type AS domain, event_id % 4 AS k, (['__Secure-', 'EZPROXY', 'sid', '__Host-'])[1 + event_id % 4] || user_id AS name FROM events WHERE event_id < 2000)
+SELECT domain, string_agg(name, ',' ORDER BY name) AS names, count(*) FILTER (k = 1) AS n_proxy, count(*) FILTER (k IN (0, 3)) AS n_secure, count(*) FILTER (k = 2) AS n_other FROM c GROUP BY domain""",
+    "health_tally": e("SELECT CASE WHEN ok THEN array_to_string(list_filter(['k', 'total'], lambda x: NOT list_contains(json_keys(props), x)), ',') ELSE 'down' END AS status, count(*) AS n FROM ev GROUP BY 1"),
+    "missing_terms": "(SELECT term FROM (SELECT DISTINCT source AS term FROM documents UNION ALL VALUES ('src_none'), ('en'))) EXCEPT ALL (SELECT source FROM documents WHERE doc_id % 20 < 12 UNION ALL SELECT lang FROM documents)",
+    "subjects_by_ndcg": "SELECT lang AS subject, round(avg(quality::DOUBLE), 4) AS ndcg FROM documents JOIN labels USING (doc_id) WHERE doc_id % 13 <> 0 GROUP BY 1 ORDER BY ndcg DESC, subject LIMIT 2",
+    "full_metadata": q(
+        "SELECT doc_id, array_to_string(f_authors, '|') AS authors, array_to_string(f_creator, '|') AS creators, 'Ed' || doc_id % 8 || ', Chris' AS contributors, t AS title, mdate AS date, press AS publisher, k AS type, "
+        "CASE WHEN f_cdi THEN coalesce(nullif(f_jt, ''), f_src) ELSE coalesce(nullif(f_src, ''), f_jt) END AS source, isbn, f_issn AS issn, doi, volume, issue, spage, epage, f_pages AS pages, f_cdi AS is_cdi, rtype AS resource_type FROM f WHERE rid <> ''",
+        FULL,
+    ),
+    "full_links": q(
+        "SELECT doc_id, link <> '' OR f_html <> '' OR contains(f_avail, 'available') AS electronic, f_html AS html_links, f_pdf AS pdf_links, link AS source_links, doc_id % 10 = 1 OR doc_id % 9 = 4 AS open_access, "
+        "concat_ws('|', nullif(f_pdf, ''), u, nullif(link, ''), nullif(f_html, '')) AS urls, coalesce(nullif(f_pdf, ''), u, nullif(link, ''), f_html) AS best FROM (SELECT *, CASE WHEN doi <> '' THEN 'https://doi.org/' || doi END AS u FROM f)",
+        FULL,
+    ),
+    "full_reports": q(
+        """SELECT doc_id::INT AS position, md5((doc_id + 1) || '. ' || t || chr(10) || '   Author: ' || coalesce(f_creator[1], 'Unknown') || chr(10) || '   Date: ' || cdate || chr(10) || '   Type: ' || k || chr(10)
+  || '   Subjects: ' || lang || ', ' || src || ', ' || lang || '--' || src || chr(10) || CASE WHEN f_src <> '' THEN '   Source: ' || f_src || chr(10) ELSE '' END || '   Publisher: ' || press || chr(10)
+  || CASE WHEN isbn <> '' THEN '   ISBN: ' || isbn || chr(10) ELSE '' END || CASE WHEN f_issn <> '' THEN '   ISSN: ' || f_issn || chr(10) ELSE '' END || CASE WHEN doi <> '' THEN '   DOI: ' || doi || chr(10) ELSE '' END
+  || CASE WHEN rid <> '' THEN '   Record ID: ' || rid || chr(10) ELSE '' END || CASE WHEN f_avail <> '' THEN '   Availability: ' || f_avail || chr(10) ELSE '' END
+  || CASE WHEN doc_id % 4 = 1 THEN '   Description: About ' || lang || ' and more...' || chr(10) ELSE '' END || CASE WHEN link <> '' OR f_html <> '' THEN '   Full Text: Available' || chr(10) ELSE '' END || chr(10)) AS text_md5 FROM f""",
+        FULL,
+    ),
 }

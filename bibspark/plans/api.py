@@ -1,11 +1,15 @@
-"""The tools by name. Each takes a Library (its tables) and arguments, and returns a DataFrame."""
+"""The tools by name. Each takes a Library (its tables) and arguments, and returns a DataFrame.
+
+`call` gives a tool's plan and raises its errors. `dispatch` runs it: the result is written to the shared folder, an error
+becomes a row, and the call is counted in the library's metrics."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import links
@@ -13,6 +17,7 @@ from ..functions.text import limited
 from ..operators import cite, resolve, stats
 from ..operators.metadata import extract, item_rows, items
 from ..schema import Settings
+from ..session import written
 from ..sources import sinks
 from . import search as s
 
@@ -31,10 +36,17 @@ class Library:
     calls: DataFrame | None = None
     log: DataFrame | None = None
     settings: Settings | None = None
+    #: Calls of `dispatch`: tool, latency in seconds, failed.
+    made: list[tuple[str, float, bool]] = field(default_factory=list)
 
     def limits(self) -> Settings:
         return self.settings or Settings()
 
+    def all_calls(self) -> DataFrame:
+        """The calls table and those of this library."""
+        own = self.spark.createDataFrame(self.made, "tool STRING, latency DOUBLE, failed BOOLEAN")
+        return own if self.calls is None else own.unionByName(self.calls.select("tool", F.col("latency").cast("double").alias("latency"), "failed"))
+
 
 TOOLS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -50,10 +62,26 @@ def call(lib: Library, name: str, **args) -> DataFrame:
     return TOOLS[name](lib, **args)
 
 
+def dispatch(lib: Library, name: str, **args) -> DataFrame:
+    """The result of a tool, computed; or one row, `error`, that says why there is none."""
+    began, failed = time.perf_counter(), True
+    try:
+        out = written(call(lib, name, **args))
+        failed = False
+        return out
+    except Exception as e:  # whatever a tool's arguments or tables break, the caller gets it as text
+        text = str(e).strip() or type(e).__name__
+        return lib.spark.createDataFrame([(f"Error in {name}: {text}",)], "error STRING")
+    finally:
+        lib.made.append((name, time.perf_counter() - began, failed))
+
+
 @tool
-def search_library(lib: Library, query: str, limit: int = 10, offset: int = 0, field: str = "any", sort: str = "rank", resource_type: str = "all", expanded_terms: str = "", comprehensive: bool = False, ref_year: int = 2026) -> DataFrame:
+def search_library(
+    lib: Library, query: str, limit: int = 10, offset: int = 0, field: str = "any", sort: str = "rank", resource_type: str = "all", expanded_terms: str = "", comprehensive: bool = False, ref_year: int = 2026, faithful: bool = False
+) -> DataFrame:
     on = lib.limits().flags
-    return s.search(lib.catalog, s.Search(query, field, resource_type, sort, limit, offset, expanded_terms, comprehensive and on["fusion"], on["rerank"], ref_year=ref_year, cap=lib.limits().search_cap))
+    return s.search(lib.catalog, s.Search(query, field, resource_type, sort, limit, offset, expanded_terms, comprehensive and on["fusion"], on["rerank"], faithful, ref_year, lib.limits().search_cap))
 
 
 def _by_field(lib: Library, query: str, field: str, limit: int, scope: str = "all") -> DataFrame:
@@ -139,24 +167,41 @@ def read_article(lib: Library, record_id: str) -> DataFrame:
 
 
 @tool
-def save_item(lib: Library, record_id: str, collection_name: str | None = None) -> DataFrame:
-    return batch_save_items(lib, [record_id], collection_name)
+def save_item(lib: Library, record_id: str, collection_name: str | None = None, parent_collection: str | None = None) -> DataFrame:
+    return batch_save_items(lib, [record_id], collection_name, parent_collection)
 
 
 @tool
-def batch_save_items(lib: Library, record_ids: list[str], collection_name: str | None = None) -> DataFrame:
-    """pos, id, status and the item row to append for those saved."""
+def batch_save_items(lib: Library, record_ids: list[str], collection_name: str | None = None, parent_collection: str | None = None) -> DataFrame:
+    """pos, id, status and the item row to append for those saved, in a collection that is made if it is missing, below a
+    parent that is made likewise. New collections join the library's collections table; `sinks.append` stores both."""
     ids = resolve.id_list(lib.spark, record_ids, lib.limits().batch_cap)
     wanted = lib.catalog.join(ids.select(F.col("id").alias("record_id")).distinct(), "record_id", "left_semi")
     meta = _metadata(lib, wanted)
     statuses = resolve.save_statuses(ids, meta, lib.items)
     new = items(meta, lib.limits().trace_prefix)
-    if collection_name and lib.collections is not None:
-        there = resolve.find_collection(lib.collections, collection_name).select(F.array("key").alias("collections"))
-        new = new.join(there, how="left")  # one row at most
+    inside = F.array(F.lit(_collection(lib, collection_name, parent_collection))) if collection_name else F.array().cast("array<string>")
+    new = new.withColumn("collections", inside)
     return statuses.join(new.withColumnRenamed("record_id", "_r"), (F.col("id") == F.col("_r")) & (F.col("status") == "saved"), "left").drop("_r").orderBy("pos")
 
 
+def _collection(lib: Library, name: str, parent: str | None) -> str:
+    """The key of a collection, made if there is none."""
+    if lib.collections is None:
+        lib.collections = lib.spark.createDataFrame([], "key STRING, name STRING, parent_key STRING, num_items INT")
+    parent_key = None
+    if parent:
+        lib.collections, parent_key = resolve.find_or_create(lib.collections, parent)
+    lib.collections, key = resolve.find_or_create(lib.collections, name, parent_key)
+    return key
+
+
+@tool
+def save_counts(lib: Library, record_ids: list[str], collection_name: str | None = None, parent_collection: str | None = None) -> DataFrame:
+    """saved, skipped and failed of a batch, one row."""
+    return resolve.status_counts(batch_save_items(lib, record_ids, collection_name, parent_collection))
+
+
 @tool
 def list_collections(lib: Library) -> DataFrame:
     return resolve.with_parents(lib.collections).orderBy("key")
@@ -167,7 +212,7 @@ def search_items(lib: Library, query: str, limit: int = 20) -> DataFrame:
     """Library items whose title or tags match, newest first by date."""
     from . import boolean
 
-    text = F.lower(F.concat_ws(" \n ", "title", F.array_join("tags", " \n "), "publication_title"))
+    text = F.lower(F.concat_ws(boolean.BORDER, "title", F.array_join("tags", boolean.BORDER), "publication_title"))
     found = lib.items.filter(boolean.compile_tree(boolean.parse(s.clean_query(query)), [text]))
     return item_rows(found).orderBy(F.desc("date"), "key").limit(s.clamp(limit, 100))
 
@@ -185,9 +230,30 @@ def items_without_pdf(lib: Library) -> DataFrame:
 
 
 @tool
-def get_diagnostics(lib: Library, include_recent_errors: bool = False) -> DataFrame:
-    """Metrics by tool; or the last severe lines of the log."""
-    return stats.last_errors(lib.log) if include_recent_errors else stats.call_metrics(lib.calls)
+def get_diagnostics(lib: Library, include_recent_errors: bool = True) -> DataFrame:
+    """A report by section, in order: credentials that are not set, the last severe lines of the log, and the metrics of calls.
+    section, line_no, line. An empty section says so in a line."""
+    one = "section STRING, line_no LONG, line STRING"
+    missing = lib.limits().credentials()
+    parts = [lib.spark.createDataFrame([("credentials", i, x) for i, x in enumerate(missing)] or [("credentials", 0, "all set")], one)]
+    if include_recent_errors:
+        lines = stats.last_errors(lib.log) if lib.log is not None else lib.spark.createDataFrame([], "line_no LONG, line STRING")
+        parts.append(_or_none(lib, "errors", lines.select(F.lit("errors").alias("section"), "line_no", "line"), "(no errors or warnings found)" if lib.log is not None else "(log not found)"))
+    metrics = stats.call_metrics(lib.all_calls())
+    shown = F.concat("tool", F.lit(": "), F.col("n").cast("string"), F.lit(" calls, "), F.col("n_errors").cast("string"), F.lit(" errors, avg "), F.format_string("%.2f", "avg_latency"), F.lit("s"))
+    order = F.row_number().over(Window.orderBy("tool")) - 1  # one row per tool: a handful
+    parts.append(_or_none(lib, "metrics", metrics.select(F.lit("metrics").alias("section"), order.cast("long").alias("line_no"), shown.alias("line")), "(no metrics recorded yet)"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    place = F.when(F.col("section") == "credentials", 0).when(F.col("section") == "errors", 1).otherwise(2)
+    return out.orderBy(place, "line_no")
+
+
+def _or_none(lib: Library, section: str, lines: DataFrame, none: str) -> DataFrame:
+    """A section's few lines, or one that says there are none."""
+    empty = lib.spark.createDataFrame([(section, 0, none)], "section STRING, line_no LONG, line STRING")
+    return lines.unionByName(empty.join(lines.limit(1).select("section"), "section", "left_anti"))
 
 
 @tool

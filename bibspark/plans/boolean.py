@@ -14,6 +14,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Stands between the values of a list: no part of a word, and no phrase goes over it.
+BORDER = " \x01 "
+
 _LEXEME = re.compile(r'\s*(?:(\()|(\))|"([^"]*)"|([^\s()"]+))')
 
 
@@ -113,7 +116,7 @@ def parse(text: str):
 def leaf_pattern(words: tuple[str, ...]) -> str:
     """A pattern over lower-cased text: the words one after another, at word borders."""
     each = ["".join("[a-z0-9]*" if c == "*" else "[a-z0-9]" if c == "?" else c for c in w) for w in words]
-    return "(?:^|[^a-z0-9])" + "[^a-z0-9]+".join(each) + "(?:[^a-z0-9]|$)"
+    return "(?:^|[^a-z0-9])" + "[^a-z0-9\\x01]+".join(each) + "(?:[^a-z0-9]|$)"
 
 
 def compile_tree(tree, columns: list[Column]) -> Column:

@@ -59,7 +59,7 @@ def clean_query(query: str) -> str:
 
 
 def searchable(names: list[str], numbers: bool = False) -> list[Column]:
-    joined = [F.lower(F.array_join(F.col(c), " \n ")) for c in names]
+    joined = [F.lower(F.array_join(F.col(c), boolean.BORDER)) for c in names]
     return [bare(c) for c in joined] if numbers else joined
 
 
@@ -157,21 +157,41 @@ def by_intent(catalog: DataFrame, intent: Intent, limit: int = 10, cap: int = 50
     return found.orderBy(*order.get(intent.sort, order_of("rank", query, "any"))).limit(clamp(limit, cap))
 
 
-def rewrite(query: Column, abbreviations: dict[str, str], synonyms: dict[str, list[str]], preferred: dict[str, str]) -> Column:
-    """Words of a query rewritten by a dictionary: abbreviations spelled out, preferred terms put in place, synonyms added
-    as alternatives. Dictionaries are literal maps of a bounded size."""
-    from itertools import chain
-
-    def literal(d: dict[str, str]) -> Column:
-        return F.create_map(*[F.lit(x) for x in chain.from_iterable(d.items())]) if d else F.create_map().cast("map<string,string>")
+def rewrite(query: Column, abbreviations: dict[str, str], synonyms: dict[str, list[str]], preferred: dict[str, list[str] | str], stops: tuple[str, ...] = ()) -> Column:
+    """A query rewritten by a dictionary whose keys are words or phrases in any case: abbreviations are spelled out, synonyms
+    added as alternatives, deprecated terms replaced by the preferred one (`preferred` gives term: deprecated ones, or
+    deprecated: term). The longest key at a place counts. Operators, quotes and parentheses stay; words in `stops` are
+    never expanded. What is put in as several words is quoted, and so is not torn apart by AND. The dictionaries are literals
+    of a bounded size."""
+    import re
 
-    spelled, liked = literal(abbreviations), literal(preferred)
-    other = literal({k: " OR ".join([k, *v]) for k, v in synonyms.items()})
-    w = F.regexp_extract_all(F.lower(query), F.lit("[a-z0-9]+"), F.lit(0))
-    full = F.transform(w, lambda x: F.coalesce(F.try_element_at(spelled, x), x))
-    best = F.transform(full, lambda x: F.coalesce(F.try_element_at(liked, x), x))
-    alt = F.transform(best, lambda x: F.when(F.try_element_at(other, x).isNotNull(), F.concat(F.lit("("), F.try_element_at(other, x), F.lit(")"))).otherwise(x))
-    return F.array_join(alt, " ")
+    def quoted(x: str) -> str:
+        return f'"{x}"' if len(x.split()) > 1 else x
+
+    new: dict[str, str] = {k.lower(): quoted(v) for k, v in abbreviations.items()}
+    better: dict[str, str] = {}
+    for k, v in preferred.items():
+        better |= {v_.lower(): k for v_ in v} if isinstance(v, list) else {k.lower(): v}
+    new |= {k: quoted(v) for k, v in better.items()}
+    for k, v in synonyms.items():
+        new[k.lower()] = "(" + " OR ".join(map(quoted, [better.get(k.lower(), k), *v])) + ")"
+    for k, term in better.items():  # a preferred term's own synonyms
+        if term.lower() in new:
+            new[k] = new[term.lower()]
+    keys = sorted((k for k in new if k not in {x.lower() for x in stops}), key=lambda k: (-len(k), k))
+    word = r"[\p{L}\p{M}\p{N}]"
+    phrases = "|".join(r"\s+".join(map(re.escape, k.split())) for k in keys)
+    operators = r"(?<!\S)(?:AND|OR|NOT)(?!\S)"
+    # between the parts that are kept as they are stand the keys; each part is looked up by itself
+    pattern = rf"{operators}|(?<!{word})(?i:{phrases})(?!{word})|{word}+|[^\p{{L}}\p{{M}}\p{{N}}]+" if keys else r"(?s).+"
+    parts = F.regexp_extract_all(query, F.lit(pattern), F.lit(0))
+    table = F.create_map(*[F.lit(x) for k in keys for x in (k, new[k])]) if keys else F.create_map().cast("map<string,string>")
+
+    def looked_up(x: Column) -> Column:
+        key = F.lower(F.regexp_replace(x, r"\s+", " "))
+        return F.when(x.isin("AND", "OR", "NOT"), x).otherwise(F.coalesce(F.try_element_at(table, key), x))
+
+    return F.array_join(F.transform(parts, looked_up), "")
 
 
 __all__ = ["Intent", "Search", "by_intent", "clamp", "clean_query", "expression", "extract", "rewrite", "sanitized", "search", "total"]

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import identifiers, links
-from .functions.text import first, let, sanitized, text
+from .functions.text import cache_key, first, let, sanitized, text
 from .operators import cite, evaluation, ranking, resolve, state, stats
-from .operators.metadata import extract, item_rows, item_summary
+from .operators.metadata import extract, item_rows, item_summary, registry_works
+from .plans import api
 from .plans import search as s
+from .schema import Settings
 from .session import shared_path
 from .sources import catalog as cat
 from .sources import sinks
@@ -70,7 +72,7 @@ def search_by_author(spark, sf_dir):
 
 
 def search_by_isbn(spark, sf_dir):
-    return _catalog(spark, sf_dir).filter(s.matches("978-000000001-5", "isbn")).select("record_id", first(F.col("isbn")).alias("isbn"))
+    return _catalog(spark, sf_dir).filter(s.matches("978-0-00-000001-9", "isbn")).select("record_id", first(F.col("isbn")).alias("isbn"))
 
 
 def search_expanded(spark, sf_dir):
@@ -85,7 +87,7 @@ def search_courses(spark, sf_dir):
 
 def query_sanitize(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    q = F.concat(F.lit("<b>"), F.substring("text", 1, 1200), F.lit(" $$Qx</b> AND "), F.repeat(F.concat("lang", F.lit(" OR ")), 40), F.lit("end"))
+    q = F.concat(F.lit("<b>"), "text", F.lit(" $$Qx</b> AND "), F.repeat(F.concat("lang", F.lit(" OR ")), 40), F.lit("end"))
     return d.select("doc_id", F.md5(sanitized(q).cast("binary")).alias("query_md5"), F.md5(sanitized(F.concat("source", F.repeat(F.concat(F.lit(" AND "), "lang"), 36))).cast("binary")).alias("short_md5"))
 
 
@@ -96,8 +98,10 @@ def by_intent(spark, sf_dir):
 
 def dictionary_expand(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", "lang", "source").alias("q"))
-    out = s.rewrite(F.col("q"), {"en": "english", "fr": "french"}, {"german": ["deutsch"]}, {"de": "german"})
-    return d.select("doc_id", out.alias("rewritten"))
+    out = s.rewrite(F.col("q"), {"en": "english", "FR": "french"}, {"german": ["deutsch"], "src1 NOT": ["none"]}, {"de": "german"})
+    words = F.concat(F.lit("es AND "), "q", F.lit(" OR Course  Reserves (NOT ILL)"))
+    phrases = s.rewrite(words, {"ILL": "interlibrary loan", "es": "spanish"}, {"course reserves": ["short-term loans", "readings"]}, {"Castilian": ["en", "src2"]}, ("ES",))
+    return d.select("doc_id", out.alias("rewritten"), phrases.alias("phrases"))
 
 
 # --- fusion and ranking
@@ -179,12 +183,16 @@ def doi_normalize(spark, sf_dir):
 
 def url_domain(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
-    return p.select("page_id", identifiers.host(F.col("url")).alias("host"), identifiers.domain(F.col("url")).alias("domain"), identifiers.proxied(F.col("url"), "proxy.example.org").alias("proxied"), identifiers.unproxied(identifiers.host(identifiers.proxied(F.col("url"), "proxy.example.org")), "proxy.example.org").alias("unproxied"))
+    return p.select("page_id", identifiers.host(F.col("url")).alias("host"), identifiers.domain(F.col("url")).alias("domain"), identifiers.domain(identifiers.proxied(F.col("url"), "proxy.example.org"), "proxy.example.org").alias("router_domain"), identifiers.proxied(F.col("url"), "proxy.example.org").alias("proxied"), identifiers.unproxied(identifiers.host(identifiers.proxied(F.col("url"), "proxy.example.org")), "proxy.example.org").alias("unproxied"))
 
 
 def page_pdf_links(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", links.hrefs(F.col("html")).alias("h"))
-    return p.select("page_id", F.size("h").alias("n_links"), F.size(F.filter("h", links.pdf_link)).alias("n_pdf"))
+    """Links of pages, with three of each kind added: by text, by text in a container, and by address."""
+    n = F.col("page_id").cast("string")
+    more = [F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<a href="/x/'), n, F.lit('">Download <b>PDF</b></a>'))), F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<div class="box access"><p><a class="q" href="/y/'), n, F.lit('">The pdf</a></p></div>')))]
+    more += [F.when(F.col("page_id") % 5 == 0, F.concat(F.lit('<div class="accessory"><a href="/z/'), n, F.lit('">pdf</a></div><a href="/w.PDF">w</a>')))]
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat_ws("", *more, "html").alias("html"))
+    return p.select("page_id", F.size(links.hrefs(F.col("html"))).alias("n_links"), F.array_join(links.pdf_links(F.col("html")), "|").alias("pdf"))
 
 
 def login_page_scan(spark, sf_dir):
@@ -313,8 +321,8 @@ def _run_and_qrels(spark, sf_dir):
     words = probe.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("head"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("w"))
     titles = _catalog(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(first(F.col("title"))), F.lit("[a-z0-9]+"), F.lit(0)))).alias("w"))
     hits = titles.join(words, "w").groupBy("query_id", "doc_id").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "doc_id")) - 1
-    return hits.withColumn("rank", rank).filter("rank < 30").select("query_id", "rank", F.col("doc_id").cast("string").alias("doc_key")), rel
+    run = ranking.top_within(hits, ["query_id"], [F.desc("n"), F.asc("doc_id")], "doc_id", 30)
+    return run.select("query_id", "rank", F.col("doc_id").cast("string").alias("doc_key")), rel
 
 
 def eval_metrics(spark, sf_dir):
@@ -338,8 +346,7 @@ def eval_summary(spark, sf_dir):
 
 def latency_percentiles(spark, sf_dir):
     e = _events(spark, sf_dir)
-    p50, p95 = (evaluation.exact_percentile(e, "value", "event_type", p) for p in (0.5, 0.95))
-    return p50.join(p95, "event_type")
+    return evaluation.exact_percentile(e, "value", "event_type", 0.5, 0.95)
 
 
 def tool_metrics(spark, sf_dir):
@@ -443,7 +450,7 @@ def _stream(spark, sf_dir):
 
 def stream_budget(spark, sf_dir):
     out, ck = shared_path(spark), shared_path(spark)
-    stateful.run_once(stateful.admissions(_stream(spark, sf_dir), "user_id", "event_type", (15, 3, 2), 24 * 3600), out, ck)
+    stateful.run_once(stateful.admissions(_stream(spark, sf_dir), "user_id", "event_type", (15, 3, 2), 24 * 3600, "1 hour"), out, ck)
     return spark.read.parquet(out)
 
 
@@ -456,7 +463,7 @@ def stream_router(spark, sf_dir):
 
 def stream_breaker(spark, sf_dir):
     out, ck = shared_path(spark), shared_path(spark)
-    stateful.run_once(stateful.breakers(_stream(spark, sf_dir), "user_id", 2, 6 * 3600.0), out, ck)
+    stateful.run_once(stateful.breakers(_stream(spark, sf_dir), "user_id", 2, 6 * 3600.0, "1 hour"), out, ck)
     return spark.read.parquet(out).withColumnRenamed("key", "user_id")
 
 
@@ -483,7 +490,8 @@ def star_join(spark, sf_dir):
 
 
 def star_anti(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    late = table(spark, sf_dir, "orders").filter("o_orderdate >= date '1998-05-01'")
+    return table(spark, sf_dir, "customer").join(late, F.col("c_custkey") == F.col("o_custkey"), "left_anti").groupBy("c_nationkey").agg(F.count("*").alias("n"))
 
 
 def star_rollup(spark, sf_dir):
@@ -514,6 +522,216 @@ def star_json(spark, sf_dir):
     return e.groupBy(F.get_json_object("props", "$.k").cast("int").alias("k")).agg(F.count("*").alias("n"))
 
 
+# --- tools over a library, and fields that the plain catalogue leaves empty
+
+
+def _full(spark, sf_dir):
+    return cat.full_catalog(spark, sf_dir)
+
+
+def _library(spark, sf_dir, **more):
+    c = _catalog(spark, sf_dir)
+    lib = cat.library(spark, sf_dir)
+    return api.Library(spark, c, lib, cat.collections(spark, sf_dir), cat.attachments(lib), **more)
+
+
+def _quarter(spark, sf_dir):
+    """Items of every fourth document."""
+    return cat.library(spark, sf_dir).filter("doc_id % 4 = 0")
+
+
+def search_sort_author(spark, sf_dir):
+    out = s.search(_catalog(spark, sf_dir), s.Search("de", field="title", sort="author", limit=25, rerank=False))
+    return out.select("position", "record_id", first(F.col("creator")).alias("creator"))
+
+
+def search_faithful(spark, sf_dir):
+    """Sorted by date, then re-ranked all the same."""
+    out = s.search(_catalog(spark, sf_dir), s.Search("the", sort="date", limit=10, faithful=True, ref_year=YEAR))
+    return out.select("record_id", F.round("score", 6).alias("score"))
+
+
+def search_by_subject(spark, sf_dir):
+    return api.call(_library(spark, sf_dir), "search_by_subject", subject="fr", limit=15).select("position", "record_id")
+
+
+def search_items(spark, sf_dir):
+    return api.call(_library(spark, sf_dir), "search_items", query="the NOT of", limit=100).select("key", "date")
+
+
+def read_article(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    texts = _catalog(spark, sf_dir).select("doc_id", "record_id").join(docs, "doc_id").select("record_id", "text")
+    lib = _library(spark, sf_dir, texts=texts, settings=Settings(text_chars=150))
+    by_id = [api.call(lib, "read_article", record_id=f"alma99{i:010d}") for i in (1, 2, 4, 5)]
+    return by_id[0].unionByName(by_id[1]).unionByName(by_id[2]).unionByName(by_id[3])
+
+
+def save_batch(spark, sf_dir):
+    """A batch saved to a collection that is made below one that is made: status, and the collection of those saved."""
+    lib = _library(spark, sf_dir)
+    lib.items = _quarter(spark, sf_dir)
+    ids = [f"TN_cdi_{i:010d}" if i % 3 == 0 else f"alma99{i:010d}" for i in range(12)] + ["none", "alma990000000001"]
+    out = api.call(lib, "batch_save_items", record_ids=ids, collection_name="New Papers", parent_collection="Texts EN")
+    return out.select("pos", "id", "status", text(F.array_join("collections", "|")).alias("collections"))
+
+
+def save_tallies(spark, sf_dir):
+    ids = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("int").alias("pos"), F.when(F.col("quality") == 1, F.concat(F.when(F.col("doc_id") % 3 == 0, "TN_cdi_").otherwise("alma99"), F.lpad(F.col("doc_id").cast("string"), 10, "0"))).otherwise(F.concat(F.lit("missing"), "doc_id")).alias("id"))
+    ids = ids.unionByName(ids.filter("pos % 10 = 0").withColumn("pos", F.col("pos") + 100_000_000))
+    return resolve.status_counts(resolve.save_statuses(ids, _meta(spark, sf_dir), _quarter(spark, sf_dir)))
+
+
+def list_collections(spark, sf_dir):
+    lib = _library(spark, sf_dir)
+    root = spark.createDataFrame([("ROOT", "All", None, 0)], "key STRING, name STRING, parent_key STRING, num_items INT")
+    lib.collections = lib.collections.unionByName(root)
+    return api.call(lib, "list_collections").select("key", "name", text(F.col("parent_name")).alias("parent_name"), "num_items")
+
+
+def collection_upsert(spark, sf_dir):
+    new = spark.createDataFrame([("N1", "TEXTS en", "ROOT", 0), ("N2", "Texts en", None, 0), ("N4", "Other", "ROOT", 0), ("N3", "other", "ROOT", 0)], "key STRING, name STRING, parent_key STRING, num_items INT")
+    return resolve.upsert_collection(cat.collections(spark, sf_dir), new).select("key", "name", text(F.col("parent_key")).alias("parent_key"))
+
+
+def collection_by_name(spark, sf_dir):
+    return resolve.find_collection(cat.collections(spark, sf_dir), "tExTs De", "ROOT").select("key", "name")
+
+
+def diagnostics(spark, sf_dir):
+    calls = _events(spark, sf_dir).select(F.col("event_type").alias("tool"), F.col("value").cast("double").alias("latency"), (~F.col("success")).alias("failed"))
+    log = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("line_no"), F.concat(F.lit("2024 "), F.element_at(F.array(F.lit("ERROR"), F.lit("INFO"), F.lit("WARNING")), (F.col("conv_id") % 3).cast("int") + 1), F.lit(" "), "role").alias("value"))
+    lib = api.Library(spark, _catalog(spark, sf_dir), calls=calls, log=log, settings=Settings(user_name="u", password="p", second_factor="s"))
+    return api.call(lib, "get_diagnostics")
+
+
+def resolve_tiers(spark, sf_dir):
+    """Ids looked up in three sources in turn."""
+    m = _meta(spark, sf_dir)
+    n = F.substring("record_id", -10, 10).cast("int")
+    ids = m.select(n.alias("pos"), F.col("record_id").alias("id"))
+    sources = [m.filter(n % k == 0).withColumn("title", F.concat(F.lit(f"{k} "), "title")) for k in (2, 3, 5)]
+    return resolve.coalesce_sources(ids, sources, "record_id", ["title", "date"]).select("pos", F.coalesce("source_no", F.lit(-1)).alias("source_no"), text(F.col("title")).alias("title"), text(F.col("date")).alias("date"))
+
+
+def fusion_without_ids(spark, sf_dir):
+    """Two lists with records that have no id."""
+    f = _full(spark, sf_dir).select("record_id", "title", F.col("doc_id").cast("int").alias("d"))
+    legs = [f.filter("d % 2 = 0").withColumn("rank", F.col("d")).drop("d"), None, f.filter("d % 3 = 0").withColumn("rank", F.floor(F.col("d") / 3).cast("int")).drop("d")]
+    return ranking.fuse(legs).select("fusion_key", F.round("rrf", 9).alias("rrf"), "first_list", "first_rank")
+
+
+def seed_hits(spark, sf_dir):
+    c = _catalog(spark, sf_dir).select("doc_id", first(F.col("doi")).alias("doi"))
+    run = c.select((F.col("doc_id") % 20).alias("query_id"), F.floor(F.col("doc_id") / 20).cast("int").alias("rank"), F.upper("doi").alias("doc_key"))
+    seeds = c.filter("doc_id < 400 AND doc_id % 21 = floor(doc_id / 20)").select((F.col("doc_id") % 20).alias("query_id"), F.concat(F.lit("https://doi.org/"), "doi").alias("seed_doi"))
+    return evaluation.seed_found(run, seeds, 10)
+
+
+def citing_works(spark, sf_dir):
+    """Judgements: a seed's DOI, and the fifty works that cite it which are cited most."""
+    c = _catalog(spark, sf_dir).select("doc_id", first(F.col("doi")).alias("doi")).filter("doi <> ''").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    cites = c.select(F.concat(F.lit("DOI:10.9/seed"), (F.col("doc_id") % 3).cast("string")).alias("cited_doi"), F.upper("doi").alias("citing_doi"), F.col("n_chars").alias("cited_by_count"))
+    seeds = spark.createDataFrame([(1, "10.9/seed1"), (2, "https://doi.org/10.9/SEED2"), (3, ""), (4, "10.9/none")], "query_id long, seed_doi string")
+    return evaluation.judged(seeds, cites.unionByName(cites), 50)
+
+
+def record_dois(spark, sf_dir):
+    f = _full(spark, sf_dir)
+    n = F.col("doc_id").cast("string")
+    found = F.when(F.col("doc_id") % 8 == 0, F.array(F.concat(F.lit("https://x.org/"), n), F.concat(F.lit("https://DX.doi.org/10.5/ABC"), n, F.lit("?via=x")))).otherwise(F.col("linktohtml"))
+    return f.select("doc_id", identifiers.doi_of_record(F.col("doi"), found).alias("doi"))
+
+
+def registry_records(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    n = F.col("doc_id").cast("string")
+    author = F.array(F.struct(F.concat(F.lit("Fam"), n).alias("family"), F.when(F.col("doc_id") % 2 == 0, F.lit("Giv")).alias("given")), F.struct(F.lit("").alias("family"), F.lit(None).cast("string").alias("given")))
+    works = d.select(
+        F.concat(F.lit("10.1/"), n).alias("doi"), F.array("lang", "source").alias("title"), author.alias("author"), F.when(F.col("doc_id") % 3 == 0, F.lit(2001)).alias("print_year"), F.lit(1999).alias("online_year"),
+        F.when(F.col("doc_id") % 5 > 0, F.array("source")).alias("container"), F.lit(None).cast("string").alias("publisher"), n.alias("volume"), F.lit("2").alias("issue"),
+        F.when(F.col("doc_id") % 4 == 0, F.lit("12")).when(F.col("doc_id") % 4 == 1, F.lit("12-34-5")).alias("page"), F.array(F.lit("1234-5679")).alias("issn"), F.array().cast("array<string>").alias("isbn"),
+        F.when(F.col("doc_id") % 2 == 0, F.lit("Journal-Article")).otherwise("book").alias("type"),
+    )
+    return registry_works(works).select("doi", "title", F.array_join("authors", "|").alias("authors"), "date", "source", "publisher", "volume", "spage", "epage", "pages", "issn", "isbn", "resource_type")
+
+
+def item_traces(spark, sf_dir):
+    lib = cat.library(spark, sf_dir)
+    return resolve.traced(lib, "alma99000000001", "Record-ID").select("key", "extra")
+
+
+def item_keys(spark, sf_dir):
+    lib = cat.library(spark, sf_dir).select("key", "doc_id")
+    shown = F.when(F.col("doc_id") % 3 == 0, F.lower("key")).when(F.col("doc_id") % 3 == 1, F.col("key")).otherwise(F.concat("key", F.lit("1")))
+    return lib.select("key", resolve.is_item_key(shown).alias("is_key"), F.coalesce(cache_key(F.col("doc_id"), F.when(F.col("doc_id") % 2 == 0, F.col("key"))), F.lit("")).alias("cached_as"))
+
+
+def pdf_responses(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    kind = F.when(F.col("page_id") % 3 == 0, "Application/PDF; x=1").when(F.col("page_id") % 3 == 1, "text/html")
+    url = F.when(F.col("page_id") % 4 == 1, F.concat("url", F.lit(".PDF"))).otherwise(F.col("url"))
+    status = F.element_at(F.array(F.lit(200), F.lit(302), F.lit(404), F.lit(199), F.lit(400)), (F.col("page_id") % 5).cast("int") + 1)
+    return p.select("page_id", links.pdf_response(kind, url, status).alias("is_pdf"))
+
+
+def token_states(spark, sf_dir):
+    """Tokens of events: payload, validity at a fixed time, and the time left."""
+    now = 1705320000
+    e = _events(spark, sf_dir).select("event_id", (F.lit(now - 100) + F.col("event_id") % 300 * 7).alias("exp"))
+    body = F.translate(F.base64(F.to_json(F.struct(F.col("exp").alias("exp"), F.col("event_id").cast("string").alias("user"))).cast("binary")), "+/=", "-_")
+    claims = identifiers.token_payload(F.concat(F.lit("h."), body, F.lit(".s")), "exp LONG, user STRING")
+    out = e.select("event_id", claims.alias("c")).withColumn("v", identifiers.token_valid(F.col("c.exp"), F.lit(now)))
+    return out.select("event_id", F.col("c.user").alias("user"), F.col("v.valid").alias("valid"), F.col("v.refresh").alias("refresh"), identifiers.time_left(F.col("c.exp") - now).alias("left"))
+
+
+def cookie_groups(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    name = F.concat(F.element_at(F.array(F.lit("__Secure-"), F.lit("EZPROXY"), F.lit("sid"), F.lit("__Host-")), (F.col("event_id") % 4).cast("int") + 1), F.col("user_id").cast("string"))
+    rows = e.filter("event_id < 2000").select(F.col("event_type").alias("domain"), name.alias("name"))
+    names = stats.names_by_domain(rows).select("domain", F.array_join("names", ",").alias("names"))
+    kinds = rows.groupBy("domain").agg(*[F.count_if(links.cookie_class(F.col("name")) == k).alias(f"n_{k}") for k in ("proxy", "secure", "other")])
+    return names.join(kinds, "domain")
+
+
+def health_tally(spark, sf_dir):
+    """Tallies of checks, and of keys that responses lack."""
+    e = _events(spark, sf_dir)
+    lacking = stats.lacking_keys(F.json_object_keys("props"), ["k", "total"])
+    checks = e.select(F.when(F.col("success"), F.concat_ws(",", lacking)).otherwise("down").alias("status"))
+    return stats.health(checks)
+
+
+def missing_terms(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    wanted = d.select(F.col("source").alias("term")).distinct().unionByName(spark.createDataFrame([("src_none",), ("en",)], "term STRING"))
+    return stats.missing_required(wanted, d.filter("doc_id % 20 < 12").select(F.col("source").alias("term")).unionByName(d.select(F.col("lang").alias("term"))))
+
+
+def subjects_by_ndcg(spark, sf_dir):
+    return evaluation.groups_by_ndcg(eval_by_group(spark, sf_dir)).limit(2).select("subject", "ndcg")
+
+
+def full_metadata(spark, sf_dir):
+    """All columns of the metadata of records whose fields are filled."""
+    m = extract(_full(spark, sf_dir))
+    lists = [F.array_join(c, "|").alias(c) for c in ("authors", "creators", "contributors")]
+    rest = [c for c in m.columns if c not in ("authors", "creators", "contributors", "record_id")]
+    ids = _full(spark, sf_dir).select("doc_id", "record_id")
+    return m.join(ids.filter("record_id <> ''"), "record_id").select("doc_id", *lists, *rest)
+
+
+def full_links(spark, sf_dir):
+    f = _full(spark, sf_dir).select("doc_id", stats.electronic().alias("electronic"), links.bundle(F.col).alias("l"))
+    return f.select("doc_id", "electronic", *(F.array_join(f"l.{c}", "|").alias(c) for c in ("html_links", "pdf_links", "source_links")), F.col("l.open_access").alias("open_access"), F.array_join(links.in_priority(F.col("l")), "|").alias("urls"), text(links.best(F.col("l"))).alias("best"))
+
+
+def full_reports(spark, sf_dir):
+    """Lines of a search report over filled records."""
+    f = _full(spark, sf_dir).withColumn("position", F.col("doc_id").cast("int"))
+    return sinks.result_lines(f).select("position", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 CITE = {f"cite_{style}": _cite(style) for style in cite.STYLES}
 _OWN = [
     search_rerank, search_boolean, search_phrase_wildcard, search_scope_sort_page, search_sort_title, search_by_author, search_by_isbn, search_expanded, search_courses, query_sanitize, by_intent, dictionary_expand,
@@ -524,6 +742,9 @@ _OWN = [
     eval_metrics, eval_by_group, eval_summary, latency_percentiles, tool_metrics, facet_counts, query_history, severe_lines,
     budget_windows, budget_global, budget_status, budget_admission, router_state, router_running, router_tiers, tier_order, breaker_runs, breaker_states, capture_history, recent_records, first_seen, backoff_schedule,
     stream_budget, stream_router, stream_breaker, stream_dedup,
+    search_sort_author, search_faithful, search_by_subject, search_items, read_article, save_batch, save_tallies, list_collections, collection_upsert, collection_by_name, diagnostics,
+    resolve_tiers, fusion_without_ids, seed_hits, citing_works, record_dois, registry_records, item_traces, item_keys, pdf_responses, token_states, cookie_groups, health_tally, missing_terms, subjects_by_ndcg,
+    full_metadata, full_links, full_reports,
     star_pricing, star_join, star_anti, star_rollup, star_window, star_top_per_group, star_set_ops, star_json,
 ]
 QUERIES = {f.__name__: f for f in _OWN} | CITE

@@ -7,33 +7,45 @@ from dataclasses import dataclass, field, fields
 
 from pyspark.sql import types as T
 
-_KINDS = {"s": T.StringType(), "b": T.BooleanType(), "i": T.IntegerType(), "l": T.LongType(), "d": T.DoubleType(), "t": T.TimestampType(), "ss": T.ArrayType(T.StringType())}
+_TEXT, _TEXTS, _INT, _LONG, _BOOL = T.StringType(), T.ArrayType(T.StringType()), T.IntegerType(), T.LongType(), T.BooleanType()
 
 
-def _struct(fields: str, **other: T.DataType) -> T.StructType:
-    """Fields as name:kind, kinds as in _KINDS (`s` if left out); other gives types of its own."""
-    pairs = [f.partition(":") for f in fields.split()]
-    return T.StructType([T.StructField(n, other.get(k) or _KINDS[k or "s"]) for n, _, k in pairs])
+def _struct(*columns: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns])
 
 
-_LISTS = (
-    "title creator contributor creationdate publisher type source description subject "
-    "isbn issn doi volume issue spage epage pages jtitle au ad_date s_creator s_creationdate "
-    "linktohtml linktopdf linktorsrc openaccess openurl availability"
-).split()
-_HOLDING = T.ArrayType(_struct("libraryCode subLocationCode callNumber"))
-_CREATORS = T.ArrayType(_struct("creatorType lastName firstName name"))
+def _all(names: str, kind: T.DataType) -> list[tuple[str, T.DataType]]:
+    return [(name, kind) for name in names.split()]
+
 
 #: A catalogue record: every leaf is a list of strings.
-RECORD = _struct(f"record_id {' '.join(f'{c}:ss' for c in _LISTS)} holding:hold is_course:b", hold=_HOLDING)
-METADATA = _struct("title authors:ss creators:ss contributors:ss date publisher type source isbn issn doi volume issue spage epage pages record_id is_cdi:b resource_type")
+RECORD = _struct(
+    ("record_id", _TEXT),
+    *_all("title creator contributor creationdate publisher type source description subject", _TEXTS),
+    *_all("isbn issn doi volume issue spage epage pages jtitle au ad_date s_creator s_creationdate", _TEXTS),
+    *_all("linktohtml linktopdf linktorsrc openaccess openurl availability", _TEXTS),
+    ("holding", T.ArrayType(_struct(*_all("libraryCode subLocationCode callNumber", _TEXT)))),
+    ("is_course", _BOOL),
+)
+METADATA = _struct(
+    ("title", _TEXT),
+    *_all("authors creators contributors", _TEXTS),
+    *_all("date publisher type source isbn issn doi volume issue spage epage pages record_id", _TEXT),
+    ("is_cdi", _BOOL),
+    ("resource_type", _TEXT),
+)
 ITEM = _struct(
-    "key item_type title creators:who date doi isbn issn volume issue pages publication_title publisher extra collections:ss tags:ss num_children:i",
-    who=_CREATORS,
+    *_all("key item_type title", _TEXT),
+    ("creators", T.ArrayType(_struct(*_all("creatorType lastName firstName name", _TEXT)))),
+    *_all("date doi isbn issn volume issue pages publication_title publisher extra", _TEXT),
+    *_all("collections tags", _TEXTS),
+    ("num_children", _INT),
 )
-COLLECTION = _struct("key name parent_key num_items:i")
-ATTACHMENT = _struct("key parent_key item_type content_type")
-EVENT = _struct("event_id:l ts:t key tier success:b latency:d")
+COLLECTION = _struct(*_all("key name parent_key", _TEXT), ("num_items", _INT))
+ATTACHMENT = _struct(*_all("key parent_key item_type content_type", _TEXT))
+EVENT = _struct(("event_id", _LONG), ("ts", T.TimestampType()), *_all("key tier", _TEXT), ("success", _BOOL), ("latency", T.DoubleType()))
+#: Levels of a log.
+LEVELS = ("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL")
 
 
 @dataclass
@@ -61,6 +73,16 @@ class Settings:
     breaker_timeout: float = 60.0
     retry_base: float = 1.0
     retry_max: float = 30.0
+    auth_timeout: float = 30.0
+    search_timeout: float = 30.0
+    max_retries: int = 3
+    refresh_buffer: int = 60
+    log_level: str = "INFO"
+    user_name: str = ""
+    password: str = ""
+    second_factor: str = ""
+    items_key: str = ""
+    items_user: str = ""
     trace_prefix: str = "Record-ID"
     proxy_base: str = "proxy.example.org"
     flags: dict[str, bool] = field(default_factory=lambda: {"rerank": True, "fusion": True, "enrich": True, "duplicates": True})
@@ -81,7 +103,20 @@ class Settings:
         return out
 
     def checked(self) -> list[str]:
-        wrong = [f"{f.name} must be positive" for f in fields(self) if isinstance(v := getattr(self, f.name), (int, float)) and not isinstance(v, bool) and v <= 0]
+        """What is wrong with the numbers, the level and the limits among each other."""
+        zero = ("max_retries", "refresh_buffer", "cache_ttl_seconds")  # may be zero
+        wrong = []
+        for f in fields(self):
+            v = getattr(self, f.name)
+            if isinstance(v, (int, float)) and not isinstance(v, bool):
+                if f.name in zero and v < 0:
+                    wrong.append(f"{f.name} must not be negative")
+                elif f.name.endswith("_timeout") and v < 1:
+                    wrong.append(f"{f.name} must be 1 at least")
+                elif f.name not in zero and v <= 0:
+                    wrong.append(f"{f.name} must be positive")
+        if self.log_level.upper() not in LEVELS:
+            wrong.append(f"log_level {self.log_level} is unknown")
         if self.key_budget > self.hour_budget:
             wrong.append("key_budget is above hour_budget")
         if self.session_budget < self.key_budget:
@@ -92,6 +127,10 @@ class Settings:
             wrong.append("trace_prefix is blank")
         return wrong
 
+    def credentials(self) -> list[str]:
+        """Credentials for remote services that are not set. The engine needs none; tools that call services do."""
+        return [f"{name} is empty" for name in ("user_name", "password", "second_factor", "items_key", "items_user") if not getattr(self, name)]
+
 
 def read_env_file(text: str) -> dict[str, str]:
     """Lines of key=value; blank lines and comments are skipped, quotes around values dropped."""

@@ -68,6 +68,30 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def full_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue with the fields that `catalog` leaves empty, by arithmetic on ids: contributors, descriptions, ISSNs,
+    pages, creators of the search section, links to pages and PDFs, and records without a creator, an id or a source."""
+    empty = "cast(array() as array<string>)"
+    base = catalog(spark, sf_dir)
+    new = {
+        "record_id": "case when doc_id % 17 = 0 then '' else record_id end",
+        "creator": f"case when doc_id % 5 = 0 then {empty} else creator end",
+        "au": f"case when doc_id % 10 = 0 then array(concat('Au', doc_id % 7, ', A.')) else au end",
+        "s_creator": f"case when doc_id % 10 = 5 and doc_id % 3 = 0 then array(concat('Found', doc_id % 7, ', B.')) else {empty} end",
+        "contributor": "array(concat('Ed', doc_id % 8, ', Chris'))",
+        "description": f"case when doc_id % 4 = 1 then array(concat('About ', subject[0], ' and more'), 'Second part') else {empty} end",
+        "issn": f"case when doc_id % 7 in (0, 6) then array(concat(lpad(cast(doc_id % 9999 as string), 4, '0'), '-0000')) else {empty} end",
+        "pages": f"case when doc_id % 6 = 1 then array(concat('e', doc_id % 100)) else {empty} end",
+        "linktohtml": f"case when doc_id % 4 = 2 then array(concat('https://h.example.com/', doc_id), '') else {empty} end",
+        "linktopdf": f"case when doc_id % 5 = 3 then array(concat('$$Uhttps://p.example.com/', doc_id, '.pdf$$EPDF')) else {empty} end",
+        "openurl": f"case when doc_id % 9 = 4 then array('u') else {empty} end",
+        "jtitle": f"case when doc_id % 4 = 0 then array(concat('Full journal ', doc_id % 6)) else {empty} end",
+        "source": f"case when doc_id % 8 = 3 then {empty} else source end",
+        "availability": f"case when doc_id % 2 = 0 then {empty} else availability end",
+    }
+    return base.selectExpr(*(f"{new.get(c, c)} as {c}" for c in base.columns))
+
+
 def library(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Library items: the catalogue records of labelled documents. Collections by language, tags by source."""
     cat = catalog(spark, sf_dir)

@@ -83,8 +83,9 @@ def pdf_texts(spark: SparkSession, path: str, most: int = 100_000, seconds: int
 
 
 def embedding_batches(rows: DataFrame, embed, size: int = 10) -> DataFrame:
-    """Vectors of texts from a function over batches of at most `size`; a batch that fails gives its error on each row.
-    rows: id, text."""
+    """Vectors of texts from a function over batches of at most `size`; a batch whose service fails (errors of input and
+    output, time-outs, bad values, RuntimeError) gives its error on each row. Other errors are mistakes in the function
+    and end the job. rows: id, text."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -93,7 +94,7 @@ def embedding_batches(rows: DataFrame, embed, size: int = 10) -> DataFrame:
                 try:
                     got = [list(map(float, v)) for v in embed(part["text"].tolist())]
                     yield pd.DataFrame({"id": part["id"].to_numpy(), "embedding": got, "error": None})
-                except Exception as e:  # noqa: BLE001  a service may fail in any way; its rows say how
+                except (OSError, RuntimeError, ValueError) as e:
                     yield pd.DataFrame({"id": part["id"].to_numpy(), "embedding": [None] * len(part), "error": str(e)})
 
     kind = rows.schema["id"].dataType.simpleString()

@@ -1,7 +1,8 @@
 """Streams of events: budgets, source classes, breakers and first sights.
 
-Event time with a watermark; rows later than that are dropped. Keyed folds keep a key's state between batches and
-take the events of a batch in order of (ts, event_id), as the batch versions do.
+Event time with a watermark; rows later than that are dropped. Keyed folds take events in order of (ts, event_id)
+whatever the order they come in: an event waits in its key's state until the watermark has passed it, so its result
+is final when it is written, and equals the batch version's. A key without events for `idle` is forgotten.
 """
 
 from __future__ import annotations
@@ -41,55 +42,92 @@ def first_sights(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def _sorted(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    f = pd.concat(list(frames), ignore_index=True)
-    return f.sort_values(["micros", "event_id"], kind="stable")
+class _Waiting:
+    """Events of a key that the watermark has not passed: lists of times, ids and values."""
 
+    def __init__(self, times=(), ids=(), values=()):
+        self.rows = list(zip(times, ids, values, strict=True))
 
-def admissions(events: DataFrame, session: str, key: str, limits: tuple[int, int, int] = (15, 20, 5), seconds: int = 3600) -> DataFrame:
-    """Exact budget decisions of each session: event_id, session, decision. State: the admitted times in the window."""
-    rows = events.select(F.col(session).alias("session"), F.col(key).cast("string").alias("key"), "event_id", micros().alias("micros"))
+    def add(self, frames: Iterator[pd.DataFrame], value: str) -> None:
+        for f in frames:
+            self.rows += zip(f["micros"].tolist(), f["event_id"].tolist(), f[value].tolist(), strict=True)
+
+    def due(self, watermark_ms: int) -> list[tuple]:
+        """The events before the watermark, in order; they wait no longer."""
+        self.rows.sort(key=lambda r: r[:2])
+        k = next((i for i, r in enumerate(self.rows) if r[0] >= watermark_ms * 1000), len(self.rows))
+        out, self.rows = self.rows[:k], self.rows[k:]
+        return out
+
+    def lists(self) -> tuple[list, list, list]:
+        return [r[0] for r in self.rows], [r[1] for r in self.rows], [r[2] for r in self.rows]
+
+
+def _wake(state, waiting: _Waiting, last: int, idle: int) -> None:
+    """Calls the key again when the watermark has passed its first waiting event, or when it has been idle."""
+    at = waiting.rows[0][0] // 1000 + 1 if waiting.rows else last // 1000 + idle * 1000
+    state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs() + 1))
+
+
+def admissions(events: DataFrame, session: str, key: str, limits: tuple[int, int, int] = (15, 20, 5), seconds: int = 3600, late: str = "1 hour", idle: int = 30 * 86400) -> DataFrame:
+    """Exact budget decisions of each session: event_id, session, decision. State: the admitted times in the window, and the
+    events that wait for the watermark."""
+    timed = events.withWatermark("ts", late)
+    rows = timed.select("ts", F.col(session).alias("session"), F.col(key).cast("string").alias("key"), "event_id", micros().alias("micros"))
     kind = rows.schema["session"].dataType.simpleString()
 
     def step(group, frames, state):
-        budget = Budget(*limits, seconds)
+        budget, waiting, last = Budget(*limits, seconds), _Waiting(), 0
         if state.exists:
-            n, times, keys = state.get
-            budget.n, budget.times = n, list(times)
+            budget.n, times, keys, *held, last = state.get
             for t, k in zip(times, keys, strict=True):
-                budget.of.setdefault(k, []).append(t)
-            held = list(zip(times, keys, strict=True))
-        else:
-            held = []
-        f = _sorted(frames)
-        out = []
-        for k, at in zip(f["key"], f["micros"], strict=True):
-            out.append(budget.ask(int(at), k))
-            if out[-1] == "ok":
-                held.append((int(at), k))
-        last = int(f["micros"].iloc[-1])
-        held = [(t, k) for t, k in held if t > last - budget.span]
-        state.update((budget.n, [t for t, _ in held], [k for _, k in held]))
-        yield pd.DataFrame({"event_id": f["event_id"], "session": group[0], "decision": out})
-
-    return rows.groupBy("session").applyInPandasWithState(step, f"event_id long, session {kind}, decision string", "n int, times array<long>, keys array<string>", "append", "NoTimeout")
-
-
-def breakers(events: DataFrame, key: str, threshold: int = 5, timeout: float = 60.0) -> DataFrame:
+                budget.add(t, k)
+            waiting = _Waiting(*held)
+        expired = state.hasTimedOut
+        if not expired:
+            waiting.add(frames, "key")
+        due = waiting.due(state.getCurrentWatermarkMs())
+        if expired and not due and not waiting.rows:
+            state.remove()
+            return
+        out = [budget.ask(at, k) for at, _, k in due]
+        last = max([last, *(r[0] for r in due)])
+        state.update((budget.n, [t for t, _ in budget.admitted], [k for _, k in budget.admitted], *waiting.lists(), last))
+        _wake(state, waiting, last, idle)
+        if due:
+            yield pd.DataFrame({"event_id": [i for _, i, _ in due], "session": group[0], "decision": out})
+
+    kept = "n int, times array<long>, keys array<string>, at array<long>, ids array<long>, held array<string>, last long"
+    return rows.groupBy("session").applyInPandasWithState(step, f"event_id long, session {kind}, decision string", kept, "append", "EventTimeTimeout")
+
+
+def breakers(events: DataFrame, key: str, threshold: int = 5, timeout: float = 60.0, late: str = "1 hour", idle: int = 30 * 86400) -> DataFrame:
     """key, event_id, and the states that the event finds and leaves."""
-    rows = events.select(F.col(key).alias("key"), "event_id", micros().alias("micros"), "success")
+    timed = events.withWatermark("ts", late)
+    rows = timed.select("ts", F.col(key).alias("key"), "event_id", micros().alias("micros"), "success")
     kind = rows.schema["key"].dataType.simpleString()
 
     def step(group, frames, state):
-        b = Breaker(threshold, timeout)
+        b, waiting, last = Breaker(threshold, timeout), _Waiting(), 0
         if state.exists:
-            b.state, b.failures, b.opened = state.get
-        f = _sorted(frames)
-        seen = [b.see(int(at), bool(ok)) for at, ok in zip(f["micros"], f["success"], strict=True)]
-        state.update((b.state, b.failures, b.opened))
-        yield pd.DataFrame({"key": group[0], "event_id": f["event_id"], "before": [x for x, _ in seen], "after": [x for _, x in seen]})
-
-    return rows.groupBy("key").applyInPandasWithState(step, f"key {kind}, event_id long, before string, after string", "state string, failures int, opened long", "append", "NoTimeout")
+            b.state, b.failures, b.opened, *held, last = state.get
+            waiting = _Waiting(*held)
+        expired = state.hasTimedOut
+        if not expired:
+            waiting.add(frames, "success")
+        due = waiting.due(state.getCurrentWatermarkMs())
+        if expired and not due and not waiting.rows:
+            state.remove()
+            return
+        seen = [b.see(at, bool(ok)) for at, _, ok in due]
+        last = max([last, *(r[0] for r in due)])
+        state.update((b.state, b.failures, b.opened, *waiting.lists(), last))
+        _wake(state, waiting, last, idle)
+        if due:
+            yield pd.DataFrame({"key": group[0], "event_id": [i for _, i, _ in due], "before": [x for x, _ in seen], "after": [x for _, x in seen]})
+
+    kept = "state string, failures int, opened long, at array<long>, ids array<long>, held array<boolean>, last long"
+    return rows.groupBy("key").applyInPandasWithState(step, f"key {kind}, event_id long, before string, after string", kept, "append", "EventTimeTimeout")
 
 
 def run_once(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
