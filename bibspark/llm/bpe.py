@@ -5,6 +5,11 @@ may stand after the last token of what precedes it; a pair of tokens may stand s
 across their border would have come first. So all words advance by one unit together: substring hashes probe
 the sorted keys of the pieces, the pair test picks the one that fits, and its length is stored as backpointer.
 The result is that of merging by rank, without a priority queue per word.
+
+Words of any length go the same way. A long one is cut to chunks that advance together, each from a few units before
+its own, as if a word began there: what a prefix ends in hangs on the last few tokens only, so a chunk whose tokens
+agree with its neighbour's over the longest piece's length before its first unit has found the word's own. The others
+advance again from their neighbour's tokens, until all agree.
 """
 
 from __future__ import annotations
@@ -15,8 +20,12 @@ from .shared import U64, mix64, powers, ragged
 
 NONE = np.int32(-1)
 _STEP = 0xC2B2AE3D27D4EB4F
-#: Words of more units than this are encoded one at a time.
-LONG = 96
+#: Cells (words by units) that advance at once.
+CELLS = 500_000
+#: Units of a chunk for each unit before it.
+STRETCH = 4
+#: Rounds in which all chunks that disagree advance again together; then one after another, equal ones once.
+ROUNDS = 2
 
 
 class Merges:
@@ -148,133 +157,217 @@ class Merges:
         """Token counts of the words, and the ids of all words one after another."""
         counts = np.zeros(len(starts), np.int64)
         ids: list[np.ndarray] = []
-        where: list[tuple[np.ndarray, np.ndarray]] = []
-        short = np.flatnonzero((lengths <= LONG) & (lengths > 0))
-        short = short[np.argsort(-lengths[short], kind="stable")]
-        for lo in range(0, len(short), 1 << 16):
-            some = short[lo : lo + (1 << 16)]
-            c, flat = self._together(units, starts[some], lengths[some])
-            counts[some] = c
+        where: list[np.ndarray] = []
+        warm = self.longest + 64
+        order = np.argsort(-lengths, kind="stable")
+        order = order[lengths[order] > 0]
+        n_long = int(np.searchsorted(-lengths[order], -(STRETCH + 1) * warm, side="right"))
+        lo = n_long
+        while lo < len(order):
+            hi = lo + max(1, CELLS // int(lengths[order[lo]]))
+            some = order[lo:hi]
+            last, step = self._words(units, starts[some], lengths[some])
+            edges = np.arange(len(some)) * len(last)
+            counts[some], flat = _back(last.T.reshape(-1), step.T.reshape(-1), edges, lengths[some])
             ids.append(flat)
-            where.append((some, c))
-        for w in np.flatnonzero(lengths > LONG):
-            flat = self._one(units[starts[w] : starts[w] + lengths[w]])
-            counts[w] = len(flat)
+            where.append(some)
+            lo = hi
+        if n_long:
+            some = order[:n_long]
+            last, step, edges = self._long(units, starts[some], lengths[some], warm)
+            counts[some], flat = _back(last, step, edges, lengths[some])
             ids.append(flat)
-            where.append((np.array([w]), np.array([len(flat)])))
+            where.append(some)
         edges = np.concatenate([[0], np.cumsum(counts)])
         out = np.zeros(edges[-1], np.int64)
-        for (some, c), flat in zip(where, ids, strict=True):
-            out[ragged(edges[some], c)] = flat
+        for some, flat in zip(where, ids, strict=True):
+            out[ragged(edges[some], counts[some])] = flat
         return counts, out
 
-    def _together(self, units, starts, lengths):
-        """Words in order of falling length. At unit i, all words that still go on choose their last token."""
+    def _words(self, units, starts, lengths):
+        """Last tokens and their lengths of all prefixes of words, in order of falling length: arrays by end and word."""
+        last = np.full((int(lengths[0]) + 1, len(starts)), -1, np.int32)
+        step = np.zeros(last.shape, np.int32)
+        self._advance(units, starts, lengths, last, step, 0)
+        return last, step
+
+    def _matches(self, units, starts, lengths, known: int):
+        """All places where a piece of two units or more stands and ends after `known`: ends, words, sizes and ids, in order of
+        end, then size. Substrings of all words are probed a size at a time."""
         n, width = len(starts), int(lengths[0])
         grid = np.zeros((n, width), np.uint32)
         inside = np.arange(width) < lengths[:, None]
         grid[inside] = units[ragged(starts, lengths)]
-        prefix = np.ascontiguousarray(self._prefix(grid).T)
         single = self.alone(grid.ravel()).reshape(n, width).T
-        last = np.full((width + 1, n), -1, np.int64)
-        step = np.zeros((width + 1, n), np.int16)
+        prefix = np.ascontiguousarray(self._prefix(grid).T)
         going = np.searchsorted(-lengths, -np.arange(1, width + 1), side="right")
         power = powers(_STEP, self.longest + 1)
-        for i in range(1, width + 1):
-            m = going[i - 1]
-            open_ = np.arange(m)
-            for size in self.by_length:
-                if size > i:
-                    continue
-                if size == 1:
-                    last[i, open_], step[i, open_] = single[i - 1, open_], 1
-                    break
-                whole = len(open_) == m
-                ends, begins = (prefix[i, :m], prefix[i - size, :m]) if whole else (prefix[i, open_], prefix[i - size, open_])
-                key = mix64(ends - begins * power[size] + U64(size))
-                maybe = np.flatnonzero(self.sieve[key >> U64(42)])
-                if not len(maybe):
-                    continue
-                k = np.minimum(np.searchsorted(self.keys, key[maybe]), len(self.keys) - 1)
-                hit = self.keys[k] == key[maybe]
-                maybe, token = maybe[hit], self.values[k[hit]].astype(np.int64)
-                rows = open_[maybe]
-                before = last[i - size, rows]
-                fits = before < 0
-                if not fits.all():
-                    ask = np.flatnonzero(~fits)
-                    fits[ask] = self.fit(before[ask], token[ask])
-                chosen = rows[fits]
-                last[i, chosen], step[i, chosen] = token[fits], size
-                if len(chosen):
-                    keep = np.ones(len(open_), bool)
-                    keep[maybe[fits]] = False
-                    open_ = open_[keep]
-                    if not len(open_):
-                        break
-        return self._back(last, step, lengths)
+        found = []
+        for size in self.by_length[::-1]:
+            low = max(known + 1, size)
+            if size == 1 or low > width:
+                continue
+            m = int(going[low - 1])
+            key = mix64(prefix[low:, :m] - prefix[low - size : width + 1 - size, :m] * power[size] + U64(size)).reshape(-1)
+            maybe = np.flatnonzero(self.sieve[key >> U64(42)])
+            if not len(maybe):
+                continue
+            key = key[maybe]
+            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[k] == key
+            maybe, k = maybe[hit], k[hit]
+            end, word = maybe // m + low, maybe % m
+            true = end <= lengths[word]
+            found.append((end[true].astype(np.int32), word[true].astype(np.int32), np.full(int(true.sum()), size, np.int32), self.values[k[true]]))
+        if not found:
+            found.append(tuple(np.zeros(0, np.int32) for _ in range(4)))
+        end, word, size, token = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(end, kind="stable")
+        return single, end[order], word[order], size[order], token[order]
 
-    @staticmethod
-    def _back(last, step, lengths):
-        """Follows the backpointers of all words from their ends."""
-        n = len(lengths)
-        at, rows = lengths.astype(np.int64).copy(), np.arange(n)
-        tokens, owners = [], []
-        while len(rows):
-            tokens.append(last[at, rows])
-            owners.append(rows)
-            at = at - step[at, rows]
-            rows, at = rows[at > 0], at[at > 0]
-        counts = np.zeros(n, np.int64)
-        for r in owners:
-            counts[r] += 1
-        ends = np.cumsum(counts)
-        flat = np.zeros(ends[-1] if n else 0, np.int64)
-        for k, (t, r) in enumerate(zip(tokens, owners, strict=True)):
-            flat[ends[r] - 1 - k] = t
-        return counts, flat
-
-    def _one(self, word: np.ndarray) -> np.ndarray:
-        """The same programme for one long word."""
-        u = word.tolist()
-        last, step = [-1] * (len(u) + 1), [0] * (len(u) + 1)
-        known: dict[tuple[int, int], bool] = {}
-        for i in range(1, len(u) + 1):
-            for size in self.by_length:
-                if size > i or size == 1:
-                    continue
-                token = self.of.get(tuple(u[i - size : i]))
-                if token is None:
-                    continue
-                before = last[i - size]
-                if before >= 0 and (before, token) not in known:
-                    known[before, token] = bool(self.fit(np.array([before]), np.array([token]))[0])
-                if before < 0 or known[before, token]:
-                    last[i], step[i] = token, size
+    def _advance(self, units, starts, lengths, last, step, known: int) -> None:
+        """Fills last and step from the end after `known`. At each unit, all words that still go on choose their last token: of
+        the pieces that stand there and may follow the token before them, the longest, else the unit alone."""
+        single, end, word, size, token = self._matches(units, starts, lengths, known)
+        last[known + 1 :], step[known + 1 :] = single[known:], 1
+        edge = np.searchsorted(end, np.arange(last.shape[0] + 1)).tolist()
+        for i in range(known + 1, last.shape[0]):
+            a, b = edge[i], edge[i + 1]
+            if a == b:
+                continue
+            w, s, t = word[a:b], size[a:b], token[a:b]
+            before = last[i - s, w]
+            fits = before < 0
+            ask = np.flatnonzero(~fits)
+            if len(ask):
+                fits[ask] = self.fit(before[ask].astype(np.int64), t[ask].astype(np.int64))
+            w = w[fits]
+            # in order of size: of several for a word, the last one stays
+            last[i, w], step[i, w] = t[fits], s[fits]
+
+    def _long(self, units, starts, lengths, warm: int):
+        """The same for long words, one after another in flat arrays, and where each begins."""
+        span, reach = STRETCH * warm, self.longest
+        chunks = -(-lengths // span)
+        word = np.repeat(np.arange(len(starts)), chunks)
+        nth = np.arange(len(word)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+        edges = np.cumsum(lengths + 1) - (lengths + 1)
+        last = np.full(int((lengths + 1).sum()), -1, np.int32)
+        step = np.zeros(len(last), np.int32)
+        own = nth * span  # the end before a chunk's first unit
+        top = np.minimum(own + span, lengths[word])
+        used = np.full((len(word), reach), -1, np.int32)  # the last tokens that a chunk went on from
+        back = np.arange(reach) - reach + 1
+
+        def keep(rows: np.ndarray, base: np.ndarray, got_last, got_step) -> None:
+            """Stores the chunks' own parts."""
+            n = top[rows] - own[rows]
+            to = ragged(edges[word[rows]] + own[rows] + 1, n)
+            column = np.repeat(np.arange(len(rows)), n)
+            line = ragged(own[rows] + 1 - base, n)
+            last[to], step[to] = got_last[line, column], got_step[line, column]
+
+        def batches(rows: np.ndarray, base: np.ndarray) -> list[np.ndarray]:
+            """Indexes into rows, long chunks first, as many as advance at once."""
+            order = np.argsort(-(top[rows] - base), kind="stable")
+            return [order[lo : lo + max(1, CELLS // (span + warm))] for lo in range(0, len(order), max(1, CELLS // (span + warm)))]
+
+        every = np.arange(len(word))
+        base = np.maximum(own - warm, 0)
+        for some in batches(every, base):
+            got_last, got_step = self._words(units, starts[word[some]] + base[some], top[some] - base[some])
+            keep(every[some], base[some], got_last, got_step)
+            later = np.flatnonzero(nth[some] > 0)
+            used[some[later]] = got_last[(own[some] - base[some])[later, None] + back, later[:, None]]
+
+        def before(rows: np.ndarray) -> np.ndarray:
+            """The last tokens that the neighbours before have found."""
+            return last[(edges[word[rows]] + own[rows])[:, None] + back]
+
+        def again(rows: np.ndarray, context: np.ndarray) -> None:
+            """Advances chunks from the last tokens before them."""
+            base = own[rows] - reach
+            for some in batches(rows, base):
+                n = top[rows[some]] - base[some]
+                got_last = np.full((int(n[0]) + 1, len(some)), -1, np.int32)
+                got_step = np.zeros(got_last.shape, np.int32)
+                got_last[1 : reach + 1] = context[some].T
+                # nothing before the context is asked for by a piece that ends behind it
+                got_last[0] = last[edges[word[rows[some]]] + base[some]]
+                self._advance(units, starts[word[rows[some]]] + base[some], n, got_last, got_step, reach)
+                keep(rows[some], base[some], got_last, got_step)
+            used[rows] = context
+
+        later = every[nth > 0]
+        for _ in range(ROUNDS):
+            context = before(later)
+            bad = (context != used[later]).any(1)
+            if not bad.any():
+                break
+            again(later[bad], context[bad])
+        seen: dict[bytes, int] = {}
+        for r in later[(before(later) != used[later]).any(1)].tolist() if len(later) else ():
+            # a chunk's tokens may have changed since: this one and those after it in the word, until one agrees
+            while r < len(word) and nth[r] > 0:
+                rows = np.array([r])
+                context = before(rows)
+                if (context == used[rows]).all():
                     break
-            else:
-                last[i], step[i] = self.single.get(u[i - 1], self.size + u[i - 1]), 1
-        out, i = [], len(u)
-        while i:
-            out.append(last[i])
-            i -= step[i]
-        return np.array(out[::-1], np.int64)
+                a = starts[word[r]] + own[r] - reach
+                key = context.tobytes() + units[a : a + top[r] - own[r] + reach].tobytes()
+                twin = seen.get(key)
+                if twin is None or twin == r:
+                    again(rows, context)
+                    if len(seen) < 10_000:
+                        seen[key] = r
+                else:
+                    n = int(top[r] - own[r])
+                    x, y = int(edges[word[r]] + own[r]) + 1, int(edges[word[twin]] + own[twin]) + 1
+                    last[x : x + n], step[x : x + n] = last[y : y + n], step[y : y + n]
+                    used[r] = context[0]
+                r += 1
+        return last, step, edges
+
+
+def _back(last: np.ndarray, step: np.ndarray, edges: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Follows the backpointers of all words from their ends, by doubling: token counts, and tokens in order of word and
+    place. Words stand in flat arrays from their edges on."""
+    here = np.arange(len(last), dtype=np.int64)
+    jump = here - step
+    on = np.zeros(len(last), bool)
+    at = edges + lengths
+    on[at] = True
+    while True:
+        at = jump[at]
+        more = ~on[at]
+        if not more.any():
+            break
+        on[at] = True
+        found = np.flatnonzero(on)
+        jump = jump[jump]
+        at = found
+    on[edges] = False
+    place = np.flatnonzero(on)
+    counts = np.searchsorted(place, edges + lengths, side="right") - np.searchsorted(place, edges, side="right")
+    return counts, last[place].astype(np.int64)
 
 
 class Memo:
-    """Remembers what was found for words by their hashes; slots are fixed in number and overwritten."""
+    """Remembers numbers found for words by their hashes; slots are fixed in number and overwritten."""
 
-    def __init__(self, slots: int = 1 << 20):
+    def __init__(self, slots: int = 1 << 20, numbers: int = 1):
         self.mask = U64(slots - 1)
         self.keys = np.zeros(slots, U64)
-        self.values = np.full(slots, -1, np.int64)
+        self.values = np.full((numbers, slots), -1, np.int64)
 
     def get(self, h: np.ndarray) -> np.ndarray:
-        """The values, -1 where unknown."""
+        """The numbers, a row each, -1 where unknown."""
         slot = (h & self.mask).astype(np.int64)
-        return np.where(self.keys[slot] == h, self.values[slot], -1)
+        return np.where(self.keys[slot] == h, self.values[:, slot], -1)
 
-    def put(self, h: np.ndarray, values: np.ndarray) -> None:
+    def put(self, h: np.ndarray, *values: np.ndarray) -> None:
         slot = (h & self.mask).astype(np.int64)
         slot, first = np.unique(slot, return_index=True)
-        self.keys[slot], self.values[slot] = h[first], values[first]
+        self.keys[slot] = h[first]
+        for row, v in zip(self.values, values, strict=True):
+            row[slot] = v[first]

@@ -56,7 +56,7 @@ class Codec:
         self._forget()
 
     def _forget(self) -> None:
-        self.memo, self.pool, self.held = Memo(), [np.zeros(0, np.int32)], 0
+        self.memo, self.held = Memo(numbers=2), 0
         self.flat = np.zeros(0, np.int32)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -90,24 +90,21 @@ class Codec:
         h = span_hashes(points, starts, stops, seed=2)
         if self.held > POOL:
             self._forget()
-        found = self.memo.get(h)
-        miss = np.flatnonzero(found < 0)
+        at, n = self.memo.get(h)  # where the ids of a word start in the pool, and how many there are
+        miss = np.flatnonzero(at < 0)
         fresh = np.zeros(0, np.int32)
         if len(miss):
             new, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            a, n = starts[miss[first]], (stops - starts)[miss[first]]
-            counts, flat = self._words(points[ragged(a, n)].astype(np.uint32), n)
-            # a value holds where the ids of the word start in the pool, and how many there are
-            at = self.held + np.cumsum(counts) - counts
-            values = (at << 24) | counts
-            found[miss] = values[back]
+            a, size = starts[miss[first]], (stops - starts)[miss[first]]
+            counts, flat = self._words(points[ragged(a, size)].astype(np.uint32), size)
+            place = self.held + np.cumsum(counts) - counts
+            at[miss], n[miss] = place[back], counts[back]
             fresh = flat.astype(np.int32)
             self.held += len(fresh)
             small = counts < 1 << 10
-            self.memo.put(new[small], values[small])
+            self.memo.put(new[small], place[small], counts[small])
         if len(fresh):
             self._add(fresh)
-        at, n = found >> 24, found & 0xFFFFFF
         ids = self.flat[ragged(at, n)]
         return ids, sums_between(n, np.searchsorted(starts, edges))
 

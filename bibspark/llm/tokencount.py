@@ -2,10 +2,11 @@
 
 The border rule of the byte-level tokenizer is compiled to a deterministic transducer over classes of
 characters; its transitions are annotated with what they emit: a border here, or a border one character back.
-Every chunk of a batch gives a map from entering state to leaving state, all chunks advancing together; the
-maps compose by a parallel prefix scan, which tells each chunk its entering state. A second pass emits the
-borders. Between two borders stands one word; the transducer's word transitions emit its token count, which
-is compiled on first use (see bpe.py) and kept.
+Every chunk of a batch gives a map from entering state to leaving state and the number of borders emitted, all
+chunks advancing together; the maps compose by a parallel prefix scan, which tells each chunk its entering state
+and the number of its first border. A second pass writes the borders to their places. Between two borders stands
+one word; the transducer's word transitions emit its token count, which is compiled on first use (see bpe.py) and
+kept. A file whose settings differ from the compiled ones is refused.
 
 Null and empty texts count 0 tokens. Texts of any length are read whole: long ones are cut only before a space
 after a word, where the transducer is in the same state whatever came before.
@@ -98,7 +99,11 @@ def _classes() -> np.ndarray:
 
 
 def borders(classes: np.ndarray) -> np.ndarray:
-    """Positions where a word (or an end) starts, in a stream of texts with an END after each."""
+    """Positions where a word (or an end) starts, in a stream of texts with an END after each.
+
+    A chunk's map gives, for each state it may be entered in, the state it is left in and how many borders it emits. The
+    maps compose by an inclusive prefix scan: states through the map, counts by addition. So each chunk learns its entering
+    state and the number of its first border, and all chunks write their borders to their places at once."""
     to, emits = _machine()
     n = len(classes)
     rows = -(-n // CHUNK)
@@ -106,22 +111,30 @@ def borders(classes: np.ndarray) -> np.ndarray:
     grid[:n] = classes
     grid = np.ascontiguousarray(grid.reshape(rows, CHUNK).T)
     maps = np.repeat(np.arange(STATES, dtype=np.uint8)[:, None], rows, axis=1)
+    sums = np.zeros((STATES, rows), np.int64)
+    weigh = (emits & HERE).astype(np.int64) + (emits & BACK > 0)
     for t in range(CHUNK):
-        maps = to[(maps << 4) | grid[t]]
-    # inclusive prefix scan of the composition of maps
+        at = (maps << 4) | grid[t]
+        sums += weigh[at]
+        maps = to[at]
     step = 1
     while step < rows:
-        maps = np.concatenate([maps[:, :step], np.take_along_axis(maps[:, step:], maps[:, :-step].astype(np.intp), axis=0)], axis=1)
+        through = maps[:, :-step].astype(np.intp)
+        sums = np.concatenate([sums[:, :step], sums[:, :-step] + np.take_along_axis(sums[:, step:], through, axis=0)], axis=1)
+        maps = np.concatenate([maps[:, :step], np.take_along_axis(maps[:, step:], through, axis=0)], axis=1)
         step *= 2
     state = np.concatenate([[np.uint8(START)], maps[START, :-1]]).astype(np.uint8)
-    marks = np.empty((CHUNK, rows), np.uint8)
+    place = np.concatenate([[0], sums[START, :-1]])
+    out = np.empty(int(sums[START, -1]) if rows else 0, np.int64)
+    first = np.arange(rows) * CHUNK
     for t in range(CHUNK):
         at = (state << 4) | grid[t]
-        marks[t], state = emits[at], to[at]
-    marks = marks.T.reshape(-1)[:n]
-    out = (marks & HERE).astype(bool)
-    out[:-1] |= (marks[1:] & BACK).astype(bool)
-    return np.flatnonzero(out)
+        mark, state = emits[at], to[at]
+        for bit, position in ((BACK, first + t - 1), (HERE, first + t)):
+            some = np.flatnonzero(mark & bit)
+            out[place[some]] = position[some]
+            place[some] += 1
+    return out[out < n]
 
 
 @lru_cache(2)
@@ -132,12 +145,29 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: The settings of a tokenizer file that the compiled rules hold for.
+SETTINGS = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
+BORDERS = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
+
+def _known(spec: dict) -> None:
+    """Raises an error for a file with other rules than the compiled ones: it would be miscounted."""
+    model, borders = spec["model"], spec.get("pre_tokenizer") or {}
+    wrong = [f"model.{k}" for k, v in SETTINGS.items() if (model.get(k) or None) != (v or None)]
+    wrong += [f"pre_tokenizer.{k}" for k, v in BORDERS.items() if borders.get(k) != v]
+    wrong += [k for k in ("normalizer", "truncation", "padding") if spec.get(k)]
+    wrong += [f"added_tokens.{k}" for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized") if t.get(k)]
+    if wrong:
+        raise ValueError(f"no compiled rules for these settings of the tokenizer: {', '.join(wrong)}")
+
+
 class Counter:
     """A compiled tokenizer file of byte-level BPE."""
 
     def __init__(self, path: str):
         with open(path) as f:
             spec = json.load(f)
+        _known(spec)
         alphabet, vocab = _byte_alphabet(), spec["model"]["vocab"]
         self.special = [t["content"] for t in spec["added_tokens"]]
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
@@ -181,7 +211,7 @@ class Counter:
         stops = np.append(starts[1:], len(points))[word]
         starts = starts[word]
         h = span_hashes(points, starts, stops)
-        found = self.memo.get(h)
+        found = self.memo.get(h)[0]
         miss = np.flatnonzero(found < 0)
         if len(miss):
             new, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
