@@ -2,13 +2,16 @@
 
 Texts are split to runs of word characters and runs of other visible characters; single tokens and pairs of
 neighbours are hashed to buckets. Two generative models, bags of these n-grams, are counted: one over the target
-texts (labelled good), one over all documents. A document's weight is the ratio of its likelihoods, as the mean of
-the logarithm per n-gram times a fixed length, so that length alone decides nothing. Gumbel noise is added to the
-log weight, and the k largest sums are kept: a sample without replacement in proportion to the weights.
+texts (labelled good), one over all documents. The ratio of a document's likelihoods is a product over its n-grams, so
+its logarithm grows with the length and dwarfs any noise: the sample would be a plain cut. It is therefore tempered: a
+document's log weight is the mean of the logarithm per n-gram times LENGTH, the ratio of a text of that many n-grams,
+whatever its own length (a temperature of its number of n-grams by LENGTH). Gumbel noise is added to the log weight, and
+the k largest sums are kept: a sample without replacement in proportion to the tempered weights. The smaller LENGTH, the
+more the noise decides.
 
 Defined results: null and empty texts have no n-grams, weight 0 in logarithm. Ties are broken by doc_id, repeated rows
 have equal noise and are ranked one after another. Without labels of the target, all weights are 0 and nothing is
-dropped. Noise depends on the id, the text and the seed only: reruns agree.
+dropped. Noise depends on the id, the text and the seed only: reruns agree. `resample` runs jobs when it is called.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ BUCKETS = 1 << 14
 #: Labelled target rows used at most, those with the smallest hash of their id.
 MAX_LABELLED = 20_000
 #: N-grams that a weight stands for.
-LENGTH = 256.0
+LENGTH = 32.0
 SMOOTH = 1.0
 BYTES = 1_000_000
 
