@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import rank_within
+from .ranking import rank_within, sums_before
 from .shared import fresh, materialize, word_count
 
 WEIGHTS = (5, 2, 1)
@@ -32,21 +32,22 @@ SEED = "mix"
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """source, source_size and target of each source, from rows with source and size. One row per source is left
-    before anything is ordered."""
+    """source, source_size and target of each source, from rows with source and size.
+
+    A corpus may have a source per host: sources are ranked and summed up in parts, never ordered in one task."""
     big = "decimal(38,0)"
     s = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    turn = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
-    s = s.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), turn.cast("int") + 1).cast("long"))
+    turn = (F.col("rank") - 1) % len(weights)
+    s = rank_within(s, None, [F.col("source").asc_nulls_last()]).withColumn("w", F.element_at(F.array(*map(F.lit, weights)), turn.cast("int") + 1).cast("long")).drop("rank")
     s = s.withColumn("cap", (most * F.col("source_size")).cast("long"))
-    every = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    order = Window.orderBy(F.col("cap").cast("double") / F.col("w"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("left", F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(order), F.lit(0)))
-    s = s.withColumn("wide", F.sum("w").over(every) - F.coalesce(F.sum("w").over(order), F.lit(0)))
+    order = [F.col("cap").cast("double") / F.col("w"), F.col("source").asc_nulls_last()]
+    s = sums_before(s, order, {"cap_before": "cap", "w_before": "w", "size_before": "source_size"})
+    s = s.withColumn("left", F.col("all_size_before") - F.col("cap_before")).withColumn("wide", F.col("all_w_before") - F.col("w_before"))
     s = s.withColumn("full", F.col("cap").cast(big) * F.col("wide").cast(big) < F.col("w").cast(big) * F.col("left").cast(big))
-    level = F.max(F.when(~F.col("full"), F.col("left").cast("double") / F.col("wide"))).over(every)
-    target = F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("w") * level)
-    return s.select("source", "source_size", target.alias("target"))
+    # one number for all: what the sources that aren't full share by weight
+    level = s.filter(~F.col("full")).agg(F.max(F.col("left").cast("double") / F.col("wide").cast("double")).alias("level"))
+    target = F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("w") * F.col("level"))
+    return s.crossJoin(F.broadcast(level)).select("source", "source_size", target.alias("target"))  # level is one row
 
 
 def offset(source: Column, draw: Column, seed: str) -> Column:
