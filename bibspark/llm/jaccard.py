@@ -33,7 +33,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import U64, fresh, groups, joined, materialize, mix64, ragged, span_hashes, word_spans
+from .shared import U64, finished, fresh, groups, joined, materialize, mix64, ragged, span_hashes, word_spans
 
 BYTES = 1_000_000
 #: Slice hashes, and documents, that a task holds at once.
@@ -529,7 +529,7 @@ def _components(texts: DataFrame, words: int, percent: int, part_rows: int, part
 def jaccard_groups(docs: DataFrame, words: int = 3, percent: int = 90, part_rows: int = PART_ROWS, part_grams: int = PART_GRAMS) -> DataFrame:
     """doc_id, n_shingles (size of its set) and component_id (smallest doc_id reachable by links), one row per row."""
     texts, most = _keyed(docs)
-    found = _components(texts, words, percent, part_rows, part_grams)
+    found = finished(docs.sparkSession, lambda: _components(texts, words, percent, part_rows, part_grams))
     if most is None:
         return found.toDF("doc_id", "n_shingles", "component_id")
     own, component = F.when(F.col("_key") <= most, F.col("_key")), F.when(F.col("component") <= most, F.col("component"))
@@ -540,7 +540,7 @@ def one_of_each(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame
     """One row of each group: that with the smallest id, or with none if no row of the group has an id. Of equal rows, one is
     left; rows with one id but different texts aren't told apart by it, and all stay."""
     texts, most = _keyed(docs)
-    found = _components(texts, words, percent, PART_ROWS, PART_GRAMS)
+    found = finished(docs.sparkSession, lambda: _components(texts, words, percent, PART_ROWS, PART_GRAMS))
     name = fresh(docs, "_key")
     first = materialize(found.filter("_key = component").groupBy(F.col("_key").alias(name)).agg((F.count("*") > 1).alias("again")))
     keyed = docs.withColumn(name, _key(most))

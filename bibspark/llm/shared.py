@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +11,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cleanup, shared_path  # noqa: F401  both kinds of path lie below one folder, which cleanup removes
+
 #: White space between words: space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 U64 = np.uint64
@@ -21,25 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _root(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir. Only where the session names no such folder (tests in one
-    process) is a temporary one made and set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="bibspark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/bibspark-{spark.sparkContext.applicationId}"
+#: Lists of the paths made, of all `scratch` blocks that are open in this thread.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share."""
-    return f"{_root(spark)}/{uuid.uuid4().hex}"
-
-
-def cleanup(spark: SparkSession) -> None:
-    """Removes all tables that this application's operators wrote on the way. Results that are not yet written read them."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_root(spark))
-    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+    """A new path in the folder that driver and executors share (see session.shared_root)."""
+    path = shared_path(spark)
+    for made in _open.get():
+        made.append(path)
+    return path
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -50,6 +42,40 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _finished(spark: SparkSession, make: Callable[[], DataFrame]) -> tuple[DataFrame, str]:
+    made: list[str] = []
+    token = _open.set((*_open.get(), made))
+    try:
+        out = materialize(make())
+    finally:
+        _open.reset(token)
+    # the last path made is the table's own
+    remove(spark, made[:-1])
+    return out, made[-1]
+
+
+def finished(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that `make` gives, written; all that was written on the way to it is removed."""
+    return _finished(spark, make)[0]
+
+
+def chain(docs: DataFrame, steps: Iterable[Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """The result of steps on documents, each written and read again as the next one's input; what a step wrote on its way,
+    and its input, are removed when its result is written."""
+    before: list[str] = []
+    for step in steps:
+        docs, path = _finished(docs.sparkSession, lambda step=step, docs=docs: step(docs))
+        remove(docs.sparkSession, before)
+        before = [path]
+    return docs
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the table doesn't have, in any case."""
     have = {c.lower() for c in df.columns}

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import groups, materialize, shared_dir
+from .shared import finished, groups, materialize, shared_dir
 
 MIN_BYTES = 1000
 #: Bytes of pages that a row of the writer stands for, and rows of an archive.
@@ -327,7 +327,11 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
 
 
 def round_trip(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """Writes all pages to archives in the shared folder and reads them back, without payloads."""
-    path = shared_dir(pages.sparkSession)
-    write(pages, path, min_bytes)
-    return read(pages.sparkSession, path, with_payload=False).filter("error IS NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    """Writes all pages to archives in the shared folder, reads them back, without payloads, and removes the archives."""
+
+    def there_and_back() -> DataFrame:
+        path = shared_dir(pages.sparkSession)
+        write(pages, path, min_bytes)
+        return read(pages.sparkSession, path, with_payload=False).filter("error IS NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+    return finished(pages.sparkSession, there_and_back)

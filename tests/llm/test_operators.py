@@ -1,6 +1,8 @@
 """The corpus operators against brute force, libraries and round trips, on small and odd tables."""
 
 import hashlib
+import math
+import os
 import random
 import re
 import zlib
@@ -801,6 +803,103 @@ def test_resampling(spark):
     assert none.filter("kept").count() == 200
 
 
+def test_resampling_against_brute_force(spark):
+    """Weights from counted n-grams, ranks and what is kept; the noise is the document's own and moves what is kept."""
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    good = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    raw, target, grams = Counter(), Counter(), {}
+    for d, t in docs:
+        grams[d] = resampling.buckets([t])[0].tolist()  # held against plain hashing in test_grams
+        raw.update(grams[d])
+        if good.get(d) == 1:
+            target.update(grams[d])
+
+    def log_p(counts, b):
+        return math.log((counts[b] + 1) / (sum(counts.values()) + resampling.BUCKETS))
+
+    of = {b: log_p(target, b) - log_p(raw, b) for b in raw}
+    got = queries.op1_importance_resampling(spark, SF).collect()
+    assert len(got) == len(docs)
+    noise = []
+    for x in got:
+        g = grams[x["doc_id"]]
+        assert x["n_grams"] == len(g) and x["log_weight"] == pytest.approx(resampling.LENGTH * sum(of[b] for b in g) / max(len(g), 1), abs=1e-4)
+        noise.append(x["gumbel"] - x["log_weight"])
+    assert abs(np.mean(noise) - 0.5772) < 0.3 and abs(np.std(noise) - 1.2825) < 0.3
+    k = math.ceil(sum(good.values()) / len(good) * len(docs) - 1e-9)
+    kept = {x["doc_id"] for x in got if x["kept"]}
+    assert kept == {x["doc_id"] for x in sorted(got, key=lambda x: (-x["gumbel"], x["doc_id"]))[:k]}
+    assert kept != {x["doc_id"] for x in sorted(got, key=lambda x: (-x["log_weight"], x["doc_id"]))[:k]}
+
+
+def test_odd_resampling(spark, odd, clashing, empty):
+    labels = spark.createDataFrame([(4, 1, 0), (10, 0, 0), (None, 1, 0), (999, 1, 0)], "doc_id long, quality int, toxic int")
+    got = resampling.resample(odd, labels)
+    assert got.count() == odd.count() and rows(resampling.resample(clashing, labels)) == rows(got)
+    assert got.filter("kept").count() == math.ceil(0.75 * odd.count())
+    assert resampling.resample(empty, labels).count() == 0 and resampling.resample(odd, labels.limit(0)).filter("kept").count() == odd.count()
+
+
+def test_long_words():
+    """Words without a border, of any length, equal the libraries: chunks that agree with their neighbours, and some that don't."""
+    import sentencepiece as library
+    import tokenizers
+
+    path, model = queries.tokenizer("byte_bpe_50k.json"), queries.tokenizer("piece_bpe_32k.model")
+    counter, reference = tokencount.Counter(path), tokenizers.Tokenizer.from_file(path)
+    codec, pieces = sentencepiece.Codec(model), library.SentencePieceProcessor(model_file=model)
+    r = random.Random(12)
+    texts_ = ["x" * 20_000, "ab" * 9000, "aaab" * 4000, "-" * 5000 + "=" * 3333 + "the" * 4000, " " * 5000 + "a" + "\n" * 3000]
+    texts_ += ["".join(r.choice(kind) for _ in range(15_000)) for kind in ("abcdefghijklmnopqrstuvwxyz", "ABCabc019+/", ["the", "ing", "qu", "中", "é"], [chr(c) for c in range(0x4E00, 0x9000)])]
+    texts_ += ["".join(r.choice("theing") for _ in range(n)) for n in (95, 96, 97, 319, 320, 321, 400, 767, 768, 769, 960, 961, 1536)]
+    assert counter.count(texts_).tolist() == [len(x.ids) for x in reference.encode_batch(texts_, add_special_tokens=False)]
+    ids, edges = codec.encode(texts_)
+    assert [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)] == pieces.encode(texts_)
+    assert codec.decode(ids, edges) == [t.encode() for t in texts_]
+
+
+def test_other_tokenizer_files_are_refused(tmp_path):
+    import json
+
+    with open(queries.tokenizer("byte_bpe_50k.json")) as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None}, {"pre_tokenizer": spec["pre_tokenizer"] | {"use_regex": False}}, {"model": spec["model"] | {"ignore_merges": True}}):
+        with pytest.raises(ValueError, match="no compiled rules"):
+            tokencount._known(spec | change)
+    tokencount._known(spec)
+
+
+def test_sums_before(spark):
+    from bibspark.llm.ranking import sums_before
+
+    r = random.Random(13)
+    values = [(i, r.randrange(5), r.randrange(10**6)) for i in range(500)]
+    df = spark.createDataFrame(values, "i int, k int, v long").repartition(7)
+    got = {x["i"]: (int(x["s"]), int(x["all_s"])) for x in sums_before(df, [F.asc("k"), F.asc("i")], {"s": "v"}).collect()}
+    total, want = 0, {}
+    for i, _, v in sorted(values, key=lambda x: (x[1], x[0])):
+        want[i], total = total, total + v
+    assert got == {i: (s, total) for i, s in want.items()}
+
+
+def test_scratch_is_removed(spark):
+    """What an operator wrote on its way is gone when its result is written."""
+    from bibspark.llm import shared
+
+    def step(df):
+        return shared.materialize(shared.materialize(df.withColumn("x", F.lit(1))).withColumn("y", F.lit(2))).drop("x")
+
+    docs = spark.range(10)
+    with pytest.MonkeyPatch.context() as patch:
+        paths = []
+        real = shared.shared_path
+        patch.setattr(shared, "shared_path", lambda s: paths.append(real(s)) or paths[-1])
+        out = shared.chain(docs, [step, lambda d: d.withColumn("z", F.lit(3))])
+    assert out.columns == ["id", "y", "z"] and out.count() == 10
+    there = [os.path.exists(p.removeprefix("file://")) for p in paths]
+    assert there.count(True) == 1 and there[-1]
+
+
 def test_shared_tables(spark):
     import os
 
