@@ -1,7 +1,8 @@
 """A training-data pipeline over documents: rules, near duplicates, personal data, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its result is written as Parquet and
-read again as the next one's input. All but the last return the columns of documents.
+read again as the next one's input. All but the last return the columns of documents. What a stage wrote on its way,
+and its input, are removed when its result is written.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bibspark.llm import jaccard, mixing, pii, quality, sentencepiece
 from bibspark.llm.queries import tokenizer
-from bibspark.llm.shared import materialize, table
+from bibspark.llm.shared import chain, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +56,6 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+    """Runs all stages but the last, whose result is computed as it is read."""
+    docs = chain(table(spark, sf_dir, "documents"), [lambda d, stage=stage: stage(spark, d, sf_dir) for _, stage in STAGES[:-1]])
     return STAGES[-1][1](spark, docs, sf_dir)
