@@ -90,9 +90,11 @@ def plausible(kind: str, span: str) -> bool:
         return False
     if kind == "email":
         sides = _AT.split(span)
-        return len(sides) == 2 and all(sides) and len(_DOT.split(sides[1])) > 1 and all(_DOT.split(sides[1])) and not re.search(r"\s", "".join(sides))
+        host = _DOT.split(sides[-1])
+        return len(sides) == 2 and len(host) > 1 and all(host) and sides[0] != "" and not re.search(r"\s", "".join([sides[0], *host]))
     if kind == "ip":
-        return span[0].isdigit() and span[-1].isdigit() and _octets(_DOT.split(span)) if all(x.isdigit() for x in _DOT.split(span)) else False
+        parts = _DOT.split(span)
+        return all(x.isascii() and x.isdigit() for x in parts) and _octets(parts)
     if kind == "card":
         return span[0].isdigit() and span[-1].isdigit() and 12 <= len(digits) <= 19 and luhn(digits)
     return span[-1].isdigit() and 9 <= len(digits) <= 15 and digits != span and not re.search(r"[A-Za-z]", span)
