@@ -41,9 +41,9 @@ HELD, HELD_DOCS = 400_000, 50_000
 #: N-grams that count as frequent, and how often one stands in what a task holds before it is counted.
 FREQUENT, OFTEN = 50_000, 4
 #: Rows and n-grams of a part of a block; blocks of more are cut to parts.
-PART_ROWS, PART_GRAMS = 500, 1_000_000
+PART_ROWS, PART_GRAMS = 500, 500_000
 #: Columns of a tile of the product, and pairs of rows that are counted at once.
-TILE, ROOM = 2048, 2_000_000
+TILE, ROOM = 2048, 500_000
 #: Cells of a dense product that cost as much as one counted pair.
 DENSE = 200
 #: Pivots of a large block, and classes its rows are dealt by to meet them.
@@ -323,18 +323,8 @@ def links(sets: list[np.ndarray], percent: int, room: int = ROOM) -> np.ndarray:
     size = np.array([len(s) for s in sets], np.int64)
     need = -(-percent * (size[:, None] + size[None, :]) // (100 + percent))  # overlap of a link
     counts = np.zeros((k, k), np.int32)
-    columns, col, deg = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(k), size)
-    # columns that one row has alone add nothing to any pair; the others are numbered by their rows, fewest first
-    shared = deg > 1
-    order = np.flatnonzero(shared)[np.argsort(deg[shared], kind="stable")]
-    number = np.full(len(columns), -1)
-    number[order] = np.arange(len(order))
-    col = number[col]
-    row, col = row[col >= 0], col[col >= 0]
-    by_col = np.argsort(col, kind="stable")
-    row, col = row[by_col], col[by_col]
-    edges = np.searchsorted(col, np.arange(0, len(order) + TILE, TILE))
+    row, col, n_cols = _incidence(sets, size)
+    edges = np.searchsorted(col, np.arange(0, n_cols + TILE, TILE))
     left = np.bincount(row, minlength=k)  # columns of each row that are still to come
     open_ = np.minimum(left[:, None], left[None, :]) >= need
     np.fill_diagonal(open_, False)
@@ -350,6 +340,23 @@ def links(sets: list[np.ndarray], percent: int, room: int = ROOM) -> np.ndarray:
     return open_
 
 
+def _incidence(sets: list[np.ndarray], size: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Rows and columns of a block's incidence, in order of column, and the number of columns. Columns that one row has alone
+    add nothing to any pair and are left out; the others are numbered by how many rows have them, fewest first."""
+    flat = np.concatenate(sets)
+    by_gram = np.argsort(flat)
+    flat = flat[by_gram]
+    starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+    deg = np.diff(np.append(starts, len(flat)))
+    del flat
+    row = np.repeat(np.arange(len(sets), dtype=np.int32), size)[by_gram]
+    del by_gram
+    shared = np.flatnonzero(deg > 1)
+    shared = shared[np.argsort(deg[shared], kind="stable")]
+    deg = deg[shared]
+    return row[ragged(starts[shared], deg)], np.repeat(np.arange(len(deg), dtype=np.int32), deg), len(deg)
+
+
 def _accumulate(counts: np.ndarray, r: np.ndarray, c: np.ndarray, k: int, room: int) -> None:
     """Adds a tile (rows r and columns c, in order of column) to the overlap counts."""
     if not len(r):
@@ -371,7 +378,7 @@ def _accumulate(counts: np.ndarray, r: np.ndarray, c: np.ndarray, k: int, room:
     while lo < len(r):
         hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + room, side="right")))
         other = r[ragged(reach[0][lo:hi], reach[1][lo:hi])]
-        cell, n_cell = np.unique(np.repeat(r[lo:hi], reach[1][lo:hi]) * k + other, return_counts=True)
+        cell, n_cell = np.unique(np.repeat(r[lo:hi].astype(np.int64), reach[1][lo:hi]) * k + other, return_counts=True)
         flat[cell] += n_cell.astype(np.int32)
         lo = hi
 
