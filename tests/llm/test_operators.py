@@ -829,7 +829,8 @@ def test_resampling_against_brute_force(spark):
     k = math.ceil(sum(good.values()) / len(good) * len(docs) - 1e-9)
     kept = {x["doc_id"] for x in got if x["kept"]}
     assert kept == {x["doc_id"] for x in sorted(got, key=lambda x: (-x["gumbel"], x["doc_id"]))[:k]}
-    assert kept != {x["doc_id"] for x in sorted(got, key=lambda x: (-x["log_weight"], x["doc_id"]))[:k]}
+    half = len(docs) // 2  # the cut stands where few weights lie; in the middle noise decides for many
+    assert len({x["doc_id"] for x in sorted(got, key=lambda x: -x["gumbel"])[:half]} ^ {x["doc_id"] for x in sorted(got, key=lambda x: -x["log_weight"])[:half]}) > 4
 
 
 def test_odd_resampling(spark, odd, clashing, empty):
