@@ -78,7 +78,7 @@ def _line(label: str, value: Column) -> Column:
 
 
 def result_lines(docs: DataFrame, position: str = "position") -> DataFrame:
-    """position and text of each result in a report."""
+    """position and text of each result in a report. The labels and their order."""
     subjects = F.transform(F.slice("subject", 1, 3), lambda s: F.substring_index(s, "$$", 1))
     creators = F.coalesce("creator", "contributor", F.array().cast("array<string>"))
     who = F.when(has(creators), clean(F.get(creators, F.lit(0)))).otherwise("Unknown")
@@ -101,7 +101,7 @@ def result_lines(docs: DataFrame, position: str = "position") -> DataFrame:
 
 
 def report(docs: DataFrame, total: int, query: str = "", field: str = "any", sort: str = "rank", position: str = "position") -> DataFrame:
-    """One row, `output`: the report of a capped result list with its footer."""
+    """One row, `output`: the report of a capped result list with its footer. The labels and their order."""
     from ..operators.stats import top_subjects
 
     body = result_lines(docs, position).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(position, "text"))), lambda x: x["text"]), "").alias("body"), F.count("*").alias("n"))
@@ -119,7 +119,8 @@ def report(docs: DataFrame, total: int, query: str = "", field: str = "any", sor
 
 
 def detail(docs: DataFrame) -> DataFrame:
-    """record_id and the full description of each record: 10 subjects and 5 holdings at most."""
+    """record_id and the full description of each record: 10 subjects and 5 holdings at most. The labels and
+    their order."""
     bar = "=" * 60
     cleaned = {c: F.array_join(F.transform(c, clean), ", ") for c in ("creator", "contributor")}
 
