@@ -440,7 +440,7 @@ UNION ALL SELECT 'metrics', row_number() OVER (ORDER BY event_type) - 1, event_t
     "pdf_responses": "SELECT page_id, (page_id % 3 = 0 OR page_id % 4 = 1 OR suffix(lower(url), '.pdf')) AND page_id % 5 < 2 AS is_pdf FROM pages",
     "token_states": "SELECT event_id, event_id::VARCHAR AS user, d > 60 AS valid, d < 120 AS refresh, (greatest(d, 0) // 3600) || 'h ' || (greatest(d, 0) % 3600 // 60) || 'm' AS left FROM (SELECT event_id, event_id % 300 * 7 - 100 AS d FROM events)".replace("AS user", 'AS "user"').replace("AS left", 'AS "left"'),
     "cookie_groups": """
-WITH c AS (SELECT event_type AS domain, event_id % 4 AS k, (['__Secure-', 'EZPROXY', 'sid', '__Host-'])[1 + event_id % 4] || user_id AS name FROM events WHERE event_id < 2000)
+WITH c AS (SELECT event_type AS domain, event_id % 4 AS k, (['__Secure-', 'WEBPROXY', 'sid', '__Host-'])[1 + event_id % 4] || user_id AS name FROM events WHERE event_id < 2000)
 SELECT domain, string_agg(name, ',' ORDER BY name) AS names, count(*) FILTER (k = 1) AS n_proxy, count(*) FILTER (k IN (0, 3)) AS n_secure, count(*) FILTER (k = 2) AS n_other FROM c GROUP BY domain""",
     "health_tally": e("SELECT CASE WHEN ok THEN array_to_string(list_filter(['k', 'total'], lambda x: NOT list_contains(json_keys(props), x)), ',') ELSE 'down' END AS status, count(*) AS n FROM ev GROUP BY 1"),
     "missing_terms": "(SELECT term FROM (SELECT DISTINCT source AS term FROM documents UNION ALL VALUES ('src_none'), ('en'))) EXCEPT ALL (SELECT source FROM documents WHERE doc_id % 20 < 12 UNION ALL SELECT lang FROM documents)",

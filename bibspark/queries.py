@@ -687,7 +687,7 @@ def token_states(spark, sf_dir):
 
 def cookie_groups(spark, sf_dir):
     e = _events(spark, sf_dir)
-    name = F.concat(F.element_at(F.array(F.lit("__Secure-"), F.lit("EZPROXY"), F.lit("sid"), F.lit("__Host-")), (F.col("event_id") % 4).cast("int") + 1), F.col("user_id").cast("string"))
+    name = F.concat(F.element_at(F.array(F.lit("__Secure-"), F.lit("WEBPROXY"), F.lit("sid"), F.lit("__Host-")), (F.col("event_id") % 4).cast("int") + 1), F.col("user_id").cast("string"))
     rows = e.filter("event_id < 2000").select(F.col("event_type").alias("domain"), name.alias("name"))
     names = stats.names_by_domain(rows).select("domain", F.array_join("names", ",").alias("names"))
     kinds = rows.groupBy("domain").agg(*[F.count_if(links.cookie_class(F.col("name")) == k).alias(f"n_{k}") for k in ("proxy", "secure", "other")])
