@@ -11,7 +11,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cleanup, shared_path  # noqa: F401  both kinds of path lie below one folder, which cleanup removes
+from ..session import cleanup, shared_path, shared_root  # noqa: F401  tables and results lie below one folder, which cleanup removes
 
 #: White space between words: space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -907,9 +907,9 @@ def test_shared_tables(spark):
     from bibspark.llm import shared
 
     df = shared.materialize(spark.range(10).toDF("x"))
-    assert df.count() == 10 and os.path.isdir(shared._root(spark).removeprefix("file://"))
+    assert df.count() == 10 and os.path.isdir(shared.shared_root(spark).removeprefix("file://"))
     shared.cleanup(spark)
-    assert not os.path.exists(shared._root(spark).removeprefix("file://"))
+    assert not os.path.exists(shared.shared_root(spark).removeprefix("file://"))
     assert shared.fresh(spark.createDataFrame([(1, 2)], "_Row int, x int"), "_row") == "_row_"
 
 
