@@ -33,7 +33,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import U64, finished, fresh, groups, joined, materialize, mix64, ragged, span_hashes, word_spans
+from .shared import U64, finished, fresh, groups, joined, materialize, mix64, ragged, shuffles_removed, span_hashes, word_spans
 
 BYTES = 1_000_000
 #: Slice hashes, and documents, that a task holds at once.
@@ -156,7 +156,8 @@ def frequent_grams(docs: DataFrame, words: int, most: int) -> np.ndarray:
             yield often(held)
 
     counts = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "h").limit(most).select("h").toArrow()
+    with shuffles_removed(docs.sparkSession):
+        top = counts.orderBy(F.desc("n"), "h").limit(most).select("h").toArrow()
     return np.sort(top.column(0).to_numpy().astype(np.int64).view(U64))
 
 
@@ -484,7 +485,8 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, int | None]:
     """_key and text of every row: the id, or for rows without one a number above all ids, from the text; and the largest id
     if there are such rows."""
     key = F.col("doc_id").cast("long")
-    known = docs.agg(F.max(key), F.count(F.when(key.isNull(), 1))).first()
+    with shuffles_removed(docs.sparkSession):
+        known = docs.agg(F.max(key), F.count(F.when(key.isNull(), 1))).first()
     if not known[1]:
         return docs.select(key.alias("_key"), "text"), None
     most = max(known[0] if known[0] is not None else 0, 0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from contextvars import ContextVar
 
 import numpy as np
@@ -34,11 +35,31 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Spark's setting by which a query's shuffle files go when it ends. Without it they stay until the driver collects its
+#: garbage, which long jobs of few objects seldom make it do: then all shuffles of an operator lie on disk at once.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of each query that runs inside are removed as it ends."""
+    before = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLES_GO)
+        else:
+            spark.conf.set(SHUFFLES_GO, before)
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts the lineage, survives lost executors,
-    and gives Catalyst the true size, so that it broadcasts only what is below its threshold."""
+    """Writes a table to the shared folder and reads it back: cuts the lineage, survives lost executors, and gives
+    Catalyst the true size, so that it broadcasts only what is below its threshold. What was shuffled for it is removed."""
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -52,7 +73,8 @@ def _finished(spark: SparkSession, make: Callable[[], DataFrame]) -> tuple[DataF
     made: list[str] = []
     token = _open.set((*_open.get(), made))
     try:
-        out = materialize(make())
+        with shuffles_removed(spark):
+            out = materialize(make())
     finally:
         _open.reset(token)
     # the last path made is the table's own

@@ -901,6 +901,35 @@ def test_scratch_is_removed(spark):
     assert there.count(True) == 1 and there[-1]
 
 
+def test_shuffles_are_removed(spark):
+    """What was shuffled for a table is gone when it is written, whether or not the driver collects its garbage."""
+    import time
+
+    from bibspark.llm import jaccard, shared
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+
+    def shuffled():
+        return {b.toString() for b in [f.get(i) for f in [spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllBlocks())] for i in range(f.size())] if b.isShuffle()}
+
+    def added(run):
+        held = shuffled()
+        run()
+        for _ in range(50):  # they go in the background
+            if not shuffled() - held:
+                break
+            time.sleep(0.1)
+        return shuffled() - held
+
+    df = spark.range(1000).selectExpr("id", "CAST(id AS string) AS text").repartition(3, "id")
+    assert not added(lambda: shared.materialize(df.groupBy("text").count()))
+    assert not added(lambda: jaccard.frequent_grams(df, 3, 10))
+    assert not added(lambda: jaccard.jaccard_groups(df.withColumnRenamed("id", "doc_id")))
+    assert spark.conf.get(name) == before
+
+
 def test_shared_tables(spark):
     import os
 
