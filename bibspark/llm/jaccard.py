@@ -13,8 +13,9 @@ computed in blocks of rows that may have links with each other, so that no pair
    matrix of overlap counts, one cell for each two rows, grows by the pairs of rows that share a column of few
    rows, and by a product of incidence matrices for columns of many. After each tile a pair is discarded when its
    sizes, or what is left of both rows' columns, can't reach the threshold; rows without a pair left go out. A group
-   of copies gives counts in a matrix of a bounded number of rows, never a list of its pairs. A large block is cut
-   to parts (see large_blocks).
+   of copies gives counts in a matrix of a bounded number of rows, never a list of its pairs. Large blocks are mostly
+   chains of sets that share a slice by chance; their sets are cut anew by other hashes, and only what is joined again
+   stays together (see _refined). What is large then is cut to parts (see large_blocks).
 
 Equal sets are found by hash first and enter as one row. Defined results: null and empty texts have the empty
 set, 0 n-grams and no links; repeated rows give a row each. Rows without an id are documents like others: they can
@@ -48,6 +49,8 @@ TILE, ROOM = 2048, 500_000
 DENSE = 200
 #: Pivots of a large block, and classes its rows are dealt by to meet them.
 PIVOTS, SALTS = 12, 64
+#: How often large blocks are cut anew at most.
+ROUNDS = 2
 SLICE, SAME, COPY = 0, 2, 3
 EDGE = 1
 
@@ -161,9 +164,15 @@ def frequent_grams(docs: DataFrame, words: int, most: int) -> np.ndarray:
     return np.sort(top.column(0).to_numpy().astype(np.int64).view(U64))
 
 
-def _signatures(words: int, percent: int, frequent: np.ndarray):
+def other_hashes(s: np.ndarray, seed: int) -> np.ndarray:
+    """Sorted hashes anew, one to one: another seed deals n-grams to other slices. Seed 0 leaves them."""
+    return np.sort(mix64(s ^ U64(seed * 0xA0761D6478BD642F % 2**64))) if seed else s
+
+
+def _signatures(words: int, percent: int, frequent: np.ndarray, seed: int = 0):
     """Rows (key, a, b): a slice's key and a document; or, found within a batch, an edge between documents; or a
     document with its set's hash and size. The two low bits of the key tell the kind."""
+    frequent = other_hashes(frequent, seed)
 
     def rows(ids: list[int], same: list[tuple[int, int]], slices: dict[tuple[int, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
         holder: dict[tuple[int, int], int] = {}
@@ -205,6 +214,7 @@ def _signatures(words: int, percent: int, frequent: np.ndarray):
             for a, b in groups(batch.column(1), BYTES):
                 part = batch.slice(a, b - a)
                 for doc, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), words), strict=True):
+                    s = other_hashes(s, seed)
                     key = (int(mix64(s).sum(dtype=U64)) if len(s) else doc & (2**64 - 1), len(s))
                     ids.append(doc)
                     same.append(key)
@@ -500,11 +510,37 @@ def _key(most: int | None):
     return key if most is None else F.coalesce(key, F.lit(most + 1) + F.pmod(F.xxhash64("text"), F.lit(1 << 62)))
 
 
+def _met(texts: DataFrame, words: int, percent: int, seed: int = 0) -> DataFrame:
+    """What documents (two columns, key and text) with an equal slice give (see _meet)."""
+    frequent = frequent_grams(texts, words, FREQUENT)
+    signed = texts.mapInArrow(_signatures(words, percent, frequent, seed), "key long, a long, b long")
+    return materialize(signed.repartition("key").sortWithinPartitions("key", "a").mapInArrow(_meet, "kind int, a long, b long, n long"))
+
+
+def _parts(blocks: DataFrame, of_size: DataFrame, part_rows: int, part_grams: int) -> DataFrame:
+    """block, k (parts that it is cut to) and rows of blocks that are too large for one task."""
+    sizes = blocks.join(of_size.withColumnRenamed("a", "_key"), "_key").groupBy("block").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    k = F.ceil(F.greatest(F.col("rows") / part_rows, F.col("n") / part_grams)).cast("int")
+    return materialize(sizes.select("block", k.alias("k"), "rows").filter("k > 1"))
+
+
+def _refined(texts: DataFrame, blocks: DataFrame, parts: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
+    """The blocks (_key, block), those of `parts` cut anew.
+
+    Sets that share a slice by chance are joined to chains, which grow faster than the table and cost the square of their
+    rows. By other hashes, and with the n-grams that are frequent in these blocks left out, other sets meet by chance; two
+    with a link meet whatever the hashes. So rows that aren't joined by both have no link, and nothing is lost."""
+    large = materialize(blocks.join(parts.select("block"), "block", "left_semi"))
+    met = _met(texts.join(large.select("_key"), "_key", "left_semi").select("_key", "text"), words, percent, seed)
+    # all that met, equal sets too: a row's id may stand for several texts
+    edges = met.filter("a <> b").select("a", "b").distinct()
+    edges = edges.join(large.toDF("block_a", "a"), "a").join(large.toDF("block_b", "b"), "b").filter("block_a = block_b").select("a", "b")
+    return materialize(blocks.join(parts.select("block"), "block", "left_anti").select("_key", "block").unionByName(components(edges).toDF("_key", "block")))
+
+
 def _components(texts: DataFrame, words: int, percent: int, part_rows: int, part_grams: int) -> DataFrame:
     """_key, n (size of the set) and component (the smallest key reachable) of every row of _key and text."""
-    frequent = frequent_grams(texts, words, FREQUENT)
-    signed = texts.mapInArrow(_signatures(words, percent, frequent), "key long, a long, b long")
-    met = materialize(signed.repartition("key").sortWithinPartitions("key", "a").mapInArrow(_meet, "kind int, a long, b long, n long"))
+    met = _met(texts, words, percent)
     # documents that were first of their set in what a task held: few of each set, however many copies it has
     heads = met.filter("kind = 0").select("a", "b", "n")
     of = heads.groupBy("a", "n").agg(F.min("b").alias("b"))
@@ -513,12 +549,19 @@ def _components(texts: DataFrame, words: int, percent: int, part_rows: int, part
     edges = met.filter("kind = 2").select(F.col("a").alias("x"), F.col("b").alias("y"))
     edges = edges.join(once.toDF("x", "rx"), "x").join(once.toDF("y", "ry"), "y").select(F.col("rx").alias("a"), F.col("ry").alias("b"))
     blocks = materialize(components(edges).toDF("_key", "block"))
+    parts = _parts(blocks, of_size, part_rows, part_grams)
+    for seed in range(1, ROUNDS + 1):
+        held = parts.agg(F.sum("rows")).first()[0]
+        if not held:
+            break
+        blocks = _refined(texts, blocks, parts, words, percent, seed)
+        parts = _parts(blocks, of_size, part_rows, part_grams)
+        if 4 * (parts.agg(F.sum("rows")).first()[0] or 0) > 3 * held:  # groups of near copies, which stay together
+            break
     # dealt by key at every size: the texts cross the network once, whatever share of them stands in blocks
     moved = texts.join(blocks.hint("merge"), "_key").select("block", F.col("_key").alias("rep"), "text")
     grams = materialize(moved.mapInArrow(_sets(words), "block long, rep long, grams binary"))
-    sizes = blocks.join(of_size.withColumnRenamed("a", "_key"), "_key").groupBy("block").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
-    k = F.ceil(F.greatest(F.col("rows") / part_rows, F.col("n") / part_grams)).cast("int")
-    parts = materialize(sizes.select("block", k.alias("k")).filter("k > 1"))
+    parts = parts.select("block", "k")
     small = grams.join(parts, "block", "left_anti").withColumn("label", F.lit(None).cast("long"))
     solved = materialize(_blockwise(small, percent))
     if not parts.isEmpty():

@@ -930,6 +930,25 @@ def test_shuffles_are_removed(spark):
     assert spark.conf.get(name) == before
 
 
+def test_chains_of_chance_are_cut(spark):
+    """A block of sets that share slices by chance falls apart by other hashes; groups stay, and links are those of brute force."""
+    from bibspark.llm import jaccard
+
+    r = random.Random(11)
+    few = [f"w{i}" for i in range(14)]
+    texts = {i: " ".join(r.choice(few) for _ in range(r.randint(20, 40))) for i in range(300)}
+    for i in range(0, 60, 3):  # near copies, in groups of three
+        texts[i + 1], texts[i + 2] = texts[i] + " end", "start " + texts[i]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    want = brute_groups(texts, 3, 80)
+    largest = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(jaccard, "_parts", lambda b, *a, f=jaccard._parts: largest.append(b.groupBy("block").count().agg(F.max("count")).first()[0]) or f(b, *a))
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.jaccard_groups(docs, 3, 80, part_rows=10).collect()}
+    assert {d: c for d, (_, c) in got.items()} == {d: c for d, (_, c) in want.items()}
+    assert largest[0] > 10 and largest[-1] < largest[0] / 2
+
+
 def test_shared_tables(spark):
     import os
 
